@@ -140,7 +140,10 @@ def team_player_label(team, jersey) -> Column:
 
 
 def round_half_even(c, digits: int) -> Column:
-    return F.bround(_c(c), digits)
+    """numpy/pandas rounding: scale, round half to even on the double, scale back
+    (3.405 -> 3.4, because 3.405 * 100 is exactly 340.5 in binary)."""
+    f = float(10 ** digits)
+    return F.rint(_c(c) * F.lit(f)) / F.lit(f)
 
 
 def alert_band(perc) -> Column:

@@ -91,9 +91,9 @@ def step_distance(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", ts
     """Euclidean distance to the previous row of the key; the first row is dropped."""
     d = segment(ensure_rn(df, keys, ts), size=seg_rows, before=1)
     w = seg_window(keys)
-    px, py = _lag(x, 1, w), _lag(y, 1, w)
-    out = d.withColumn("dist", F.sqrt((px - F.col(x)) ** 2 + (py - F.col(y)) ** 2))
-    return _drop_halo(out.where(px.isNotNull()))
+    out = d.withColumn("_px", _lag(x, 1, w)).withColumn("_py", _lag(y, 1, w))
+    out = out.withColumn("dist", F.sqrt((F.col("_px") - F.col(x)) ** 2 + (F.col("_py") - F.col(y)) ** 2))
+    return _drop_halo(out.where(F.col("_px").isNotNull())).drop("_px", "_py")
 
 
 def covered_distance(raw: DataFrame, keys: list[str], ts: str = "ts_ms",
@@ -108,9 +108,9 @@ def rising_edge(df: DataFrame, keys: list[str], acc: str = "acc_event", ts: str
     """start_event = 1 where the previous value is <= 0 and this one > 0; first row dropped."""
     d = segment(ensure_rn(df, keys, ts), size=seg_rows, before=1)
     w = seg_window(keys)
-    prev = _lag(acc, 1, w)
-    out = d.withColumn("start_event", F.when((prev <= 0) & (F.col(acc) > 0), 1).otherwise(0))
-    return _drop_halo(out.where(prev.isNotNull()))
+    out = d.withColumn("_prev", _lag(acc, 1, w))
+    out = out.withColumn("start_event", F.when((F.col("_prev") <= 0) & (F.col(acc) > 0), 1).otherwise(0))
+    return _drop_halo(out.where(F.col("_prev").isNotNull())).drop("_prev")
 
 
 def enrich(raw: DataFrame, keys: list[str], ts: str = "ts_ms", speed: str = "speed",

@@ -30,6 +30,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     conf = dict(_DEFAULTS)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf.setdefault("spark.driver.memory", os.environ.get("PITCHLOAD_DRIVER_MEMORY", "12g"))
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -53,3 +56,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def cut(df):
+    """Cut lineage: reliable checkpoint into the shared checkpoint folder.
+
+    Long chains of self-joined scans grow the logical plan; a checkpoint ends the
+    chain and leaves a copy that survives lost executors (never a local checkpoint).
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
