@@ -113,6 +113,31 @@ def rising_edge(df: DataFrame, keys: list[str], acc: str = "acc_event", ts: str
     return _drop_halo(out.where(F.col("_prev").isNotNull())).drop("_prev")
 
 
+def _with_flags(d: DataFrame, w, ts: str, speed: str, first) -> DataFrame:
+    """good / end_rn / nx_mark / nx_ts_mark; rows at or before ``first`` are never good."""
+    rn, v = F.col("rn"), F.col(speed)
+    gap = F.col(ts) - _lag(ts, 1, w)
+    d = d.withColumn("good", (rn > first) & (gap < GAP_CLOSE_MS)
+                     & ((F.col("acc_event") >= 0) | (v >= F.lit(S.MIN_SPEED_GOOD))))
+    g1, g2 = F.lead("good", 1).over(w), F.lead("good", 2).over(w)
+    is_end = F.col("good") & g1.isNotNull() & ~g1
+    nx_end = g1 & g2.isNotNull() & ~g2
+    return d.withColumn("end_rn", F.when(is_end, rn)) \
+            .withColumn("nx_mark", F.when(nx_end, rn + 1)) \
+            .withColumn("nx_ts_mark", F.when(nx_end, F.lead(ts, 1).over(w)))
+
+
+def event_flags(rows: DataFrame, keys: list[str], ts: str = "ts_ms", speed: str = "speed",
+                seg_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Automaton inputs for rows that already carry acc_event / start_event; each
+    key's first row is the stream's first row, which is never good."""
+    r = ensure_rn(rows, keys, ts)
+    first = r.groupBy(*keys).agg(F.min("rn").alias("_first"))
+    d = segment(r.join(first, keys), size=seg_rows, before=1, after=2)
+    d = _with_flags(d, seg_window(keys), ts, speed, F.col("_first"))
+    return _drop_halo(d).drop("_first")
+
+
 def enrich(raw: DataFrame, keys: list[str], ts: str = "ts_ms", speed: str = "speed",
            seg_rows: int = SEGMENT_ROWS, flags: bool = True) -> DataFrame:
     """Fused ``lag_rate`` -> ``rising_edge`` + ``step_distance`` + speed zone.
@@ -136,13 +161,5 @@ def enrich(raw: DataFrame, keys: list[str], ts: str = "ts_ms", speed: str = "spe
          .withColumn("dist", F.sqrt((_lag("x", 1, w) - F.col("x")) ** 2 + (_lag("y", 1, w) - F.col("y")) ** 2)) \
          .withColumn("speedzone", S.speed_zone(speed))
     if flags:
-        gap = F.col(ts) - _lag(ts, 1, w)
-        d = d.withColumn("good", (rn > first) & (gap < GAP_CLOSE_MS)
-                         & ((F.col("acc_event") >= 0) | (v >= F.lit(S.MIN_SPEED_GOOD))))
-        g1, g2 = F.lead("good", 1).over(w), F.lead("good", 2).over(w)
-        is_end = F.col("good") & g1.isNotNull() & ~g1
-        nx_end = g1 & g2.isNotNull() & ~g2
-        d = d.withColumn("end_rn", F.when(is_end, rn)) \
-             .withColumn("nx_mark", F.when(nx_end, rn + 1)) \
-             .withColumn("nx_ts_mark", F.when(nx_end, F.lead(ts, 1).over(w)))
+        d = _with_flags(d, w, ts, speed, F.lit(first))
     return _drop_halo(d.where(rn >= first))

@@ -46,36 +46,64 @@ def filter_min_action(events: DataFrame) -> DataFrame:
                         & (F.col("max_speed") - F.col("v_init") > F.lit(S.MIN_SPEED_INCREASE_ACTION)))
 
 
-def exact_median(df: DataFrame, col: str, tiebreak: list[str], out: str | None = None) -> DataFrame:
-    """Exact median (linear interpolation, numpy/pandas formula) as a one-row frame.
+# Up to this many values a median is taken in one aggregate (a sorted array of at most
+# this many doubles: 8 MB); above it the values are range partitioned.
+SMALL_MEDIAN_ROWS = 1_000_000
+
+
+def _interp(lo, hi):
+    # numpy/pandas linear interpolation at q = 0.5: hi - (hi - lo) * 0.5
+    return hi - (hi - lo) * F.lit(0.5)
+
 
-    Spark's ``median`` merges every distinct value in one task; here the values are
-    range-partitioned on (value, hash of ``tiebreak``) so even one value repeated in a
-    third of the rows is split, each range partition is ranked locally, and the
-    partition sizes (one row per partition: a proven bound) give global ranks.
+def exact_medians(df: DataFrame, cols: list[str], tiebreak: list[str], outs: list[str]) -> DataFrame:
+    """Exact medians of several columns as one row (pandas ``describe()['50%']``).
+
+    The value count is measured first. Up to ``SMALL_MEDIAN_ROWS`` values per column,
+    one aggregate sorts them (bounded memory). Above it -- Spark's ``median`` would merge
+    every distinct value in one task -- the values of all columns are range partitioned
+    together on (column, value, hash of ``tiebreak``), so even one value repeated in a
+    third of the rows is split; each range partition is ranked locally and the partition
+    sizes (one row per partition: a proven bound, broadcast) give the global ranks.
     """
+    n = df.select(*[F.count(c).alias(c) for c in cols]).first()
+    if max(n) <= SMALL_MEDIAN_ROWS:
+        aggs = []
+        for c, o in zip(cols, outs):
+            arr = F.sort_array(F.collect_list(c))
+            k = F.size(arr)
+            lo = F.element_at(arr, F.floor((k + 1) / 2).cast("int"))
+            hi = F.element_at(arr, F.floor((k + 2) / 2).cast("int"))
+            aggs.append(F.when(k > 0, _interp(lo, hi)).alias(o))
+        return df.select(*cols).agg(*aggs)
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_v"), F.xxhash64(*tiebreak).alias("_t"))
-    r = v.repartitionByRange(parts, "_v", "_t").withColumn("_p", F.spark_partition_id())
-    r = r.withColumn("_lr", F.row_number().over(Window.partitionBy("_p").orderBy("_v", "_t")))
-    cnt = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offs = cnt.select("_p", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"),
-                      F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    g = r.join(F.broadcast(offs), "_p").select("_v", (F.col("_off") + F.col("_lr")).alias("_g"), "_n")
+    h = F.xxhash64(*tiebreak)
+    v = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_k"), F.col(c).cast("double").alias("_v"))
+                                      for i, c in enumerate(cols)])).alias("s"), h.alias("_t")) \
+          .select("s._k", "s._v", "_t").where(F.col("_v").isNotNull())
+    r = v.repartitionByRange(parts, "_k", "_v", "_t").withColumn("_p", F.spark_partition_id())
+    r = r.withColumn("_lr", F.row_number().over(Window.partitionBy("_p", "_k").orderBy("_v", "_t")))
+    cnt = r.groupBy("_p", "_k").agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = cnt.select("_p", "_k", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"),
+                      F.sum("_c").over(Window.partitionBy("_k")).alias("_n"))
+    g = r.join(F.broadcast(offs), ["_p", "_k"]).select("_k", "_v", (F.col("_off") + F.col("_lr")).alias("_g"), "_n")
     lo_r, hi_r = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    pick = g.where((F.col("_g") == lo_r) | (F.col("_g") == hi_r)).agg(
+    pick = g.where((F.col("_g") == lo_r) | (F.col("_g") == hi_r)).groupBy("_k").agg(
         F.max(F.when(F.col("_g") == lo_r, F.col("_v"))).alias("lo"),
         F.max(F.when(F.col("_g") == hi_r, F.col("_v"))).alias("hi"))
-    return pick.select((F.col("hi") - (F.col("hi") - F.col("lo")) * F.lit(0.5)).alias(out or f"median_{col}"))
+    m = pick.select("_k", _interp(F.col("lo"), F.col("hi")).alias("_m"))
+    return m.agg(*[F.max(F.when(F.col("_k") == i, F.col("_m"))).alias(o) for i, o in enumerate(outs)])
+
+
+def exact_median(df: DataFrame, col: str, tiebreak: list[str], out: str | None = None) -> DataFrame:
+    return exact_medians(df, [col], tiebreak, [out or f"median_{col}"])
 
 
 def class_thresholds(history: DataFrame, tiebreak: list[str]) -> DataFrame:
     """Medians of historical max_acc and max_speed (one row)."""
-    a = exact_median(history, "max_acc", tiebreak, "acc_median")
-    s = exact_median(history, "max_speed", tiebreak, "speed_median")
-    return a.crossJoin(s)
+    return exact_medians(history, ["max_acc", "max_speed"], tiebreak, ["acc_median", "speed_median"])
 
 
 def classify(events: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ class Chain:
         return self._memo[name]
 
     def raw(self) -> DataFrame:
-        return self._get("raw", lambda: self._m(tables.tracking(self.spark, self.sf_dir)))
+        return self._get("raw", lambda: tables.tracking(self.spark, self.sf_dir))
 
     def tracking(self) -> DataFrame:
         return self._get("tracking", lambda: K.lag_rate(self.raw(), self.keys, seg_rows=self.seg_rows))
@@ -65,7 +65,7 @@ class Chain:
 
     def thresholds(self) -> DataFrame:
         # the historical table is not shipped: medians over the filtered events
-        return self._get("thr", lambda: self._m(SC.class_thresholds(self.filtered(), EVENT_TIEBREAK)))
+        return self._get("thr", lambda: SC.class_thresholds(self.filtered(), EVENT_TIEBREAK))
 
     def classified(self) -> DataFrame:
         return self._get("classified", lambda: SC.classify(self.filtered(), self.thresholds()))

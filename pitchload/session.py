@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -58,11 +59,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut(df):
-    """Cut lineage: reliable checkpoint into the shared checkpoint folder.
+def cut(df, name: str = "stage"):
+    """Cut lineage by writing the frame as a Parquet table in the shared checkpoint
+    folder and reading it back.
 
-    Long chains of self-joined scans grow the logical plan; a checkpoint ends the
-    chain and leaves a copy that survives lost executors (never a local checkpoint).
+    Long chains of self-joined scans grow the logical plan; the written table ends the
+    chain, is computed exactly once (an RDD checkpoint computes it twice), survives lost
+    executors (never a local checkpoint), and lets later filters push down into it.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
