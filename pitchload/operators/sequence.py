@@ -59,22 +59,23 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str | Column], bucke
 
 def segment(df: DataFrame, rn: str = "rn", size: int = SEGMENT_ROWS, before: int = 0,
             after: int = 0) -> DataFrame:
-    """Add ``_seg`` and ``_halo``; duplicate neighbour rows as halo rows."""
+    """Add ``_seg`` and ``_halo``; duplicate neighbour rows as halo rows.
+
+    One pass: each row explodes into its own segment plus, near a boundary, a halo
+    copy for the neighbouring segment (no union re-reading the input).
+    """
     if before > size or after > size:
         raise ValueError("halo larger than a segment")
     pos = (F.col(rn) - 1) % size
-    base = df.withColumn(SEG, F.floor((F.col(rn) - 1) / size)).withColumn(HALO, F.lit(False))
-    parts = [base]
+    seg = F.floor((F.col(rn) - 1) / size)
+    targets = [F.struct(seg.alias("s"), F.lit(False).alias("h"))]
     if before:
-        parts.append(base.where(pos >= size - before)
-                     .withColumn(SEG, F.col(SEG) + 1).withColumn(HALO, F.lit(True)))
+        targets.append(F.when(pos >= size - before, F.struct((seg + 1).alias("s"), F.lit(True).alias("h"))))
     if after:
-        parts.append(base.where((pos < after) & (F.col(SEG) > 0))
-                     .withColumn(SEG, F.col(SEG) - 1).withColumn(HALO, F.lit(True)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        targets.append(F.when((pos < after) & (seg > 0), F.struct((seg - 1).alias("s"), F.lit(True).alias("h"))))
+    t = F.explode(F.filter(F.array(*targets), lambda x: x.isNotNull())) if len(targets) > 1 else targets[0]
+    cols = [c for c in df.columns if c not in (SEG, HALO)]
+    return df.select(*cols, t.alias("_t")).select(*cols, F.col("_t.s").alias(SEG), F.col("_t.h").alias(HALO))
 
 
 def seg_window(keys: list[str], rn: str = "rn") -> Window:

@@ -32,6 +32,7 @@ class Chain:
     keys: list[str] = field(default_factory=lambda: list(tables.TRACKING_KEYS))
     seg_rows: int = SEGMENT_ROWS
     materialize: bool = True
+    cut_inner: bool = False
     _memo: dict = field(default_factory=dict)
 
     def _m(self, df: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ class Chain:
     def extracted(self) -> DataFrame:
         return self._get("extracted", lambda: self._m(E.extract_events(
             self.enriched(), self.keys, seg_rows=self.seg_rows,
-            materialize=self._m if self.materialize else None)))
+            materialize=self._m if self.materialize and self.cut_inner else None)))
 
     def merged(self, flush_open: bool = False) -> DataFrame:
         return self._get(f"merged{flush_open}", lambda: E.merge_events(
