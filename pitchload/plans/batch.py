@@ -49,6 +49,11 @@ class Chain:
     def tracking(self) -> DataFrame:
         return self._get("tracking", lambda: K.lag_rate(self.raw(), self.keys, seg_rows=self.seg_rows))
 
+    def rows(self) -> DataFrame:
+        """Enriched rows without automaton flags, not cut: for queries that read them once,
+        so Catalyst prunes every column (and window) they do not use."""
+        return self._get("rows", lambda: K.enrich(self.raw(), self.keys, seg_rows=self.seg_rows, flags=False))
+
     def enriched(self) -> DataFrame:
         return self._get("enriched", lambda: self._m(K.enrich(self.raw(), self.keys, seg_rows=self.seg_rows)))
 

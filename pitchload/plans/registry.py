@@ -77,7 +77,7 @@ def _chain(spark, sf_dir) -> Chain:
 @q("agg_zone_distance", ENR('SELECT team, jersey_number, speedzone AS "speedZone", sum(dist) AS total_distance '
                             "FROM enriched WHERE speedzone IS NOT NULL GROUP BY ALL"))
 def agg_zone_distance(spark, sf):
-    return Z.zone_distance(_chain(spark, sf).enriched())
+    return Z.zone_distance(_chain(spark, sf).rows())
 
 
 @q("win_lag_rate", TRK("SELECT player_id, ts_ms, x, y, speed, acc_actual, acc_event FROM tracking"))
@@ -122,14 +122,14 @@ def fn_units(spark, sf):
 
 @q("fn_speed_zone", ENR("SELECT player_id, ts_ms, speed, speedzone FROM enriched"))
 def fn_speed_zone(spark, sf):
-    return _chain(spark, sf).enriched().select("player_id", "ts_ms", "speed", "speedzone")
+    return _chain(spark, sf).rows().select("player_id", "ts_ms", "speed", "speedzone")
 
 
 @q("agg_zone_running", ENR("""SELECT player_id, ts_ms, speedzone,
   round_even(sum(dist) OVER (PARTITION BY player_id, speedzone ORDER BY ts_ms ROWS UNBOUNDED PRECEDING), 6) AS cum_dist
   FROM enriched WHERE speedzone IS NOT NULL"""))
 def agg_zone_running(spark, sf):
-    r = Z.zone_running(_chain(spark, sf).enriched(), KEYS)
+    r = Z.zone_running(_chain(spark, sf).rows(), KEYS)
     return r.select("player_id", "ts_ms", "speedzone", S.round_half_even("cum_dist", 6).alias("cum_dist"))
 
 
@@ -148,12 +148,12 @@ def _zone_long(df):
 
 @q("reshape_zone_melt", _ZONE_LONG_SQL)
 def reshape_zone_melt(spark, sf):
-    return _zone_long(R.zone_melt(Z.zone_snapshot(_chain(spark, sf).enriched(), KEYS)))
+    return _zone_long(R.zone_melt(Z.zone_snapshot(_chain(spark, sf).rows(), KEYS)))
 
 
 @q("src_zone_snapshot", _ZONE_LONG_SQL)
 def src_zone_snapshot(spark, sf):
-    path = D.write_zone_snapshot(Z.zone_snapshot(_chain(spark, sf).enriched(), KEYS))
+    path = D.write_zone_snapshot(Z.zone_snapshot(_chain(spark, sf).rows(), KEYS))
     return _zone_long(R.zone_melt(FS.read_zone_snapshot(spark, path)))
 
 
@@ -162,7 +162,7 @@ def src_zone_snapshot(spark, sf):
   (CASE team WHEN 0 THEN 'CH' WHEN 1 THEN 'PT' ELSE CAST(team AS VARCHAR) END) || '-' || CAST(jersey_number AS VARCHAR) AS team_pl
 FROM (SELECT team, jersey_number, speedzone, sum(dist) AS d FROM enriched WHERE speedzone IS NOT NULL GROUP BY ALL)"""))
 def agg_zone_km(spark, sf):
-    z = Z.zone_distance(_chain(spark, sf).enriched())
+    z = Z.zone_distance(_chain(spark, sf).rows())
     return Z.zone_km(z.select("team", F.col("jersey_number").alias("player"),
                               F.col("speedZone").alias("speedzone"), F.col("total_distance").alias("dist")))
 
@@ -170,7 +170,7 @@ def agg_zone_km(spark, sf):
 @q("sort_team_jersey", ENR("""SELECT team, jersey_number, speedzone AS "speedZone", round_even(sum(dist), 6) AS total_distance
   FROM enriched WHERE speedzone IS NOT NULL GROUP BY ALL ORDER BY team, jersey_number, "speedZone\""""))
 def sort_team_jersey(spark, sf):
-    z = Z.zone_distance(_chain(spark, sf).enriched())
+    z = Z.zone_distance(_chain(spark, sf).rows())
     return z.select("team", "jersey_number", "speedZone", S.round_half_even("total_distance", 6).alias("total_distance")) \
             .orderBy("team", "jersey_number", "speedZone")
 
@@ -179,7 +179,7 @@ def sort_team_jersey(spark, sf):
                             + ", ".join(f"CASE WHEN speedzone = {i} THEN y END AS y_{i}" for i in range(1, 6))
                             + " FROM enriched"))
 def reshape_zone_mask(spark, sf):
-    return R.zone_mask(_chain(spark, sf).enriched().select("player_id", "ts_ms", "speedzone", "y")).drop("y")
+    return R.zone_mask(_chain(spark, sf).rows().select("player_id", "ts_ms", "speedzone", "y")).drop("y")
 
 
 _LEAD_SQL = TRK("""SELECT player_id, t1, t2, v1, v2, color FROM (
@@ -625,7 +625,7 @@ WHERE gmax > (SELECT max(ts_ms) - 120000 FROM enriched)""")
 
 
 def _cache(spark, sf):
-    e = _chain(spark, sf).enriched().select(*_CACHE_COLS)
+    e = _chain(spark, sf).rows().select(*_CACHE_COLS)
     path = D.write_tracking_cache(e, KEYS)
     return FS.read_tracking_cache(spark, path, e.schema)
 
@@ -636,7 +636,7 @@ q("flt_non_null_payload", _CACHE_SQL)(_cache)
 
 @q("sink_tracking_ttl", ENR(f"SELECT {', '.join(_CACHE_COLS)} FROM enriched WHERE ts_ms > (SELECT max(ts_ms) - 120000 FROM enriched)"))
 def sink_tracking_ttl(spark, sf):
-    e = _chain(spark, sf).enriched().select(*_CACHE_COLS)
+    e = _chain(spark, sf).rows().select(*_CACHE_COLS)
     return W.retained(e)
 
 
@@ -651,7 +651,7 @@ def sink_event_append(spark, sf):
 @q("sink_zone_upsert", ENR("""SELECT team, jersey_number, speedzone AS "speedZone", round_even(sum(dist), 6) AS total_distance
   FROM enriched WHERE speedzone IS NOT NULL GROUP BY ALL"""))
 def sink_zone_upsert(spark, sf):
-    e = _chain(spark, sf).enriched()
+    e = _chain(spark, sf).rows()
     path = D.scratch(spark, "zone-sink")
     half = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ts_ms)").alias("_m"))
     first = e.crossJoin(F.broadcast(half)).where(F.col("ts_ms") <= F.col("_m")).drop("_m")

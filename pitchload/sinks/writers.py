@@ -14,9 +14,15 @@ from pitchload.sources.files import META_FIELD
 TTL_MS = 120_000   # fixed value: cache retention
 
 
-def keyed_values(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Records as (key, JSON value), partitioned by the key (the topic send)."""
-    return df.repartition(*keys).select(F.concat_ws("-", *[F.col(k).cast("string") for k in keys]).alias("key"),
+def keyed_values(df: DataFrame, keys: list[str], order: str = "ts_start") -> DataFrame:
+    """Records as (key, JSON value), clustered by key (the keyed topic send).
+
+    Range partitioning on (key, order) keeps each key's records together and in
+    order, yet splits a hot key over several partitions (hash on the key would not).
+    """
+    spread = [*keys, order] if order in df.columns else list(keys)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *spread).sortWithinPartitions(*spread).select(F.concat_ws("-", *[F.col(k).cast("string") for k in keys]).alias("key"),
                                         F.to_json(F.struct(*df.columns)).alias("value"))
 
 
