@@ -688,3 +688,104 @@ def sink_keyed_stream(spark, sf):
     kv = W.keyed_values(s, KEYS)
     back = kv.select("key", F.from_json("value", s.schema).alias("r"))
     return back.select("key", "r.player_id", "r.ts_start")
+
+
+# ---------------------------------------------------------------- live path (Structured Streaming)
+def _live(spark, sf):
+    """Replay the tracking rows as three JSON files (by time), run the live job to the end
+    (``availableNow``) and return (chain, sink folder). Timestamps go through ISO text."""
+    from pitchload.streaming import live
+    import uuid as _uuid
+    c = _chain(spark, sf)
+    raw = c.raw()
+    ing = raw.select(S.format_iso_ms(F.col("ts_ms") + F.lit(KICKOFF_EPOCH_MS)).alias("timestamp"), "team",
+                     "jersey_number", "x", "y", "speed", F.lit(0).alias("half"),
+                     S.teamjersey("jersey_number", "team").alias("teamjersey"), "player_id", "ts_ms")
+    hi = raw.agg(F.max("ts_ms")).first()[0] + 1
+    src, sink = D.scratch(spark, "live-src"), D.scratch(spark, "live-sink")
+    cuts = [0, hi // 3, 2 * hi // 3, hi]
+    for lo, up in zip(cuts, cuts[1:]):
+        ing.where((F.col("ts_ms") >= lo) & (F.col("ts_ms") < up)).drop("ts_ms").coalesce(1) \
+           .write.mode("append").json(src)
+    q = live.start_live(spark, src, sink, c.thresholds(), name=f"live-{_uuid.uuid4().hex[:10]}", max_files=1)
+    q.awaitTermination()
+    return c, sink
+
+
+def _since_kickoff(df, cols):
+    return df.select(*[(F.col(c) - F.lit(KICKOFF_EPOCH_MS)).alias(c) if c in ("ts_ms", "ts_start", "ts_end")
+                       else F.col(c) for c in cols])
+
+
+@q("st_event_pipeline", SCO(f'SELECT {EV_SQL}, event_class, "percAcc" FROM scored'))
+def st_event_pipeline(spark, sf):
+    _, sink = _live(spark, sf)
+    return _since_kickoff(spark.read.parquet(f"{sink}/scored"), EV_COLS + ["event_class", "percAcc"])
+
+
+@q("st_keyed_state", MRG(f"SELECT {EV_SQL} FROM merged"))
+def st_keyed_state(spark, sf):
+    _, sink = _live(spark, sf)
+    return _since_kickoff(spark.read.parquet(f"{sink}/merged"), EV_COLS)
+
+
+@q("st_gap_close", EXT(f"SELECT {EV_SQL} FROM extracted"))
+def st_gap_close(spark, sf):
+    _, sink = _live(spark, sf)
+    return _since_kickoff(spark.read.parquet(f"{sink}/extracted"), EV_COLS)
+
+
+_EN_COLS = ["player_id", "ts_ms", "x", "y", "speed", "acc_actual", "acc_event", "start_event", "dist", "speedzone"]
+
+
+@q("src_tracking_stream", ENR(f"SELECT {', '.join(_EN_COLS)} FROM enriched"))
+def src_tracking_stream(spark, sf):
+    _, sink = _live(spark, sf)
+    return _since_kickoff(spark.read.parquet(f"{sink}/enriched"), _EN_COLS)
+
+
+@q("st_earliest_offset", RAW("SELECT count(*) AS n_rows FROM raw"))
+def st_earliest_offset(spark, sf):
+    """Every replayed row is read from the first file on: enriched rows + the warm-up
+    rows each key spends before its first enriched row."""
+    c, sink = _live(spark, sf)
+    en = spark.read.parquet(f"{sink}/enriched").agg(F.count(F.lit(1)).alias("en"))
+    warm = c.raw().groupBy("player_id").agg(F.least(F.count(F.lit(1)), F.lit(K.SMALL_LAG + 1)).alias("w")) \
+              .agg(F.sum("w").alias("warm"))
+    return en.crossJoin(warm).select((F.col("en") + F.col("warm")).alias("n_rows"))
+
+
+_ZONE_SQL = ENR("""SELECT team, jersey_number, speedzone AS "speedZone", round_even(sum(dist), 6) AS total_distance
+  FROM enriched WHERE speedzone IS NOT NULL GROUP BY ALL""")
+
+
+def _zone_stream(spark, sf):
+    from pitchload.streaming import live
+    import uuid as _uuid
+    _, sink = _live(spark, sf)
+    zs = D.scratch(spark, "zone-stream")
+    live.zone_totals_stream(spark, f"{sink}/enriched", zs, name=f"zones-{_uuid.uuid4().hex[:10]}").awaitTermination()
+    out = W.read_latest(spark, zs, ["team", "jersey_number", "speedZone"])
+    return out.select("team", "jersey_number", "speedZone",
+                      S.round_half_even("total_distance", 6).alias("total_distance"))
+
+
+q("st_continuous_zone_sum", _ZONE_SQL)(_zone_stream)
+q("src_enriched_stream", _ZONE_SQL)(_zone_stream)
+
+
+@q("st_session_merge", _sql(*O.BASE_EVENTS, O.MERGED.replace("WHERE grp < last_grp", "WHERE true"))(
+    f"SELECT {EV_SQL.replace('team, jersey_number, ', '')} FROM merged"))
+def st_session_merge(spark, sf):
+    from pitchload.streaming import live
+    ev = live.session_merge(_chain(spark, sf).extracted())
+    return ev.select(*[c for c in EV_COLS if c not in ("team", "jersey_number")])
+
+
+@q("st_ttl_cache", _CACHE_SQL)
+def st_ttl_cache(spark, sf):
+    """The cache written by the live job's enriched rows, with 120 s retention."""
+    _, sink = _live(spark, sf)
+    e = _since_kickoff(spark.read.parquet(f"{sink}/enriched"), _CACHE_COLS)
+    path = D.write_tracking_cache(e, KEYS)
+    return FS.read_tracking_cache(spark, path, e.schema)
