@@ -74,10 +74,13 @@ def _chain(spark, sf_dir) -> Chain:
 
 
 # ---------------------------------------------------------------- kinematics / zones
-@q("agg_zone_distance", ENR('SELECT team, jersey_number, speedzone AS "speedZone", sum(dist) AS total_distance '
+# floating sums depend on summation order, which differs between engines: the
+# registered sums are rounded to 6 decimals (micrometres) on both sides
+@q("agg_zone_distance", ENR('SELECT team, jersey_number, speedzone AS "speedZone", round_even(sum(dist), 6) AS total_distance '
                             "FROM enriched WHERE speedzone IS NOT NULL GROUP BY ALL"))
 def agg_zone_distance(spark, sf):
-    return Z.zone_distance(_chain(spark, sf).rows())
+    z = Z.zone_distance(_chain(spark, sf).rows())
+    return z.select("team", "jersey_number", "speedZone", S.round_half_even("total_distance", 6).alias("total_distance"))
 
 
 @q("win_lag_rate", TRK("SELECT player_id, ts_ms, x, y, speed, acc_actual, acc_event FROM tracking"))
