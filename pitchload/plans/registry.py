@@ -694,7 +694,7 @@ def sink_keyed_stream(spark, sf):
 
 
 # ---------------------------------------------------------------- live path (Structured Streaming)
-def _live(spark, sf):
+def _live(spark, sf, periodic: bool = False):
     """Replay the tracking rows as three JSON files (by time), run the live job to the end
     (``availableNow``) and return (chain, sink folder). Timestamps go through ISO text."""
     from pitchload.streaming import live
@@ -710,8 +710,15 @@ def _live(spark, sf):
     for lo, up in zip(cuts, cuts[1:]):
         ing.where((F.col("ts_ms") >= lo) & (F.col("ts_ms") < up)).drop("ts_ms").coalesce(1) \
            .write.mode("append").json(src)
-    q = live.start_live(spark, src, sink, c.thresholds(), name=f"live-{_uuid.uuid4().hex[:10]}", max_files=1)
-    q.awaitTermination()
+    if periodic:
+        # the dashboard's 15 s refresh: a processing-time trigger, drained and stopped
+        q = live.start_live(spark, src, sink, c.thresholds(), name=f"live-{_uuid.uuid4().hex[:10]}",
+                            available_now=False, processing_time="15 seconds")
+        q.processAllAvailable()
+        q.stop()
+    else:
+        q = live.start_live(spark, src, sink, c.thresholds(), name=f"live-{_uuid.uuid4().hex[:10]}", max_files=1)
+        q.awaitTermination()
     return c, sink
 
 
@@ -792,3 +799,9 @@ def st_ttl_cache(spark, sf):
     e = _since_kickoff(spark.read.parquet(f"{sink}/enriched"), _CACHE_COLS)
     path = D.write_tracking_cache(e, KEYS)
     return FS.read_tracking_cache(spark, path, e.schema)
+
+
+@q("st_periodic_refresh", SCO(f'SELECT {EV_SQL}, event_class, "percAcc" FROM scored'))
+def st_periodic_refresh(spark, sf):
+    _, sink = _live(spark, sf, periodic=True)
+    return _since_kickoff(spark.read.parquet(f"{sink}/scored"), EV_COLS + ["event_class", "percAcc"])
