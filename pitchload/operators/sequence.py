@@ -38,10 +38,6 @@ SEG = "_seg"
 HALO = "_halo"
 
 
-def _cols(keys):
-    return [F.col(k) for k in keys]
-
-
 def number_rows(df: DataFrame, keys: list[str], order: list[str | Column], bucket: Column,
                 out: str = "rn") -> DataFrame:
     """Add ``out`` = 1-based row number of each row inside its key by ``order``.

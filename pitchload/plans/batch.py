@@ -32,7 +32,7 @@ class Chain:
     keys: list[str] = field(default_factory=lambda: list(tables.TRACKING_KEYS))
     seg_rows: int = SEGMENT_ROWS
     materialize: bool = True
-    cut_inner: bool = False
+    cut_inner: bool = True
     _memo: dict = field(default_factory=dict)
 
     def _m(self, df: DataFrame) -> DataFrame:
