@@ -460,7 +460,7 @@ def fn_shift_pitch(spark, sf):
 
 
 @q("win_route_segments", SCO(f"""SELECT player_id, segment_id, ts_start, ts_ms, x + 52.5e0 AS x, y + 34e0 AS y, speedzone FROM (
-  SELECT *, sum(brk) OVER (PARTITION BY player_id ORDER BY ts_start, ts_ms ROWS UNBOUNDED PRECEDING) AS segment_id FROM (
+  SELECT *, CAST(sum(brk) OVER (PARTITION BY player_id ORDER BY ts_start, ts_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment_id FROM (
     SELECT *, CASE WHEN lag(ts_ms) OVER w IS NULL OR ts_ms - lag(ts_ms) OVER w <> 40 THEN 1 ELSE 0 END AS brk
     FROM ({_ROUTE_SEL}) WINDOW w AS (PARTITION BY player_id ORDER BY ts_start, ts_ms)))
 QUALIFY segment_id < max(segment_id) OVER (PARTITION BY player_id)"""))
