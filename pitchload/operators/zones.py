@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchload.functions import scalar as S
-from pitchload.operators.sequence import SEGMENT_ROWS, Scan, number_rows, scan
+from pitchload.operators.sequence import SEGMENT_ROWS, Scan, scan
 
 
 def zone_distance(enriched: DataFrame, zone: str = "speedzone",
@@ -24,17 +24,26 @@ def zone_gaps(enriched: DataFrame, keys: list[str], zone: str = "speedzone") ->
     return enriched.where(F.col(zone).isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_without_zone"))
 
 
-def zone_running(enriched: DataFrame, keys: list[str], zone: str = "speedzone", ts: str = "ts_ms",
-                 seg_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Cumulative metres per key and zone, one value per row (the live per-player map).
+def zone_running(enriched: DataFrame, keys: list[str], zone: str = "speedzone", rn: str = "rn",
+                 first_rn: int | None = None, seg_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """The live per-player zone map after every row: ``dist_1`` .. ``dist_5`` = metres
+    covered so far in each zone, emitted from each key's second row on (the first row
+    only starts the map). Rows without a zone add to no zone.
 
-    The running sum is a two-level scan over (key, zone) positions, so one
+    Five running sums in one two-level scan over the key's positions, so one
     player's long match is split over segments instead of one task.
     """
-    kz = [*keys, zone]
-    d = enriched.where(F.col(zone).isNotNull())
-    d = number_rows(d, kz, [ts], F.floor(F.col(ts) / 60_000), out="_zrn")
-    return scan(d, kz, [Scan("cum_dist", "dist", "cumsum")], rn="_zrn", size=seg_rows).drop("_zrn")
+    zones = [z for z, _, _ in S.SPEED_ZONES_KMH]
+    d = enriched.select(*keys, rn, "ts_ms", "team", "jersey_number",
+                        *[F.when(F.col(zone) == z, F.col("dist")).otherwise(F.lit(0.0)).alias(f"_d{z}")
+                          for z in zones])
+    out = scan(d, keys, [Scan(f"dist_{z}", f"_d{z}", "cumsum") for z in zones], rn=rn, size=seg_rows)
+    if first_rn is None:
+        first = out.groupBy(*keys).agg(F.min(rn).alias("_first"))
+        out = out.join(first, keys).where(F.col(rn) > F.col("_first")).drop("_first")
+    else:
+        out = out.where(F.col(rn) > first_rn)
+    return out.drop(*[f"_d{z}" for z in zones])
 
 
 def zone_snapshot(enriched: DataFrame, keys: list[str], zone: str = "speedzone") -> DataFrame:

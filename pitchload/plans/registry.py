@@ -126,12 +126,17 @@ def fn_speed_zone(spark, sf):
     return _chain(spark, sf).rows().select("player_id", "ts_ms", "speed", "speedzone")
 
 
-@q("agg_zone_running", ENR("""SELECT player_id, ts_ms, speedzone,
-  round_even(sum(dist) OVER (PARTITION BY player_id, speedzone ORDER BY ts_ms ROWS UNBOUNDED PRECEDING), 6) AS cum_dist
-  FROM enriched WHERE speedzone IS NOT NULL"""))
+_ZR = ", ".join(f"round_even(sum(CASE WHEN speedzone = {z} THEN dist ELSE 0e0 END) OVER w, 6) AS dist_{z}"
+                for z in range(1, 6))
+
+
+@q("agg_zone_running", ENR(f"""SELECT player_id, ts_ms, team, jersey_number, {_ZR}
+  FROM enriched WINDOW w AS (PARTITION BY player_id ORDER BY rn ROWS UNBOUNDED PRECEDING)
+  QUALIFY rn > min(rn) OVER (PARTITION BY player_id)"""))
 def agg_zone_running(spark, sf):
-    r = Z.zone_running(_chain(spark, sf).rows(), KEYS)
-    return r.select("player_id", "ts_ms", "speedzone", S.round_half_even("cum_dist", 6).alias("cum_dist"))
+    r = Z.zone_running(_chain(spark, sf).rows(), KEYS, first_rn=K.SMALL_LAG + 2)
+    return r.select("player_id", "ts_ms", "team", "jersey_number",
+                    *[S.round_half_even(f"dist_{z}", 6).alias(f"dist_{z}") for z in range(1, 6)])
 
 
 _ZONE_LONG_SQL = ENR("""SELECT CAST(team AS INTEGER) AS team, CAST(jersey_number AS INTEGER) AS player,
