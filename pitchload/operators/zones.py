@@ -64,4 +64,5 @@ def zone_km(zone_long: DataFrame, player: str = "player", zone: str = "speedzone
         S.team_label("team").alias("team"), F.col(player).alias("player"),
         F.col(zone).cast("double").alias("speedzone"),
         S.round_half_even(F.col(dist) / F.lit(1000.0), 3).alias("dist"),
-        S.team_player_label("team", player).alias("team_pl")))
+        S.team_player_label("team", player).alias("team_pl"))
+        .orderBy("team", "player", "speedzone"))
