@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchload.functions import scalar as S
 from pitchload.operators.sequence import Scan, number_rows, scan
+from pitchload.session import broadcast_checked
 
 
 def number_periods(periods: DataFrame, match_keys: list[str] = ()) -> DataFrame:
@@ -18,13 +19,14 @@ def number_periods(periods: DataFrame, match_keys: list[str] = ()) -> DataFrame:
 def assign_half(frames: DataFrame, periods: DataFrame, frame: str = "frame_id",
                 match_keys: list[str] = ()) -> DataFrame:
     """Inner range join: a frame gets the half whose [start, end] (inclusive) holds it;
-    frames between periods are dropped. Periods are a handful of rows per match, so
-    they are broadcast (size bound: periods per match x matches in the batch)."""
+    frames between periods are dropped. Periods are a handful of rows per match; they
+    are broadcast after a row count confirms the bound (many matches -> shuffle join
+    on the match keys, then the range test)."""
     cond = F.col(frame).between(F.col("start_frame"), F.col("end_frame"))
     for k in match_keys:
         cond = cond & (frames[k] == periods[k])
     p = periods.select(*[F.col(k).alias(k) for k in match_keys], "start_frame", "end_frame", "half")
-    j = frames.join(F.broadcast(p), cond, "inner")
+    j = frames.join(broadcast_checked(p), cond, "inner")
     for k in match_keys:
         j = j.drop(p[k])
     return j.drop("start_frame", "end_frame")
@@ -52,7 +54,7 @@ def first_per_frame(rows: DataFrame, frame: str, order: str, keys: list[str] = (
     """First row (by ``order``) of each frame, the very first frame excluded."""
     f = rows.groupBy(*keys, frame).agg(F.min(order).alias(order))
     lo = f.groupBy(*keys).agg(F.min(frame).alias("_lo")) if keys else f.agg(F.min(frame).alias("_lo"))
-    j = f.join(F.broadcast(lo), on=list(keys)) if keys else f.crossJoin(F.broadcast(lo))
+    j = f.join(broadcast_checked(lo), on=list(keys)) if keys else f.crossJoin(F.broadcast(lo))
     return j.where(F.col(frame) > F.col("_lo")).drop("_lo")
 
 
