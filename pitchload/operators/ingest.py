@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchload.functions import scalar as S
-from pitchload.operators.sequence import Scan, number_rows, scan
+from pitchload.operators.sequence import Scan, dense_rank_global, number_rows, scan
 from pitchload.session import broadcast_checked
 
 
@@ -62,10 +62,8 @@ def dense_player_id(df: DataFrame, team: str = "team", jersey: str = "jersey_num
                     out: str = "player_id") -> DataFrame:
     """teamjersey = int(jersey || team); ``out`` = dense rank of teamjersey.
 
-    Ranked over the distinct values only (players: a small set), then joined back;
-    AQE broadcasts that side when its measured size is small.
+    The rank is computed over the distinct values without a single-task window
+    (``sequence.dense_rank_global``) and joined back on teamjersey.
     """
     d = df.withColumn("teamjersey", S.teamjersey(jersey, team))
-    ids = d.select("teamjersey").distinct().withColumn(
-        out, F.dense_rank().over(Window.orderBy("teamjersey")).cast("int"))
-    return d.join(ids, on="teamjersey", how="inner")
+    return d.join(dense_rank_global(d, "teamjersey", out), on="teamjersey", how="inner")

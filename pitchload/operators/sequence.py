@@ -167,3 +167,20 @@ def scan(df: DataFrame, keys: list[str], specs: list[Scan], rn: str = "rn",
         outs.append(e.alias(s.out))
     drop = [SEG] + list(vals.values()) + [f"_l_{s.out}" for s in specs] + [f"_c_{s.out}" for s in specs]
     return j.select("*", *outs).drop(*drop)
+
+
+def dense_rank_global(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Dense rank (1..k) of the distinct values of ``col`` over the whole table.
+
+    A global ``dense_rank()`` window runs in one task; here the distinct values are
+    range partitioned, ranked inside each partition, and shifted by the counts of the
+    partitions before it (one row per partition, broadcast).
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = df.select(col).where(F.col(col).isNotNull()).distinct() \
+          .repartitionByRange(parts, col).withColumn("_p", F.spark_partition_id())
+    v = v.withColumn("_lr", F.row_number().over(Window.partitionBy("_p").orderBy(col)))
+    cnt = v.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    offs = cnt.select("_p", F.coalesce(F.sum("_c").over(
+        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return v.join(F.broadcast(offs), "_p").select(col, (F.col("_off") + F.col("_lr")).cast("int").alias(out))
