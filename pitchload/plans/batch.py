@@ -26,13 +26,15 @@ EVENT_TIEBREAK = ["player_id", "ts_start"]
 
 @dataclass
 class Chain:
-    """Lazily built, memoised stages of one plan over one input directory."""
+    """Lazily built, memoised stages of one plan over one input directory, or over
+    ``source`` (e.g. ``sources.files.read_tracking_records``) when given."""
     spark: SparkSession
     sf_dir: str
     keys: list[str] = field(default_factory=lambda: list(tables.TRACKING_KEYS))
     seg_rows: int = SEGMENT_ROWS
     materialize: bool = True
     cut_inner: bool = True
+    source: DataFrame | None = None     # rows with keys, ts_ms, team, jersey_number, x, y (cm), speed
     _memo: dict = field(default_factory=dict)
 
     def _m(self, df: DataFrame) -> DataFrame:
@@ -44,6 +46,8 @@ class Chain:
         return self._memo[name]
 
     def raw(self) -> DataFrame:
+        if self.source is not None:
+            return self._get("raw", lambda: self.source)
         return self._get("raw", lambda: tables.tracking(self.spark, self.sf_dir))
 
     def tracking(self) -> DataFrame:

@@ -12,6 +12,19 @@ from pitchload.operators.ingest import number_periods
 META_FIELD = "__meta"   # trailing metadata field of stored records, dropped on read
 
 
+def read_tracking_records(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Exported tracking records (ingestion schema: ISO timestamp with offset, team,
+    jersey, x/y in cm, speed in m/s, half, teamjersey, player_id) -> rows for the
+    batch chain, with ``ts_ms`` parsed once. Unparsable timestamps become NULL and
+    are dropped (they cannot be ordered)."""
+    r = spark.read.schema(SCH.INGESTION).format(fmt)
+    if fmt == "csv":
+        r = r.option("header", True)
+    df = r.load(path)
+    from pitchload.functions.scalar import parse_iso_ms
+    return df.withColumn("ts_ms", parse_iso_ms("timestamp")).where(F.col("ts_ms").isNotNull())
+
+
 def read_wide_frames(spark: SparkSession, path: str) -> DataFrame:
     """One row per frame line (column ``value``)."""
     return spark.read.text(path)
