@@ -3,9 +3,10 @@
 tracking -> enriched (rates, edge, distance, zone, automaton flags)
          -> extracted -> merged -> filtered -> classified -> scored
 
-Stages that later steps read more than once are cut with a reliable
-checkpoint (``session.cut``), the batch twin of the reference's topics: each
-is written once to the shared checkpoint folder and survives lost executors.
+Stages that later steps read more than once (or read with different column
+sets) are cut (``session.cut``): written once as a Parquet table in the shared
+checkpoint folder -- the batch twin of the reference's topics -- so they are
+computed once, survive lost executors and take pushed-down filters.
 """
 
 from __future__ import annotations
@@ -21,9 +22,6 @@ from pitchload.operators.sequence import SEGMENT_ROWS
 from pitchload.session import cut
 from pitchload.sources import tables
 
-EVENT_TIEBREAK = ["player_id", "ts_start"]
-
-
 @dataclass
 class Chain:
     """Lazily built, memoised stages of one plan over one input directory, or over
@@ -75,7 +73,7 @@ class Chain:
 
     def thresholds(self) -> DataFrame:
         # the historical table is not shipped: medians over the filtered events
-        return self._get("thr", lambda: SC.class_thresholds(self.filtered(), EVENT_TIEBREAK))
+        return self._get("thr", lambda: SC.class_thresholds(self.filtered(), [*self.keys, "ts_start"]))
 
     def classified(self) -> DataFrame:
         return self._get("classified", lambda: SC.classify(self.filtered(), self.thresholds()))
