@@ -172,10 +172,13 @@ def score_batch(merged: DataFrame, thresholds: DataFrame) -> DataFrame:
     return SC.score(SC.classify(SC.filter_min_action(merged), thresholds))
 
 
-def start_live(spark: SparkSession, source: str, sink: str, thresholds: DataFrame, name: str = "live",
-               available_now: bool = True, processing_time: str = "15 seconds", max_files: int | None = None):
-    """Run the live pipeline; writes ``sink``/{enriched,extracted,merged,scored,late}/batch_id=N."""
-    folded = keyed_fold(read_ingestion(spark, source, max_files=max_files))
+def start_live(spark: SparkSession, source: str | None, sink: str, thresholds: DataFrame, name: str = "live",
+               available_now: bool = True, processing_time: str = "15 seconds", max_files: int | None = None,
+               stream: DataFrame | None = None):
+    """Run the live pipeline; writes ``sink``/{enriched,extracted,merged,scored,late}/batch_id=N.
+
+    ``source`` is a folder of JSON records; or pass ``stream`` (e.g. ``read_ingestion_kafka``)."""
+    folded = keyed_fold(stream if stream is not None else read_ingestion(spark, source, max_files=max_files))
     thr = thresholds.cache()   # one row, reused by every batch
 
     def route(batch: DataFrame, batch_id: int):

@@ -36,3 +36,18 @@ def test_single_hot_key_is_split_and_exact(spark):
     from pitchload.operators.sequence import segment
     n_groups = segment(en_small.select("player_id", "rn"), size=500).select("player_id", SEG).distinct().count()
     assert n_groups >= 19
+
+
+def test_match_and_player_keys(spark):
+    """Two matches in one table, keyed by (match_id, player_id): each match reproduces
+    the single-match events exactly."""
+    from pitchload.plans.batch import Chain
+    raw = tables.tracking(spark, SF01).drop("rn")
+    two = raw.withColumn("match_id", F.lit(1)).unionByName(raw.withColumn("match_id", F.lit(2)))
+    c2 = Chain(spark, SF01, keys=["match_id", "player_id"], source=two)
+    c1 = Chain(spark, SF01)
+    cols = ["player_id", "ts_start", "ts_end", "duration", "v_init", "max_acc", "max_speed"]
+    one = sorted(tuple(r) for r in c1.merged().select(*cols).collect())
+    for m in (1, 2):
+        got = sorted(tuple(r) for r in c2.merged().where(F.col("match_id") == m).select(*cols).collect())
+        assert got == one and len(got) == 151
