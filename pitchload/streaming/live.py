@@ -32,11 +32,14 @@ from pitchload.session import checkpoint_dir
 
 _I, _L, _D, _S = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
 
-OUT = T.StructType([T.StructField(n, t) for n, t in [
-    ("kind", _S), ("player_id", _I), ("team", _I), ("jersey_number", _I), ("ts_ms", _L), ("x", _D), ("y", _D),
+# fold output after the key columns
+BODY = T.StructType([T.StructField(n, t) for n, t in [
+    ("kind", _S), ("team", _I), ("jersey_number", _I), ("ts_ms", _L), ("x", _D), ("y", _D),
     ("speed", _D), ("acc_actual", _D), ("acc_event", _D), ("start_event", _I), ("dist", _D), ("speedzone", _I),
     ("ts_start", _L), ("ts_end", _L), ("duration", _D), ("v_init", _D), ("max_acc", _D), ("max_speed", _D),
     ("late_rows", _L)]])
+# with the default key
+OUT = T.StructType([T.StructField("player_id", _I)] + BODY.fields)
 
 STATE = T.StructType([T.StructField(n, t) for n, t in [
     ("n", _L), ("last_ts", _L), ("speeds", T.ArrayType(_D)), ("prev_acc", _D), ("prev_x", _D), ("prev_y", _D),
@@ -54,7 +57,7 @@ def _zone(speed: float):
     return None
 
 
-def _fold(key, pdfs, state):
+def _fold(key, pdfs, state, key_names=("player_id",)):
     """Per-key fold over one micro-batch, rows in event-time order."""
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("ts_ms", kind="stable")
     if state.exists:
@@ -70,11 +73,10 @@ def _fold(key, pdfs, state):
         late = int((~keep).sum())
         pdf = pdf[keep]
     out = []
-    pid = int(key[0])
 
     def event_row(kind, team, jersey, ev):
         s, e, v, a, m = ev
-        out.append((kind, pid, team, jersey, None, None, None, None, None, None, None, None, None,
+        out.append((kind, team, jersey, None, None, None, None, None, None, None, None, None,
                     int(s), int(e), (int(e) - int(s)) / 1000.0, v, a, m, None))
 
     def merge(team, jersey, ev):
@@ -108,7 +110,7 @@ def _fold(key, pdfs, state):
             continue
         start = 1 if (prev_acc <= 0 and acc_ev > 0) else 0
         dist = math.sqrt((prev_x - xm) ** 2 + (prev_y - ym) ** 2)
-        out.append(("enriched", pid, team, jersey, ts, xm, ym, v, acc, acc_ev, start, dist, _zone(v),
+        out.append(("enriched", team, jersey, ts, xm, ym, v, acc, acc_ev, start, dist, _zone(v),
                     None, None, None, None, None, None, None))
         if n == _FIRST_ENRICHED or phase == 0:
             if start == 1:
@@ -125,11 +127,14 @@ def _fold(key, pdfs, state):
         prev_acc, prev_x, prev_y, last_ts = acc_ev, xm, ym, ts
 
     if late:
-        out.append(("late", pid, None, None, None, None, None, None, None, None, None, None, None,
+        out.append(("late", None, None, None, None, None, None, None, None, None, None, None,
                     None, None, None, None, None, None, late))
     state.update((n, last_ts, speeds, prev_acc, prev_x, prev_y, phase, o_ts, o_v, o_acc, o_speed, o_end,
                   m_prev, m_cur))
-    yield pd.DataFrame(out, columns=OUT.fieldNames())
+    res = pd.DataFrame(out, columns=BODY.fieldNames())
+    for i, (name, value) in enumerate(zip(key_names, key)):
+        res.insert(i, name, value)
+    yield res
 
 
 def read_ingestion(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType = SCH.INGESTION,
@@ -161,10 +166,17 @@ def read_ingestion_kafka(spark: SparkSession, servers: str, topic: str, starting
 
 
 def keyed_fold(stream: DataFrame, keys: list[str] = ("player_id",)) -> DataFrame:
-    """The stateful step: enriched rows, extracted and merged events (column ``kind``)."""
+    """The stateful step: enriched rows, extracted and merged events (column ``kind``),
+    each prefixed by the key columns (e.g. ``match_id, player_id``)."""
+    keys = list(keys)
     cols = [*keys, "team", "jersey_number", "ts_ms", "x", "y", "speed"]
-    return stream.select(*cols).groupBy(*keys).applyInPandasWithState(
-        _fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    sel = stream.select(*cols)
+    out = T.StructType([sel.schema[k] for k in keys] + BODY.fields)
+
+    def fold(key, pdfs, state):
+        return _fold(key, pdfs, state, keys)
+
+    return sel.groupBy(*keys).applyInPandasWithState(fold, out, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def score_batch(merged: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -174,11 +186,12 @@ def score_batch(merged: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def start_live(spark: SparkSession, source: str | None, sink: str, thresholds: DataFrame, name: str = "live",
                available_now: bool = True, processing_time: str = "15 seconds", max_files: int | None = None,
-               stream: DataFrame | None = None):
+               stream: DataFrame | None = None, keys: list[str] = ("player_id",)):
     """Run the live pipeline; writes ``sink``/{enriched,extracted,merged,scored,late}/batch_id=N.
 
     ``source`` is a folder of JSON records; or pass ``stream`` (e.g. ``read_ingestion_kafka``)."""
-    folded = keyed_fold(stream if stream is not None else read_ingestion(spark, source, max_files=max_files))
+    keys = list(keys)
+    folded = keyed_fold(stream if stream is not None else read_ingestion(spark, source, max_files=max_files), keys)
     thr = thresholds.cache()   # one row, reused by every batch
 
     def route(batch: DataFrame, batch_id: int):
@@ -187,7 +200,7 @@ def start_live(spark: SparkSession, source: str | None, sink: str, thresholds: D
             part = batch.where(F.col("kind") == kind).drop("kind")
             part.write.mode("overwrite").parquet(f"{sink}/{kind}/batch_id={batch_id}")
         merged = batch.where(F.col("kind") == "merged").select(
-            "player_id", "team", "jersey_number", "ts_start", "ts_end", "duration", "v_init", "max_acc", "max_speed")
+            *keys, "team", "jersey_number", "ts_start", "ts_end", "duration", "v_init", "max_acc", "max_speed")
         score_batch(merged, thr).write.mode("overwrite").parquet(f"{sink}/scored/batch_id={batch_id}")
         batch.unpersist()
 
