@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchload.functions import scalar as S
+from pitchload.session import broadcast_checked
 
 RECENT_MS = 120_000          # fixed value: the top table looks back 2 minutes
 TOP_N = 10
@@ -15,20 +16,27 @@ DISPLAY_NAMES = ["player", "event start", "duration[s]", "v init[km/h]", "max ac
                  "max speed[km/h]", "event class", "percAcc"]
 
 
-def recent(events: DataFrame, ts: str = "ts_start", window_ms: int = RECENT_MS) -> DataFrame:
-    """Events with ``ts >= max(ts) - window`` (inclusive). The bound is a one-row
-    aggregate, broadcast to every task (size bound: one row)."""
-    bound = events.agg((F.max(ts) - F.lit(window_ms)).alias("_lo"))
-    return events.crossJoin(F.broadcast(bound)).where(F.col(ts) >= F.col("_lo")).drop("_lo")
+def recent(events: DataFrame, ts: str = "ts_start", window_ms: int = RECENT_MS,
+           scope: list[str] = ()) -> DataFrame:
+    """Events with ``ts >= max(ts) - window`` (inclusive). Without ``scope`` the bound is
+    a one-row aggregate broadcast to every task; with ``scope`` (e.g. ``[match_id]``) it
+    is one row per scope value, joined back (broadcast only after a row count)."""
+    scope = list(scope)
+    if not scope:
+        bound = events.agg((F.max(ts) - F.lit(window_ms)).alias("_lo"))
+        return events.crossJoin(F.broadcast(bound)).where(F.col(ts) >= F.col("_lo")).drop("_lo")
+    bound = events.groupBy(*scope).agg((F.max(ts) - F.lit(window_ms)).alias("_lo"))
+    return events.join(broadcast_checked(bound), scope).where(F.col(ts) >= F.col("_lo")).drop("_lo")
 
 
-def top_recent_percacc(scored: DataFrame, n: int = TOP_N, kickoff_wall_ms: int = KICKOFF_WALL_MS) -> DataFrame:
+def top_recent_percacc(scored: DataFrame, n: int = TOP_N, kickoff_wall_ms: int = KICKOFF_WALL_MS,
+                       keys: list[str] = ("player_id",)) -> DataFrame:
     """Highest percAcc of the last 2 minutes, projected for display.
 
     Order: round 2 (half even) on the numbers, km/h conversion, round 3 -- as displayed.
     Ties are broken by (player_id, ts_start) so the top-k is deterministic.
     """
-    top = recent(scored).orderBy(F.col("percAcc").desc(), "player_id", "ts_start").limit(n)
+    top = recent(scored).orderBy(F.col("percAcc").desc(), *keys, "ts_start").limit(n)
     r2 = lambda c: S.round_half_even(c, 2)
     return top.select(
         S.team_player_label("team", "jersey_number").alias(DISPLAY_NAMES[0]),
@@ -56,30 +64,34 @@ def percacc_share(scored: DataFrame, keys: list[str] = ("player_id",)) -> DataFr
         S.team_player_label("team", "jersey_number").alias("team_pl"))
 
 
-def top_percacc_share(scored: DataFrame, n: int = TOP_N) -> DataFrame:
-    return percacc_share(scored).orderBy(F.col("percAcc").desc(), "player_id").limit(n)
+def top_percacc_share(scored: DataFrame, n: int = TOP_N, keys: list[str] = ("player_id",)) -> DataFrame:
+    return percacc_share(scored, keys).orderBy(F.col("percAcc").desc(), *keys).limit(n)
 
 
-def event_count(scored: DataFrame) -> DataFrame:
+def event_count(scored: DataFrame, keys: list[str] = ("player_id",)) -> DataFrame:
     """Number of scored events per player and class (count of non-null percAcc)."""
-    c = scored.groupBy("player_id", "event_class").agg(
+    keys = list(keys)
+    c = scored.groupBy(*keys, "event_class").agg(
         F.count("percAcc").alias("n_events"), F.max("team").alias("team"),
         F.max("jersey_number").alias("jersey_number"))
-    return c.select("player_id", "event_class", "n_events", S.team_label("team").alias("team"), "jersey_number",
+    return c.select(*keys, "event_class", "n_events", S.team_label("team").alias("team"), "jersey_number",
                     S.team_player_label("team", "jersey_number").alias("team_pl")) \
             .orderBy("team", "jersey_number", "event_class")
 
 
-def player_labels(df: DataFrame) -> DataFrame:
+def player_labels(df: DataFrame, keys: list[str] = ("player_id",)) -> DataFrame:
     """Distinct players with their label, sorted by team and jersey."""
-    return (df.select("player_id", "team", "jersey_number").distinct()
-            .select("player_id", S.team_label("team").alias("team"), "jersey_number",
+    keys = list(keys)
+    return (df.select(*keys, "team", "jersey_number").distinct()
+            .select(*keys, S.team_label("team").alias("team"), "jersey_number",
                     S.team_player_label("team", "jersey_number").alias("team_pl"))
             .orderBy("team", "jersey_number"))
 
 
-def latest_events(scored: DataFrame, n: int = TOP_N, kickoff_ms: int = 0) -> DataFrame:
+def latest_events(scored: DataFrame, n: int = TOP_N, kickoff_ms: int = 0,
+                  keys: list[str] = ("player_id",)) -> DataFrame:
     """The ``n`` latest events by start, with the video offset of each (seconds)."""
-    return (scored.orderBy(F.col("ts_start").desc(), F.col("player_id").desc()).limit(n)
-            .select("player_id", "ts_start", "event_class", "percAcc",
+    keys = list(keys)
+    return (scored.orderBy(F.col("ts_start").desc(), *[F.col(k).desc() for k in keys]).limit(n)
+            .select(*keys, "ts_start", "event_class", "percAcc",
                     S.video_offset_s("ts_start", F.lit(kickoff_ms)).alias("video_offset_s")))
