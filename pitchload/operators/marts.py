@@ -49,16 +49,22 @@ def top_recent_percacc(scored: DataFrame, n: int = TOP_N, kickoff_wall_ms: int =
         r2("percAcc").alias(DISPLAY_NAMES[7]))
 
 
-def percacc_share(scored: DataFrame, keys: list[str] = ("player_id",)) -> DataFrame:
-    """Summed percAcc per player and its share (%) of the all-player total.
+def percacc_share(scored: DataFrame, keys: list[str] = ("player_id",), scope: list[str] = ()) -> DataFrame:
+    """Summed percAcc per player and its share (%) of the total over all players, or
+    over the players of the same ``scope`` value (e.g. ``[match_id]``).
 
-    Partial aggregation per player, then the one-row total is broadcast.
+    Partial aggregation per player; the total is one row (broadcast) or one row per
+    scope value (broadcast only after a row count).
     """
-    keys = list(keys)
+    keys, scope = list(keys), list(scope)
     per = scored.groupBy(*keys).agg(F.sum("percAcc").alias("percAcc"), F.max("team").alias("team"),
                                     F.max("jersey_number").alias("jersey_number"))
-    tot = per.agg(F.sum("percAcc").alias("_tot"))
-    return per.crossJoin(F.broadcast(tot)).select(
+    if scope:
+        tot = per.groupBy(*scope).agg(F.sum("percAcc").alias("_tot"))
+        j = per.join(broadcast_checked(tot), scope)
+    else:
+        j = per.crossJoin(F.broadcast(per.agg(F.sum("percAcc").alias("_tot"))))
+    return j.select(
         *keys, "percAcc", S.team_label("team").alias("team"), "jersey_number",
         (F.col("percAcc") / F.col("_tot") * F.lit(100.0)).alias("percAccperc"),
         S.team_player_label("team", "jersey_number").alias("team_pl"))

@@ -55,3 +55,13 @@ def test_top_k_ties_are_deterministic(spark):
                                      "v_init double, max_acc double, max_speed double, event_class string, percAcc double")
     got = [r["player"] for r in M.top_recent_percacc(df).collect()]
     assert got == [f"CH-{p}" for p in range(1, 11)]
+
+
+def test_share_scoped_per_match(spark):
+    rows = [(1, 1, 0, 7, 30.0), (1, 2, 1, 9, 10.0), (2, 1, 0, 7, 5.0), (2, 3, 1, 4, 5.0)]
+    df = spark.createDataFrame(rows, "match_id int, player_id int, team int, jersey_number int, percAcc double")
+    got = {(r.match_id, r.player_id): r.percAccperc
+           for r in M.percacc_share(df, ["match_id", "player_id"], scope=["match_id"]).collect()}
+    assert got == {(1, 1): 75.0, (1, 2): 25.0, (2, 1): 50.0, (2, 3): 50.0}
+    whole = {r.player_id: r.percAccperc for r in M.percacc_share(df.where("match_id = 1")).collect()}
+    assert whole == {1: 75.0, 2: 25.0}
