@@ -10,6 +10,8 @@ BASE_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: bytes taken as white space (ASCII only; other bytes belong to words)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: white space and ASCII punctuation
+SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -74,9 +76,9 @@ def join_bytes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), off
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and text index of every white-space separated word of a `join_bytes` buffer."""
-    inside = ~SPACE[buf]
+def words(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and text index of every word of a `join_bytes` buffer; `apart` marks the bytes between words."""
+    inside = ~apart[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
     start, end = edge[::2], edge[1::2]
     h = range_hash(prefix_hash(buf), start, end)
