@@ -1,10 +1,12 @@
 """Quality classifier from weak labels.
 
 Overlapping labellers vote good, junk or toxic on a document, or abstain. Expectation-maximisation over
-the counts of vote patterns of all documents estimates what each labeller votes in each class; no
-labeller is taken as the truth, the rows of the labels table are one labeller among the others. The
-posteriors label a bounded sample of documents, and those train a hashed linear scorer (softmax over
-word, word-head and shape features), which judges every document from its text alone.
+the counts of vote patterns of all documents estimates what each labeller votes in each kind of
+document: good, three kinds of junk (marked, shouted, repeated) and toxic. Junk of one kind looks good
+to the labellers of the others, so one class of junk would not do. No labeller is taken as the truth;
+the rows of the labels table are one labeller among the others. The posteriors label a bounded sample
+of documents, and those train a hashed linear scorer (softmax over word, word-head and shape features),
+which judges every document from its text alone.
 
 Toxic cue words are counted in the labelled part of the sample, so words of any language can become
 cues. The pattern table is bounded by the product of the vote options, the scorer by its buckets.
@@ -24,7 +26,7 @@ from pitchload.session import cut
 
 GOOD, JUNK, TOXIC, ABSTAIN = 0, 1, 2, 3
 CLASSES = ("good", "junk", "toxic")
-SAMPLE = 20_000          # documents that train the scorer (expected number, by a hash of the row)
+SAMPLE = (15_000, 10_000)        # labelled and other documents that train the scorer (expected numbers, by a hash of the row)
 CUES = 2_000             # most cue words
 CUE_DOCS = 4             # toxic documents that a cue must occur in at least
 BUCKETS = 1 << 17        # of the scorer
@@ -41,6 +43,10 @@ _UPPER = ((_bytes >= 65) & (_bytes <= 90)).astype(np.int64)
 _LETTER = (_UPPER.astype(bool) | ((_bytes >= 97) & (_bytes <= 122))).astype(np.int64)
 _TEXT = ((_LETTER > 0) | ((_bytes >= 48) & (_bytes <= 57)) | (_bytes >= 128)).astype(np.int64)
 _insult = re.compile(r"(?<!\w)(?:" + "|".join(INSULTS) + r")(?!\w)", re.I)
+KINDS = ("good", "marked", "shouted", "repeated", "toxic")
+CLASS_OF = np.array([GOOD, JUNK, JUNK, JUNK, TOXIC])         # of the kinds
+#: labellers that a kind of junk starts from, by their place in LABELLERS
+ANCHORS = {"marked": (0, 4), "shouted": (1,), "repeated": (2, 3)}
 LABELLERS = ("symbols", "capitals", "repetition", "vocabulary", "separators", "insults", "cues", "people")
 
 
@@ -74,10 +80,9 @@ class Shapes:
             low = np.where(junk > good, x < good, x > good)
             high = np.where(junk > good, x > junk, x < junk)
             return np.where(able & low, GOOD, np.where(able & high, JUNK, ABSTAIN))
-        some, more = self.words > 0, self.words >= 12
-        return np.stack([vote(self.symbols, .01, .03, some), vote(self.capitals, .2, .5, self.letters >= 20),
-                         vote(self.repeated, .1, .45, more), vote(self.distinct, .55, .3, more),
-                         vote(self.bare, .02, .1, some)], 1)
+        some = self.words > 0
+        return np.stack([vote(self.symbols, .01, .03, some), vote(self.capitals, .2, .5, some), vote(self.repeated, .1, .45, some),
+                         vote(self.distinct, .55, .3, some), vote(self.bare, .02, .1, some)], 1)
 
 
 def heads(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,31 +110,46 @@ def all_votes(texts: list[str], cues: np.ndarray) -> np.ndarray:
     return votes @ (4 ** np.arange(votes.shape[1]))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM over vote patterns (rows of votes) and their counts: class prior, P(vote | class) by labeller
-    (labellers x classes x votes) and the posterior of every pattern.
-
-    It starts from labellers that are right most of the time and stops when the posteriors stand.
-    """
-    k, n = len(CLASSES), patterns.shape[1]
-    tables = np.full((n, k, 4), 0.1)
-    tables[:, np.arange(k), np.arange(k)] = 0.6
-    tables[:, :, ABSTAIN] = 0.4
-    start = tables = tables / tables.sum(2, keepdims=True)
-    prior, post = np.array([.8, .1, .1]), None
+def _start() -> np.ndarray:
+    """P(vote | kind) that EM starts from (labellers x kinds x votes): a labeller mostly says what it is made for.
+    The people's are given that they vote."""
+    tables = np.zeros((len(LABELLERS), len(KINDS), 4))
+    for k, kind in enumerate(KINDS):
+        tables[:5, k] = (.85, .04, .01, .1)
+        for j in ANCHORS.get(kind, ()):
+            tables[j, k] = (.2, .69, .01, .1)
+        tables[5:7, k] = (.01, .01, .58, .4) if kind == "toxic" else (.01, .01, .02, .96)
+        tables[7, k] = np.where(np.arange(4) == CLASS_OF[k], .9, .05)
+        tables[7, k, ABSTAIN] = 1
+    return tables
+
+
+def posterior(prior: np.ndarray, tables: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """P(kind | votes), one row per row of votes."""
+    log = np.log(prior) + sum(np.log(tables[j][:, votes[:, j]]).T for j in range(len(tables)))
+    p = np.exp(log - log.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """EM over vote patterns (rows of votes) and their counts: shares of the kinds and P(vote | kind) by
+    labeller (labellers x kinds x votes). It stops when the posteriors stand."""
+    start = _start()
+    tables, prior, post = start, np.array([.8] + [.05] * (len(KINDS) - 1)), None
     for _ in range(rounds):
-        log = np.log(prior) + sum(np.log(tables[j][:, patterns[:, j]]).T for j in range(n))
-        new = np.exp(log - log.max(1, keepdims=True))
-        new /= new.sum(1, keepdims=True)
+        new = posterior(prior, tables, patterns)
         if post is not None and np.abs(new - post).max() < 1e-6:
             break
         post = new
         weight = post * counts[:, None]
-        prior = (weight.sum(0) + 1) / (weight.sum() + k)
-        hit = np.stack([[np.bincount(patterns[:, j], weights=weight[:, c], minlength=4) for c in range(k)] for j in range(n)])
-        tables = hit + start                              # one imagined document per class at the start's rates
+        prior = (weight.sum(0) + 1) / (weight.sum() + len(KINDS))
+        hit = np.stack([[np.bincount(patterns[:, j], weights=weight[:, k], minlength=4) for k in range(len(KINDS))]
+                        for j in range(len(tables))])
+        tables = hit + start                              # one imagined document of each kind at the start's rates
+        tables[7, :, ABSTAIN] = 0
         tables /= tables.sum(2, keepdims=True)
-    return prior, tables, post
+        tables[7, :, ABSTAIN] = 1                         # which documents people judged says nothing about their kind
+    return prior, tables
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +236,7 @@ def _cue_counts(batches):
             yield pd.DataFrame({"cue": keys.view(np.int64), "bad": bad, "other": np.bincount(back, minlength=len(keys)) - bad})
 
 
-def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, held_out: Column | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = SAMPLE, held_out: Column | None = None) -> Model:
     """Fit labeller tables on the votes on all of `docs` (doc_id, text) and the scorer on a sample.
 
     `labels` (doc_id, quality, toxic) may cover some of them, be empty or None; several rows of one
@@ -237,10 +257,13 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, held_
 
     n = docs.count()
     if not n:
-        return Model(np.zeros(0, np.uint64), np.full(3, 1 / 3), None, np.zeros((BUCKETS, len(CLASSES)), np.float32))
+        return Model(np.zeros(0, np.uint64), None, None, np.zeros((BUCKETS, len(CLASSES)), np.float32))
     place = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(3)), F.lit(1 << 40))
-    part = docs.where(place < int(min(1.0, sample / n) * (1 << 40))).join(labels, "doc_id", "left").select("doc_id", "text", said)
-    part = cut(part, "sample")
+    known = labels.count()
+    below = [int(min(1.0, want / max(have, 1)) * (1 << 40)) for want, have in zip(sample, (known, n - known))]
+    part = docs.withColumn("place", place).where(F.col("place") < max(below)).join(labels, "doc_id", "left")
+    part = cut(part.where(F.col("place") < F.when(F.col("people").isNull(), below[1]).otherwise(below[0]))
+               .select("doc_id", "text", said), "sample")
 
     counts = (part.where(F.col("people") != ABSTAIN).mapInPandas(_cue_counts, "cue long, bad long, other long")
               .groupBy("cue").agg(F.sum("bad").alias("bad"), F.sum("other").alias("other"))
@@ -253,15 +276,14 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, held_
     rows = joined.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
     split = lambda code: (code[:, None] // 4 ** np.arange(len(LABELLERS))) % 4
     patterns = split(np.array([r.votes for r in rows], np.int64))
-    prior, tables, _ = estimate(patterns, np.array([r.n for r in rows], float))
+    prior, tables = estimate(patterns, np.array([r.n for r in rows], float))
 
     def fit_part(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = _strings(pdf["text"])
         code = np.concatenate([all_votes(texts[a:b], cues) for a, b in T.slices(texts)])
         said_by = split(code + 4 ** (len(LABELLERS) - 1) * pdf["people"].to_numpy())
-        log = np.log(prior) + sum(np.log(tables[j][:, said_by[:, j]]).T for j in range(said_by.shape[1]))
-        target = np.exp(log - log.max(1, keepdims=True))
-        w = fit(texts, target / target.sum(1, keepdims=True))
+        kinds = posterior(prior, tables, said_by)
+        w = fit(texts, np.stack([kinds[:, CLASS_OF == c].sum(1) for c in range(len(CLASSES))], 1))
         used = np.flatnonzero(np.abs(w).max(1) > 0)
         return pd.DataFrame({"bucket": used, **{c: w[used, i] for i, c in enumerate(CLASSES)}})
 
