@@ -6,7 +6,11 @@ starts at the nearest pair and offers the next centroid of either half, until th
 enough vectors. Their entries are reranked by the Euclidean distance of the original vectors.
 
 The centroids are fitted on a bounded sample; every vector is indexed. Cells are met as a whole, so a
-cell of any size loses nobody. Recall depends on `candidates` and is measured in the tests.
+cell of any size loses nobody. Queries go over the index in blocks of bounded size: a block travels to
+the tasks with its queries' cells, and each task reranks its entries and keeps every query's best.
+
+Recall depends on `share`, the part of the vectors that a query's cells must hold. Vectors without any
+cluster structure, as in the test tables, need a large part; the README has figures.
 """
 
 from __future__ import annotations
@@ -21,9 +25,10 @@ from pyspark.sql import functions as F
 from pitchload.session import cut
 
 SAMPLE = 20_000           # vectors that the centroids are fitted on (expected number)
-CENTROIDS = 1024          # most centroids of a half; sqrt(n / PER_CELL), so cells grow with the table
-PER_CELL = 16
-CANDIDATES = 4_000        # vectors that a query's cells must hold together
+CENTROIDS = 256           # most centroids of a half; PER_ROOT times the root of the table's rows, so cells grow with it
+PER_ROOT = 0.7
+SHARE, LEAST = 0.5, 1_000 # of the vectors, and vectors, that a query's cells must hold together
+BLOCK = 1024              # queries (expected) that go over the index together
 ROUNDS = 12               # of k-means
 
 
@@ -86,14 +91,27 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _best(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest distinct vec_ids of every query in a batch."""
-    pdf = pdf.sort_values(["query_id", "score", "vec_id"], kind="stable").drop_duplicates(["query_id", "vec_id"])
-    return pdf[pdf.groupby("query_id").cumcount() < k]
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int = CANDIDATES,
-           sample: int = SAMPLE, centroids: int = CENTROIDS) -> DataFrame:
+def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, may: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """vec_ids and distances of the k nearest different vec_ids among the rows that `may` allows, ties to
+    the smaller. Distances are of the differences themselves, in double precision."""
+    rows = np.flatnonzero(may)
+    near = rows
+    if len(rows) > k:
+        rough = distances(x[rows], q[None])[:, 0]
+        edge = np.partition(rough, k - 1)[k - 1]
+        near = rows[rough <= edge + 1e-9 * (1 + edge)]
+        if len(np.unique(ids[near])) < k:               # repeated vec_ids
+            near = rows
+    d = x[near] - q
+    score = np.sqrt((d * d).sum(1))
+    o = np.lexsort((ids[near], score))
+    _, first = np.unique(ids[near][o], return_index=True)
+    o = o[np.sort(first)][:k]
+    return ids[near][o], score[o]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = SHARE,
+           sample: int = SAMPLE, centroids: int = CENTROIDS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for every query, nearest first, ties to the
     smaller vec_id; all candidates if there are fewer.
 
@@ -113,7 +131,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int
         rows = data.limit(1).select("v").toPandas()
     x = _matrix(rows["v"])
     half = x.shape[1] // 2
-    each = int(min(centroids, max(1, round((n / PER_CELL) ** 0.5))))
+    each = int(min(centroids, max(1, round(PER_ROOT * n ** 0.5))))
     left, right = kmeans(x[:, :half], each), kmeans(x[:, half:], each)
 
     def assign(batches):
@@ -127,29 +145,51 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int
     counts = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()      # at most centroids ** 2 rows
     sizes = spark.sparkContext.broadcast(dict(zip(counts["cell"].tolist(), counts["n"].tolist())))
 
+    cells = len(left) * len(right)
+
     def probe(batches):
         for pdf in batches:
             out = []
             size = lambda cell: sizes.value.get(cell, 0)
             if len(pdf):
                 v = _matrix(pdf["v"])
-                for q, vec, a, b in zip(pdf["vec_id"], pdf["v"], distances(v[:, :half], left), distances(v[:, half:], right)):
-                    out += [(cell, q, vec) for cell in traverse(a, b, size, candidates)]
-            yield pd.DataFrame(out, columns=["cell", "query_id", "q"])
+                for a, b in zip(distances(v[:, :half], left), distances(v[:, half:], right)):
+                    met = np.zeros(cells, bool)
+                    met[traverse(a, b, size, max(share * n, LEAST))] = True
+                    out.append(np.packbits(met).tobytes())
+            yield pd.DataFrame({"query_id": pdf["vec_id"], "q": pdf["v"], "cells": out})
+
+    asked = cut(valid_like(queries, x.shape[1]).mapInPandas(probe, "query_id long, q array<double>, cells binary"), "queries")
+    blocks = -(-asked.count() // block)
+    near = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
+        if len(part):
+            near = near.unionByName(_reranked(index, part, k))
+    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _reranked(index: DataFrame, part: pd.DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of every task for a block of queries."""
+    shared = index.sparkSession.sparkContext.broadcast(
+        (part["query_id"].to_numpy(), _matrix(part["q"]), np.stack([np.frombuffer(c, np.uint8) for c in part["cells"]])))
 
     def rerank(batches):
+        query, q, cells = shared.value
         for pdf in batches:
-            if len(pdf):
-                d = _matrix(pdf["v"]) - _matrix(pdf["q"])
-                score = np.sqrt((d * d).sum(1))
-                yield _best(pd.DataFrame({"query_id": pdf["query_id"], "vec_id": pdf["vec_id"], "score": score}), k)
-
-    asked = valid_like(queries, x.shape[1]).mapInPandas(probe, "cell long, query_id long, q array<double>")
-    near = (asked.join(index, "cell").where("query_id <> vec_id")
-            .mapInPandas(rerank, "query_id long, vec_id long, score double")
-            .groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if not len(pdf):
+                continue
+            x, ids, cell = _matrix(pdf["v"]), pdf["vec_id"].to_numpy(), pdf["cell"].to_numpy()
+            out = []
+            for j in range(len(query)):
+                may = ((cells[j, cell >> 3] >> (7 - (cell & 7))) & 1).astype(bool) & (ids != query[j])
+                best, score = _nearest(x, ids, q[j], may, k)
+                out.append(pd.DataFrame({"query_id": query[j], "vec_id": best, "score": score}))
+            yield pd.concat(out, ignore_index=True)
+
+    return index.mapInPandas(rerank, "query_id long, vec_id long, score double")
 
 
 def valid_like(queries: DataFrame, dim: int) -> DataFrame:
