@@ -8,7 +8,7 @@ number of different characters seen behind s and s' lacks the first character; a
 seen leaves the lower order's estimate as it is. A URL's score is the mean log-ratio of its characters.
 
 Half of the ruled URLs (by a hash of the text) trains, the other half calibrates: the threshold is the
-score step that best separates accepted from rejected ones. All counts are over all pages. Only
+score step that best separates accepted from rejected ones, half way to the next lower one seen. All counts are over all pages. Only
 DataFrame functions are used. Log-ratios are whole millionths, so sums are exact in any order.
 """
 
@@ -111,11 +111,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         F.sum(F.when(F.col("said") == "allow", F.col("n")).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("said") == "block", F.col("n")).otherwise(0)).alias("b"))
     above, all_ = Window.orderBy(F.desc("step")), Window.partitionBy()       # a few thousand steps at most
-    best = (bins.withColumn("ca", F.sum("a").over(above)).withColumn("cb", F.sum("b").over(above))
+    lower = F.lead("step").over(above)          # the threshold lies half way to the next lower step that occurs
+    best = (bins.withColumn("least", F.coalesce(F.floor((F.col("step") + lower) / 2) + 1, F.col("step")))
+            .withColumn("ca", F.sum("a").over(above)).withColumn("cb", F.sum("b").over(above))
             .withColumn("ta", F.sum("a").over(all_)).withColumn("tb", F.sum("b").over(all_)).where("ta > 0 and tb > 0")
             .withColumn("gain", F.round(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"), 9))
-            .agg(F.max(F.struct(F.col("gain"), (-F.abs("step")).alias("near"), F.col("step"))).alias("best"))
-            .select(F.coalesce("best.step", F.lit(0)).alias("least")))
+            .agg(F.max(F.struct(F.col("gain"), (-F.abs("step")).alias("near"), F.col("step"), F.col("least"))).alias("best"))
+            .select(F.coalesce("best.least", F.lit(0)).alias("least")))
     verdicts = steps.where("said is null").crossJoin(F.broadcast(best)).select(       # one row
         "s", F.when(F.col("step") >= F.col("least"), "allow").otherwise("block").alias("scored"))
     return rows.join(verdicts, "s", "left").select(
@@ -157,7 +159,7 @@ ratios AS (SELECT run, round((ln(pa) - ln(pb)) * 1e6)::BIGINT AS ratio FROM p{OR
 steps AS (SELECT t.s, t.said, t.n, floor(x.total::DOUBLE / length(t.s) / {STEP})::BIGINT AS step
  FROM (SELECT s, sum(ratio)::BIGINT AS total FROM occurs JOIN ratios USING (run) GROUP BY s) x JOIN texts t USING (s)),
 bins AS (SELECT step, sum(CASE WHEN said = 'allow' THEN n ELSE 0 END)::BIGINT AS a, sum(CASE WHEN said = 'block' THEN n ELSE 0 END)::BIGINT AS b FROM steps WHERE said IS NOT NULL GROUP BY step),
-sums AS (SELECT step, sum(a) OVER (ORDER BY step DESC)::BIGINT AS ca, sum(b) OVER (ORDER BY step DESC)::BIGINT AS cb, sum(a) OVER ()::BIGINT AS ta, sum(b) OVER ()::BIGINT AS tb FROM bins),
-best AS (SELECT coalesce((SELECT step FROM sums WHERE ta > 0 AND tb > 0 ORDER BY round(ca::DOUBLE / ta - cb::DOUBLE / tb, 9) DESC, abs(step), step DESC LIMIT 1), 0) AS least)
+sums AS (SELECT step, coalesce(floor((step + lead(step) OVER (ORDER BY step DESC)) / 2.0)::BIGINT + 1, step) AS least, sum(a) OVER (ORDER BY step DESC)::BIGINT AS ca, sum(b) OVER (ORDER BY step DESC)::BIGINT AS cb, sum(a) OVER ()::BIGINT AS ta, sum(b) OVER ()::BIGINT AS tb FROM bins),
+best AS (SELECT coalesce((SELECT least FROM sums WHERE ta > 0 AND tb > 0 ORDER BY round(ca::DOUBLE / ta - cb::DOUBLE / tb, 9) DESC, abs(step), step DESC LIMIT 1), 0) AS least)
 SELECT page_id, host, path, rule, coalesce(r.said, CASE WHEN step >= least THEN 'allow' WHEN step < least THEN 'block' END, 'allow') AS verdict
 FROM ruled r LEFT JOIN (SELECT s, step FROM steps WHERE said IS NULL) x ON r.s = x.s CROSS JOIN best"""
