@@ -123,27 +123,29 @@ def repeated(gram: np.ndarray, rank: np.ndarray, before: list[bytes], after: lis
     largest offset at which the occurrence's 100-byte string also has an earlier occurrence (-1: none).
     """
     n = len(gram)
-    tag = [int(g).to_bytes(8, "big", signed=True) for g in gram]       # strings of a gram sort together
+    tag = [(int(g) + (1 << 63)).to_bytes(8, "big") for g in gram]      # strings of a gram sort together
     sides = []
     for strings, width in (([t + a for t, a in zip(tag, after)], 8 + LENGTH),
                            ([t + b[::-1] for t, b in zip(tag, before)], 8 + REACH)):
         at = np.array(deep_shallow.order(strings), np.int64)
         sides.append((at, deep_shallow.neighbours(strings, at, width) - 8))
     (ra, rl), (la, ll) = sides
-    lens_a = np.fromiter((len(a) for a in after), np.int64, n)
-    lens_b = np.fromiter((len(b) for b in before), np.int64, n)
+    # what a string shares with a neighbour in the order is the most that it shares with any
+    far_a, far_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    far_a[ra], far_b[la] = np.maximum(rl, np.append(rl[1:], 0)), np.maximum(ll, np.append(ll[1:], 0))
     least, most = np.full(n, -1), np.full(n, -1)
     right, left = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(REACH + 1):
+        some = np.flatnonzero((far_a >= LENGTH - o) & (far_b >= o))
+        if not len(some):
+            continue
         right[ra] = np.cumsum(rl < LENGTH - o)
         left[la] = np.cumsum(ll < o)
-        key = left * (n + 1) + right
-        by = np.lexsort((rank, key))
-        later = np.zeros(n, bool)
-        later[by[1:]] = key[by[1:]] == key[by[:-1]]
-        later &= (lens_a >= LENGTH - o) & (lens_b >= o)
-        least = np.where(later & (least < 0), o, least)
-        most = np.where(later, o, most)
+        key = left[some] * (n + 1) + right[some]
+        by = np.lexsort((rank[some], key))
+        later = some[by[1:][key[by[1:]] == key[by[:-1]]]]
+        least[later[least[later] < 0]] = o
+        most[later] = o
     return least, most
 
 
