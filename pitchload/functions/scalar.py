@@ -115,8 +115,11 @@ def time_of_day(ms, offset_ms: int = 0) -> Column:
 
 
 def frame_ts_ms(frame, first_frame, fps, start_ms) -> Column:
-    """Clock of a frame: start + (frame - first) / fps, in milliseconds (rounded to ms)."""
-    return _c(start_ms) + F.floor((_c(frame) - _c(first_frame)) * F.lit(1000.0) / _c(fps) + F.lit(0.5)).cast("long")
+    """Clock of a frame: start + (frame - first) / fps, counted in whole microseconds and cut to milliseconds."""
+    first = _c(first_frame) if not isinstance(first_frame, (int, float)) else F.lit(first_frame)
+    rate = _c(fps) if not isinstance(fps, (int, float)) else F.lit(fps)
+    micros = F.round((_c(frame) - first) * F.lit(1e6) / rate)
+    return _c(start_ms) + F.floor(micros / F.lit(1000.0)).cast("long")
 
 
 def shift_pitch_x(x) -> Column:

@@ -27,9 +27,11 @@ GAP_CLOSE_MS = 1000    # a silence of 1 s or more ends an event
 
 def ensure_rn(df: DataFrame, keys: list[str], ts: str = "ts_ms", rn: str = "rn",
               bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Positions 1..n inside a key by time; rows of one time are ordered by their values."""
     if rn in df.columns:
         return df
-    return number_rows(df, keys, [ts], F.floor(F.col(ts) / bucket_ms), out=rn)
+    ties = [c for c in ("x", "y", "speed") if c in df.columns]
+    return number_rows(df, keys, [ts, *ties], F.floor(F.col(ts) / bucket_ms), out=rn)
 
 
 def _drop_halo(df: DataFrame) -> DataFrame:

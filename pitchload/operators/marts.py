@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchload.functions import scalar as S
-from pitchload.session import broadcast_checked
 
 RECENT_MS = 120_000          # fixed value: the top table looks back 2 minutes
 TOP_N = 10
@@ -20,13 +19,13 @@ def recent(events: DataFrame, ts: str = "ts_start", window_ms: int = RECENT_MS,
            scope: list[str] = ()) -> DataFrame:
     """Events with ``ts >= max(ts) - window`` (inclusive). Without ``scope`` the bound is
     a one-row aggregate broadcast to every task; with ``scope`` (e.g. ``[match_id]``) it
-    is one row per scope value, joined back (broadcast only after a row count)."""
+    is one row per scope value, joined back (AQE measures it and picks the join)."""
     scope = list(scope)
     if not scope:
         bound = events.agg((F.max(ts) - F.lit(window_ms)).alias("_lo"))
         return events.crossJoin(F.broadcast(bound)).where(F.col(ts) >= F.col("_lo")).drop("_lo")
     bound = events.groupBy(*scope).agg((F.max(ts) - F.lit(window_ms)).alias("_lo"))
-    return events.join(broadcast_checked(bound), scope).where(F.col(ts) >= F.col("_lo")).drop("_lo")
+    return events.join(bound, scope).where(F.col(ts) >= F.col("_lo")).drop("_lo")
 
 
 def top_recent_percacc(scored: DataFrame, n: int = TOP_N, kickoff_wall_ms: int = KICKOFF_WALL_MS,
@@ -54,14 +53,14 @@ def percacc_share(scored: DataFrame, keys: list[str] = ("player_id",), scope: li
     over the players of the same ``scope`` value (e.g. ``[match_id]``).
 
     Partial aggregation per player; the total is one row (broadcast) or one row per
-    scope value (broadcast only after a row count).
+    scope value (AQE measures it and picks the join).
     """
     keys, scope = list(keys), list(scope)
     per = scored.groupBy(*keys).agg(F.sum("percAcc").alias("percAcc"), F.max("team").alias("team"),
                                     F.max("jersey_number").alias("jersey_number"))
     if scope:
         tot = per.groupBy(*scope).agg(F.sum("percAcc").alias("_tot"))
-        j = per.join(broadcast_checked(tot), scope)
+        j = per.join(tot, scope)
     else:
         j = per.crossJoin(F.broadcast(per.agg(F.sum("percAcc").alias("_tot"))))
     return j.select(

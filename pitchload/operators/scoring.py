@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import statistics
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,30 +16,14 @@ PAPER_MAX_ACC = [6.01, 4.33, 3.20, 2.29]
 # ---------------------------------------------------
 
 
-def least_squares(xs: list[float], ys: list[float]) -> tuple[float, float]:
-    """Closed-form least-squares line (slope, intercept), sums taken left to right."""
-    n = len(xs)
-    sx, sy = sum(xs), sum(ys)
-    sxx = sum(x * x for x in xs)
-    sxy = sum(x * y for x, y in zip(xs, ys))
-    slope = (n * sxy - sx * sy) / ((n * sxx) - (sx * sx))
-    return slope, (sy - slope * sx) / n
-
-
 # constant folding: the fit over four fixed points is computed once, not per row
-FIT_SLOPE, FIT_INTERCEPT = least_squares(PAPER_V_INIT_KMH, PAPER_MAX_ACC)
+FIT_SLOPE, FIT_INTERCEPT = statistics.linear_regression(PAPER_V_INIT_KMH, PAPER_MAX_ACC)
 
 
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One-row least-squares fit of ``y`` on ``x`` over a whole table (distributed sums)."""
-    n = F.count(F.lit(1)).cast("double")
-    sums = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
-        n.alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
-    slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / \
-            (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    return sums.select(slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"),
-                       F.col("n").cast("long").alias("n_points"))
+    """One-row least-squares fit of ``y`` on ``x`` over a whole table (mergeable centred sums)."""
+    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+                  F.regr_count(y, x).alias("n_points"))
 
 
 def filter_min_action(events: DataFrame) -> DataFrame:
@@ -46,9 +32,8 @@ def filter_min_action(events: DataFrame) -> DataFrame:
                         & (F.col("max_speed") - F.col("v_init") > F.lit(S.MIN_SPEED_INCREASE_ACTION)))
 
 
-# Up to this many values a median is taken in one aggregate (a sorted array of at most
-# this many doubles: 8 MB); above it the values are range partitioned.
-SMALL_MEDIAN_ROWS = 1_000_000
+# Accuracy of the quantile sketch that brackets a median: ranks are right to n / ACCURACY.
+ACCURACY = 10_000
 
 
 def _interp(lo, hi):
@@ -56,54 +41,45 @@ def _interp(lo, hi):
     return hi - (hi - lo) * F.lit(0.5)
 
 
-def exact_medians(df: DataFrame, cols: list[str], tiebreak: list[str], outs: list[str]) -> DataFrame:
+def exact_medians(df: DataFrame, cols: list[str], outs: list[str]) -> DataFrame:
     """Exact medians of several columns as one row (pandas ``describe()['50%']``).
 
-    The value count is measured first. Up to ``SMALL_MEDIAN_ROWS`` values per column,
-    one aggregate sorts them (bounded memory). Above it -- Spark's ``median`` would merge
-    every distinct value in one task -- the values of all columns are range partitioned
-    together on (column, value, hash of ``tiebreak``), so even one value repeated in a
-    third of the rows is split; each range partition is ranked locally and the partition
-    sizes (one row per partition: a proven bound, broadcast) give the global ranks.
+    Spark's ``median`` merges every distinct value in one task. Here a mergeable quantile
+    sketch gives two values that surely enclose the median (its rank error is known), used
+    as literals; one pass counts the values below them and, by value, those between, about
+    0.06 % of the rows. A value repeated in many rows is one counted row. Every table size
+    takes this plan. NULLs are left out; a column without values has a NULL median.
     """
-    n = df.select(*[F.count(c).alias(c) for c in cols]).first()
-    if max(n) <= SMALL_MEDIAN_ROWS:
-        aggs = []
-        for c, o in zip(cols, outs):
-            arr = F.sort_array(F.collect_list(c))
-            k = F.size(arr)
-            lo = F.element_at(arr, F.floor((k + 1) / 2).cast("int"))
-            hi = F.element_at(arr, F.floor((k + 2) / 2).cast("int"))
-            aggs.append(F.when(k > 0, _interp(lo, hi)).alias(o))
-        return df.select(*cols).agg(*aggs)
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    h = F.xxhash64(*tiebreak)
-    v = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_k"), F.col(c).cast("double").alias("_v"))
-                                      for i, c in enumerate(cols)])).alias("s"), h.alias("_t")) \
-          .select("s._k", "s._v", "_t").where(F.col("_v").isNotNull())
-    r = v.repartitionByRange(parts, "_k", "_v", "_t").withColumn("_p", F.spark_partition_id())
-    r = r.withColumn("_lr", F.row_number().over(Window.partitionBy("_p", "_k").orderBy("_v", "_t")))
-    cnt = r.groupBy("_p", "_k").agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offs = cnt.select("_p", "_k", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"),
-                      F.sum("_c").over(Window.partitionBy("_k")).alias("_n"))
-    g = r.join(F.broadcast(offs), ["_p", "_k"]).select("_k", "_v", (F.col("_off") + F.col("_lr")).alias("_g"), "_n")
-    lo_r, hi_r = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    pick = g.where((F.col("_g") == lo_r) | (F.col("_g") == hi_r)).groupBy("_k").agg(
-        F.max(F.when(F.col("_g") == lo_r, F.col("_v"))).alias("lo"),
-        F.max(F.when(F.col("_g") == hi_r, F.col("_v"))).alias("hi"))
-    m = pick.select("_k", _interp(F.col("lo"), F.col("hi")).alias("_m"))
-    return m.agg(*[F.max(F.when(F.col("_k") == i, F.col("_m"))).alias(o) for i, o in enumerate(outs)])
-
-
-def exact_median(df: DataFrame, col: str, tiebreak: list[str], out: str | None = None) -> DataFrame:
-    return exact_medians(df, [col], tiebreak, [out or f"median_{col}"])
-
-
-def class_thresholds(history: DataFrame, tiebreak: list[str]) -> DataFrame:
+    n = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    about = [2 / ACCURACY + 2 / max(n[c], 1) for c in cols]
+    bound = df.agg(*[F.percentile_approx(c, [max(0.0, 0.5 - e), min(1.0, 0.5 + e)], ACCURACY).alias(c)
+                     for c, e in zip(cols, about)]).first()
+    between = []
+    for i, c in enumerate(cols):
+        lo, hi = bound[c] or (None, None)
+        v = F.col(c).cast("double")
+        near = F.when(v >= F.lit(lo), v)                     # NULL: below
+        between.append(F.when(v <= F.lit(hi), F.struct(F.lit(i).alias("_k"), near.alias("_v"))))
+    counts = (df.select(F.explode(F.filter(F.array(*between), lambda s: s.isNotNull())).alias("s"))
+              .groupBy("s._k", "s._v").agg(F.count(F.lit(1)).alias("_c")))
+    upto = F.sum("_c").over(Window.partitionBy("_k").orderBy(F.col("_v").asc_nulls_first()))
+    ranked = counts.withColumn("_hi", upto)
+
+    def at(i, c, rank):
+        inside = (F.col("_k") == i) & (F.col("_hi") >= rank) & (F.col("_hi") - F.col("_c") < rank)
+        return F.max(F.when(inside, F.col("_v")))
+
+    return ranked.agg(*[_interp(at(i, c, (n[c] + 1) // 2), at(i, c, (n[c] + 2) // 2)).alias(o)
+                        for i, (c, o) in enumerate(zip(cols, outs))])
+
+
+def exact_median(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    return exact_medians(df, [col], [out or f"median_{col}"])
+
+
+def class_thresholds(history: DataFrame) -> DataFrame:
     """Medians of historical max_acc and max_speed (one row)."""
-    return exact_medians(history, ["max_acc", "max_speed"], tiebreak, ["acc_median", "speed_median"])
+    return exact_medians(history, ["max_acc", "max_speed"], ["acc_median", "speed_median"])
 
 
 def classify(events: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ segment size.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,17 +39,25 @@ SEG = "_seg"
 HALO = "_halo"
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` in which NULL equals NULL, so no row is lost for a NULL key."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str | Column], bucket: Column,
                 out: str = "rn") -> DataFrame:
     """Add ``out`` = 1-based row number of each row inside its key by ``order``.
 
-    ``bucket`` must be non-decreasing along ``order`` (e.g. ``floor(ts_ms/60000)``).
+    ``bucket`` must be non-decreasing along ``order`` (e.g. ``floor(ts_ms/60000)``). Rows
+    with a NULL key form a key of their own; a NULL time comes first.
     """
     b = df.withColumn("_bkt", bucket)
     counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     w = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*keys, "_bkt", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_boff"))
-    j = b.join(offs, on=[*keys, "_bkt"], how="inner")
+    j = join_null_safe(b, offs, [*keys, "_bkt"])
     wr = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     return j.withColumn(out, (F.col("_boff") + F.row_number().over(wr)).cast("long")).drop("_bkt", "_boff")
 
@@ -154,7 +163,7 @@ def scan(df: DataFrame, keys: list[str], specs: list[Scan], rn: str = "rn",
             e = F.max(c).over(ws.rowsBetween(upto, -1))
         carry.append(e.alias(f"_c_{s.out}"))
     sm = sm.select(*keys, SEG, *carry)
-    j = d.join(sm, on=[*keys, SEG], how="inner")
+    j = join_null_safe(d, sm, [*keys, SEG])
     outs = []
     for s in specs:
         lc, cc = F.col(f"_l_{s.out}"), F.col(f"_c_{s.out}")
@@ -172,13 +181,16 @@ def scan(df: DataFrame, keys: list[str], specs: list[Scan], rn: str = "rn",
 def dense_rank_global(df: DataFrame, col: str, out: str) -> DataFrame:
     """Dense rank (1..k) of the distinct values of ``col`` over the whole table.
 
-    A global ``dense_rank()`` window runs in one task; here the distinct values are
-    range partitioned, ranked inside each partition, and shifted by the counts of the
-    partitions before it (one row per partition, broadcast).
+    A global ``dense_rank()`` window runs in one task; here the distinct values are cut
+    into ranges at fixed bounds (quantiles, used as literals), ranked inside each range,
+    and shifted by the counts of the ranges before it (one row per range, broadcast). A
+    value's range follows from the value alone, however often a plan is computed.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = df.select(col).where(F.col(col).isNotNull()).distinct() \
-          .repartitionByRange(parts, col).withColumn("_p", F.spark_partition_id())
+    v = df.select(col).where(F.col(col).isNotNull()).distinct()
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    bounds = sorted(set(v.agg(F.percentile_approx(col, shares, 10_000)).first()[0] or []))
+    v = v.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(col))) if bounds else F.lit(0))
     v = v.withColumn("_lr", F.row_number().over(Window.partitionBy("_p").orderBy(col)))
     cnt = v.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     offs = cnt.select("_p", F.coalesce(F.sum("_c").over(

@@ -12,18 +12,13 @@ from pitchload.operators.sequence import SEGMENT_ROWS, Scan, scan
 def zone_distance(enriched: DataFrame, zone: str = "speedzone",
                   group: tuple[str, ...] = ("team", "jersey_number")) -> DataFrame:
     """SUM(dist) by team, jersey, zone. Rows without a zone are left out (their SQL
-    group key is NULL); ``zone_gaps`` reports them. Partial aggregation runs map-side,
+    group key is NULL). Partial aggregation runs map-side,
     so a hot player or zone costs one row per map task in the shuffle."""
     return (enriched.where(F.col(zone).isNotNull())
             .groupBy(*group, F.col(zone).alias("speedZone"))
             .agg(F.sum("dist").alias("total_distance")))
 
 
-def zone_gaps(enriched: DataFrame, keys: list[str], zone: str = "speedzone") -> DataFrame:
-    """Count of rows per key whose speed falls in no zone."""
-    return enriched.where(F.col(zone).isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_without_zone"))
-
-
 def zone_running(enriched: DataFrame, keys: list[str], zone: str = "speedzone", rn: str = "rn",
                  first_rn: int | None = None, seg_rows: int = SEGMENT_ROWS) -> DataFrame:
     """The live per-player zone map after every row: ``dist_1`` .. ``dist_5`` = metres
@@ -48,8 +43,10 @@ def zone_running(enriched: DataFrame, keys: list[str], zone: str = "speedzone",
 
 def zone_snapshot(enriched: DataFrame, keys: list[str], zone: str = "speedzone") -> DataFrame:
     """Latest per-key map zone -> metres (zones 1..5 always present, 0 when unused)."""
-    z = zone_distance(enriched, zone, tuple(keys) + ("team", "jersey_number"))
-    agg = z.groupBy(*keys).agg(F.first("team").alias("team"), F.first("jersey_number").alias("player"),
+    z = (zone_distance(enriched, zone, tuple(keys) + ("team", "jersey_number"))
+         .groupBy(*keys, "speedZone").agg(F.max("team").alias("team"), F.max("jersey_number").alias("jersey_number"),
+                                          F.sum("total_distance").alias("total_distance")))
+    agg = z.groupBy(*keys).agg(F.max("team").alias("team"), F.max("jersey_number").alias("player"),
                                F.map_from_entries(F.collect_list(F.struct(F.col("speedZone").cast("string"),
                                                                           "total_distance"))).alias("_m"))
     zeros = F.create_map(*[x for i in range(1, 6) for x in (F.lit(str(i)), F.lit(0.0))])

@@ -73,7 +73,7 @@ class Chain:
 
     def thresholds(self) -> DataFrame:
         # the historical table is not shipped: medians over the filtered events
-        return self._get("thr", lambda: SC.class_thresholds(self.filtered(), [*self.keys, "ts_start"]))
+        return self._get("thr", lambda: SC.class_thresholds(self.filtered()))
 
     def classified(self) -> DataFrame:
         return self._get("classified", lambda: SC.classify(self.filtered(), self.thresholds()))

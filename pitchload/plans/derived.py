@@ -36,15 +36,11 @@ def write_frames_text(raw: DataFrame) -> str:
     Objects per frame are bounded by the players on the pitch.
     """
     spark = raw.sparkSession
-    players = raw.select("frame_no", "player_id",
-                         _obj(F.col("team"), F.col("player_id"), F.col("jersey_number"),
-                              F.col("x"), F.col("y"), F.col("speed")).alias("o"))
-    frames = players.groupBy("frame_no").agg(
-        F.concat_ws(";", F.transform(F.sort_array(F.collect_list(F.struct("player_id", "o"))),
-                                     lambda s: s["o"])).alias("objs"))
-    ball = raw.groupBy("frame_no").agg(
-        _obj(F.lit(4), F.lit(-1), F.lit(-1), F.min("x"), F.min("y"), F.max("speed")).alias("ball"))
-    lines = frames.join(ball, "frame_no").select(
+    one = _obj(F.col("team"), F.col("player_id"), F.col("jersey_number"), F.col("x"), F.col("y"), F.col("speed"))
+    lines = raw.groupBy("frame_no").agg(
+        F.concat_ws(";", F.transform(F.sort_array(F.collect_list(F.struct("player_id", one.alias("o")))),
+                                     lambda s: s["o"])).alias("objs"),
+        _obj(F.lit(4), F.lit(-1), F.lit(-1), F.min("x"), F.min("y"), F.max("speed")).alias("ball")).select(
         F.concat(F.col("frame_no").cast("string"), F.lit(":"), F.col("objs"), F.lit(";"), F.col("ball"),
                  F.lit(";4,0;:")).alias("value"))
     path = scratch(spark, "frames")
@@ -53,23 +49,23 @@ def write_frames_text(raw: DataFrame) -> str:
 
 
 def periods_of(raw: DataFrame) -> DataFrame:
-    """Two periods over the frame range with a gap between them."""
-    b = raw.agg(F.min("frame_no").alias("lo"), F.max("frame_no").alias("hi"))
+    """Two periods over a match's frame range with a gap between them."""
+    b = raw.groupBy("match_id").agg(F.min("frame_no").alias("lo"), F.max("frame_no").alias("hi"))
     mid = F.floor((F.col("lo") + F.col("hi")) / 2)
-    return b.select(F.col("lo").alias("s0"), (mid - PERIOD_GAP).alias("e0"),
+    return b.select("match_id", F.col("lo").alias("s0"), (mid - PERIOD_GAP).alias("e0"),
                     (mid + PERIOD_GAP).alias("s1"), F.col("hi").alias("e1"))
 
 
 def write_match_xml(raw: DataFrame) -> str:
     spark = raw.sparkSession
     p = periods_of(raw)
-    doc = p.select(F.lit(KICKOFF_TEXT).alias("_dtDate"), F.lit(FPS).alias("_iFrameRateFps"),
+    doc = p.select(F.col("match_id").cast("long").alias("_iId"), F.lit(KICKOFF_TEXT).alias("_dtDate"), F.lit(FPS).alias("_iFrameRateFps"),
                    F.array(F.struct(F.col("s0").cast("long").alias("_iStartFrame"),
                                     F.col("e0").cast("long").alias("_iEndFrame")),
                            F.struct(F.col("s1").cast("long").alias("_iStartFrame"),
                                     F.col("e1").cast("long").alias("_iEndFrame"))).alias("period"))
     path = scratch(spark, "meta")
-    doc.coalesce(1).write.format("xml").option("rootTag", "matches").option("rowTag", "match") \
+    doc.write.format("xml").option("rootTag", "matches").option("rowTag", "match") \
        .mode("overwrite").save(path)
     return path
 
@@ -94,7 +90,7 @@ def write_zone_snapshot(snapshot: DataFrame) -> str:
 
 
 def write_tracking_cache(enriched: DataFrame, keys: list[str], ttl_ms: int = W.TTL_MS) -> str:
-    """Cache batches of enriched rows; batches whose newest row is older than the
+    """Cache batches of enriched rows; batches whose newest row lies before the
     newest row overall minus the retention are stored expired (NULL)."""
     path = scratch(enriched.sparkSession, "cache")
     W.tracking_cache_batch(enriched, 0, path, keys)
@@ -102,7 +98,7 @@ def write_tracking_cache(enriched: DataFrame, keys: list[str], ttl_ms: int = W.T
     bound = t.agg((F.max("ts_ms") - F.lit(ttl_ms)).alias("_lo"))
     exp = t.crossJoin(F.broadcast(bound)).select(
         *[c for c in t.columns if c != "value"],
-        F.when(F.col("ts_ms") > F.col("_lo"), F.col("value")).alias("value"))
+        F.when(F.col("ts_ms") >= F.col("_lo"), F.col("value")).alias("value"))
     out = path + "-ttl"
     exp.write.mode("overwrite").parquet(out)
     return out

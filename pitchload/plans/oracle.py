@@ -6,9 +6,18 @@ CTE that walks each player's rows one position at a time.
 
 from __future__ import annotations
 
-from pitchload.functions.scalar import SPEED_ZONES_KMH
-from pitchload.operators.scoring import FIT_INTERCEPT, FIT_SLOPE
-from pitchload.sources.tables import TRACKING_SQL
+# fixed values, written out here so that a wrong one in the library shows
+SPEED_ZONES_KMH = [(1, 0.0, 11.0), (2, 11.001, 14.0), (3, 14.001, 19.0), (4, 19.001, 23.0), (5, 23.001, 100.0)]
+FIT_SLOPE, FIT_INTERCEPT = -0.2231103204008683, 5.870670997437445
+TRACKING_SQL = """
+SELECT CAST(player_id % 2 AS INT) AS team, player_id AS jersey_number, player_id, frame_no,
+       frame_no * 40 + CAST(floor(frame_no / 100e0) AS BIGINT) * 45000 AS ts_ms,
+       CAST(-5250 + (frame_no * 25 + player_id * 400) % 10500 AS DOUBLE) AS x,
+       CAST(-3400 + (frame_no * 13 + event_id % 50 + player_id * 300) % 6800 AS DOUBLE) AS y,
+       abs((frame_no + player_id * 7) % 60 - 30) / 30e0 * 8e0 + ((event_id * 7919) % 101) / 100e0 * 15e-1 AS speed
+FROM (SELECT event_id, CAST(user_id % 22 + 1 AS INT) AS player_id,
+             row_number() OVER (PARTITION BY user_id % 22 ORDER BY ts, event_id) - 1 AS frame_no FROM events)
+"""
 
 
 def _zone_case(kmh: str) -> str:

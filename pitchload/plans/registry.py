@@ -238,7 +238,7 @@ def src_history_csv(spark, sf):
     path = D.write_history_csv(_chain(spark, sf).filtered())
     hist = FS.read_history_csv(spark, path)
     # no event key in the history file: split ties on the values themselves
-    return SC.class_thresholds(hist, ["max_acc", "max_speed"])
+    return SC.class_thresholds(hist)
 
 
 @q("fn_event_class", SCO(f"SELECT {EV_SQL}, event_class FROM classed"))
@@ -532,9 +532,10 @@ def fn_cast(spark, sf):
 
 
 def _meta(spark, sf):
-    c = _chain(spark, sf)
-    path = D.write_match_xml(c.raw())
-    return c, FS.read_periods(spark, path), FS.read_match(spark, path)
+    """Rows with their match (the tables hold one), its periods and its metadata."""
+    raw = _chain(spark, sf).raw().withColumn("match_id", F.lit(1).cast("long"))
+    path = D.write_match_xml(raw)
+    return raw, FS.read_periods(spark, path), FS.read_match(spark, path)
 
 
 _PER = _sql(O.TRK, PERIODS_SQL)
@@ -543,7 +544,7 @@ _PER = _sql(O.TRK, PERIODS_SQL)
 @q("src_match_meta", _PER("SELECT half, start_frame, end_frame, '20:45:00' AS dt_date, 25 AS fps FROM pds"))
 def src_match_meta(spark, sf):
     _, periods, match = _meta(spark, sf)
-    return periods.crossJoin(F.broadcast(match)).select("half", "start_frame", "end_frame", "dt_date", "fps")
+    return periods.join(match, "match_id").select("half", "start_frame", "end_frame", "dt_date", "fps")
 
 
 _HALF_SQL = "SELECT r.player_id, r.frame_no, p.half FROM raw r JOIN pds p ON r.frame_no BETWEEN p.start_frame AND p.end_frame"
@@ -551,14 +552,13 @@ _HALF_SQL = "SELECT r.player_id, r.frame_no, p.half FROM raw r JOIN pds p ON r.f
 
 @q("join_period_range", _PER(_HALF_SQL))
 def join_period_range(spark, sf):
-    c, periods, _ = _meta(spark, sf)
-    return I.assign_half(c.raw(), periods, frame="frame_no").select("player_id", "frame_no", "half")
+    raw, periods, _ = _meta(spark, sf)
+    return I.assign_half(raw, periods, frame="frame_no").select("player_id", "frame_no", "half")
 
 
 @q("set_union_all", _PER(_HALF_SQL))
 def set_union_all(spark, sf):
-    c, periods, _ = _meta(spark, sf)
-    raw = c.raw()
+    raw, periods, _ = _meta(spark, sf)
     halves = []
     for h in (0, 1):
         halves.append(I.assign_half(raw, periods.where(F.col("half") == h), frame="frame_no"))
@@ -567,27 +567,29 @@ def set_union_all(spark, sf):
 
 
 @q("fn_frame_ts", _PER(f"""SELECT r.player_id, r.frame_no, p.half,
-  {KICKOFF_EPOCH_MS} + CAST(floor((r.frame_no - (SELECT min(start_frame) FROM pds)) * 1000e0 / 25 + 5e-1) AS BIGINT) AS frame_ts_ms
+  {KICKOFF_EPOCH_MS} + CAST(floor((r.frame_no - (SELECT min(start_frame) FROM pds)) * 1e6 / 25 / 1000e0) AS BIGINT) AS frame_ts_ms
 FROM raw r JOIN pds p ON r.frame_no BETWEEN p.start_frame AND p.end_frame"""))
 def fn_frame_ts(spark, sf):
-    c, periods, match = _meta(spark, sf)
-    halves = I.assign_half(c.raw(), periods, frame="frame_no")
-    first = periods.agg(F.min("start_frame").alias("first_frame"))
-    m = match.crossJoin(first).select(
+    raw, periods, match = _meta(spark, sf)
+    halves = I.assign_half(raw, periods, frame="frame_no")
+    first = periods.groupBy("match_id").agg(F.min("start_frame").alias("first_frame"))
+    m = match.join(first, "match_id").select(
+        "match_id",
         S.parse_iso_ms(F.concat(F.lit("2019-06-05T"), F.col("dt_date"), F.lit(".000+0100"))).alias("start_ms"),
         "fps", "first_frame")
-    j = halves.crossJoin(F.broadcast(m))
+    j = halves.join(m, "match_id")
     return I.frame_clock(j, F.col("first_frame"), F.col("fps"), F.col("start_ms"), frame="frame_no") \
             .select("player_id", "frame_no", "half", F.col("ts_ms").alias("frame_ts_ms"))
 
 
 @q("win_forward_fill", RAW("""SELECT player_id, frame_no,
-  CAST(floor((frame_no - (SELECT min(frame_no) FROM raw)) * 1000e0 / 25 + 5e-1) AS BIGINT) AS offset_ms FROM raw"""))
+  CAST(floor((frame_no - (SELECT min(frame_no) FROM raw)) * 1e6 / 25 / 1000e0) AS BIGINT) AS offset_ms FROM raw"""))
 def win_forward_fill(spark, sf):
-    raw = _chain(spark, sf).raw()
-    first = raw.agg(F.min("frame_no")).first()[0]
-    return I.forward_fill_frame_offset(raw.select("player_id", "frame_no"), [], "frame_no", ["player_id"],
-                                       first, D.FPS).select("player_id", "frame_no", "offset_ms")
+    raw, periods, match = _meta(spark, sf)
+    first = periods.groupBy("match_id").agg(F.min("start_frame").alias("first_frame")).join(match, "match_id")
+    rows = raw.select("match_id", "player_id", "frame_no").join(first.select("match_id", "first_frame", "fps"), "match_id")
+    return I.forward_fill_frame_offset(rows, ["match_id"], "frame_no", ["player_id"], F.col("first_frame"),
+                                       F.col("fps")).select("player_id", "frame_no", "offset_ms")
 
 
 @q("agg_first_per_frame", RAW("""SELECT frame_no, min(player_id) AS player_id FROM raw GROUP BY frame_no
@@ -627,7 +629,7 @@ def src_event_snapshot(spark, sf):
 _CACHE_COLS = ["player_id", "ts_ms", "speed", "speedzone", "dist"]
 _CACHE_SQL = ENR(f"""SELECT {', '.join(_CACHE_COLS)} FROM (
   SELECT *, max(ts_ms) OVER (PARTITION BY player_id, CAST(floor(ts_ms / 4000e0) AS BIGINT)) AS gmax FROM enriched)
-WHERE gmax > (SELECT max(ts_ms) - 120000 FROM enriched)""")
+WHERE gmax >= (SELECT max(ts_ms) - 120000 FROM enriched)""")
 
 
 def _cache(spark, sf):
@@ -640,7 +642,7 @@ q("src_tracking_cache", _CACHE_SQL)(_cache)
 q("flt_non_null_payload", _CACHE_SQL)(_cache)
 
 
-@q("sink_tracking_ttl", ENR(f"SELECT {', '.join(_CACHE_COLS)} FROM enriched WHERE ts_ms > (SELECT max(ts_ms) - 120000 FROM enriched)"))
+@q("sink_tracking_ttl", ENR(f"SELECT {', '.join(_CACHE_COLS)} FROM enriched WHERE ts_ms >= (SELECT max(ts_ms) - 120000 FROM enriched)"))
 def sink_tracking_ttl(spark, sf):
     e = _chain(spark, sf).rows().select(*_CACHE_COLS)
     return W.retained(e)
@@ -659,7 +661,7 @@ def sink_event_append(spark, sf):
 def sink_zone_upsert(spark, sf):
     e = _chain(spark, sf).rows()
     path = D.scratch(spark, "zone-sink")
-    half = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ts_ms)").alias("_m"))
+    half = e.agg(F.floor((F.min("ts_ms") + F.max("ts_ms")) / 2).alias("_m"))
     first = e.crossJoin(F.broadcast(half)).where(F.col("ts_ms") <= F.col("_m")).drop("_m")
     W.zone_upsert(Z.zone_distance(first), 0, path)      # totals after the first micro-batch
     W.zone_upsert(Z.zone_distance(e), 1, path)          # updated totals after the second
@@ -679,8 +681,8 @@ def sink_csv_first_n(spark, sf):
 @q("sink_tracking_csv", _PER(f"""SELECT {_iso_sql('r.ts_ms')} AS timestamp, r.team, r.jersey_number, r.x, r.y, r.speed, p.half
 FROM raw r JOIN pds p ON r.frame_no BETWEEN p.start_frame AND p.end_frame"""))
 def sink_tracking_csv(spark, sf):
-    c, periods, _ = _meta(spark, sf)
-    h = I.assign_half(c.raw(), periods, frame="frame_no")
+    raw, periods, _ = _meta(spark, sf)
+    h = I.assign_half(raw, periods, frame="frame_no")
     t = h.select(S.format_iso_ms(F.col("ts_ms") + F.lit(KICKOFF_EPOCH_MS)).alias("timestamp"),
                  "team", "jersey_number", "x", "y", "speed", "half")
     path = D.scratch(spark, "tracking-csv")
@@ -698,8 +700,9 @@ def sink_keyed_stream(spark, sf):
 
 # ---------------------------------------------------------------- live path (Structured Streaming)
 def _live(spark, sf, periodic: bool = False):
-    """Replay the tracking rows as three JSON files (by time), run the live job to the end
-    (``availableNow``) and return (chain, sink folder). Timestamps go through ISO text."""
+    """Replay the tracking rows in three parts of the time: each part arrives as a set of JSON
+    files, the live job reads it (``availableNow``) and is restarted from its checkpoint for
+    the next. Returns (chain, sink folder). Timestamps go through ISO text."""
     from pitchload.streaming import live
     import uuid as _uuid
     c = _chain(spark, sf)
@@ -708,20 +711,27 @@ def _live(spark, sf, periodic: bool = False):
                      "jersey_number", "x", "y", "speed", F.lit(0).alias("half"),
                      S.teamjersey("jersey_number", "team").alias("teamjersey"), "player_id", "ts_ms")
     hi = raw.agg(F.max("ts_ms")).first()[0] + 1
-    src, sink = D.scratch(spark, "live-src"), D.scratch(spark, "live-sink")
+    src, sink, name = D.scratch(spark, "live-src"), D.scratch(spark, "live-sink"), f"live-{_uuid.uuid4().hex[:10]}"
     cuts = [0, hi // 3, 2 * hi // 3, hi]
-    for lo, up in zip(cuts, cuts[1:]):
-        ing.where((F.col("ts_ms") >= lo) & (F.col("ts_ms") < up)).drop("ts_ms").coalesce(1) \
-           .write.mode("append").json(src)
+
+    def arrive(k):
+        ing.where((F.col("ts_ms") >= cuts[k]) & (F.col("ts_ms") < cuts[k + 1])).drop("ts_ms").write.mode("append").json(src)
+
     if periodic:
-        # the dashboard's 15 s refresh: a processing-time trigger, drained and stopped
-        q = live.start_live(spark, src, sink, c.thresholds(), name=f"live-{_uuid.uuid4().hex[:10]}",
-                            available_now=False, processing_time="15 seconds")
-        q.processAllAvailable()
-        q.stop()
+        # the dashboard's refresh: one query with a processing-time trigger sees each part as it arrives
+        arrive(0)
+        q = live.start_live(spark, src, sink, c.thresholds(), name=name, available_now=False, processing_time="1 second")
+        try:
+            for k in (1, 2, None):
+                q.processAllAvailable()
+                if k:
+                    arrive(k)
+        finally:
+            q.stop()
     else:
-        q = live.start_live(spark, src, sink, c.thresholds(), name=f"live-{_uuid.uuid4().hex[:10]}", max_files=1)
-        q.awaitTermination()
+        for k in range(3):
+            arrive(k)
+            live.start_live(spark, src, sink, c.thresholds(), name=name).awaitTermination()
     return c, sink
 
 
@@ -772,27 +782,37 @@ _ZONE_SQL = ENR("""SELECT team, jersey_number, speedzone AS "speedZone", round_e
   FROM enriched WHERE speedzone IS NOT NULL GROUP BY ALL""")
 
 
-def _zone_stream(spark, sf):
+def _rounded_totals(out):
+    return out.select("team", "jersey_number", "speedZone",
+                      S.round_half_even("total_distance", 6).alias("total_distance"))
+
+
+@q("st_continuous_zone_sum", _ZONE_SQL)
+def st_continuous_zone_sum(spark, sf):
+    from pitchload.streaming import live
+    _, sink = _live(spark, sf)
+    return _rounded_totals(live.zone_totals(spark, sink))
+
+
+@q("src_enriched_stream", _ZONE_SQL)
+def src_enriched_stream(spark, sf):
+    """The declared stream over the enriched rows and its continuous SQL."""
     from pitchload.streaming import live
     import uuid as _uuid
     _, sink = _live(spark, sf)
     zs = D.scratch(spark, "zone-stream")
     live.zone_totals_stream(spark, f"{sink}/enriched", zs, name=f"zones-{_uuid.uuid4().hex[:10]}").awaitTermination()
-    out = W.read_latest(spark, zs, ["team", "jersey_number", "speedZone"])
-    return out.select("team", "jersey_number", "speedZone",
-                      S.round_half_even("total_distance", 6).alias("total_distance"))
-
-
-q("st_continuous_zone_sum", _ZONE_SQL)(_zone_stream)
-q("src_enriched_stream", _ZONE_SQL)(_zone_stream)
+    out = _rounded_totals(W.read_latest(spark, zs, ["team", "jersey_number", "speedZone"]))
+    return out.select(F.col("team").cast("int").alias("team"), F.col("jersey_number").cast("int").alias("jersey_number"),
+                      F.col("speedZone").cast("int").alias("speedZone"), "total_distance")
 
 
 @q("st_session_merge", _sql(*O.BASE_EVENTS, O.MERGED.replace("WHERE grp < last_grp", "WHERE true"))(
-    f"SELECT {EV_SQL.replace('team, jersey_number, ', '')} FROM merged"))
+    f"SELECT {EV_SQL} FROM merged"))
 def st_session_merge(spark, sf):
     from pitchload.streaming import live
     ev = live.session_merge(_chain(spark, sf).extracted())
-    return ev.select(*[c for c in EV_COLS if c not in ("team", "jersey_number")])
+    return ev.select(*EV_COLS)
 
 
 @q("st_ttl_cache", _CACHE_SQL)

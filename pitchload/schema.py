@@ -8,11 +8,9 @@ from pyspark.sql import types as T
 
 _I, _L, _D, _S = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
 
-
 def _st(*fields):
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
-
 # raw positional rows (x, y in cm, speed in m/s)
 INGESTION = _st(("timestamp", _S), ("team", _I), ("jersey_number", _I), ("x", _D), ("y", _D),
                 ("speed", _D), ("half", _I), ("teamjersey", _I), ("player_id", _I))
@@ -31,18 +29,8 @@ CLASS_EVENT = _st(*[(f.name, f.dataType) for f in EVENT.fields], ("event_class",
 
 PERC_EVENT = _st(*[(f.name, f.dataType) for f in CLASS_EVENT.fields], ("percAcc", _D))
 
-COV_DISTANCE = _st(("timestamp", _S), ("team", _I), ("jersey_number", _I), ("x", _D), ("y", _D),
-                   ("speed", _D), ("player_id", _I), ("dist", _D))
-
-SPEED_ZONE = _st(*[(f.name, f.dataType) for f in COV_DISTANCE.fields], ("speedZone", _I))
-
-TRACKING_ACC_ALT = _st(("timestamp", _S), ("team", _I), ("jersey_number", _I), ("speed", _D),
-                       ("player_id", _I), ("acc_actual", _D), ("acc_event", _D))
-
 ZONE_SNAPSHOT = _st(("team", _I), ("player", _I), ("dist", T.MapType(_S, _D)))
 
-ZONE_TOTAL = _st(("team", _L), ("jersey_number", _L), ("speedZone", _L), ("total_distance", _D))
-
 # the declared SQL stream over the enriched topic (bigint ids)
 ENRICHED_STREAM = _st(("timestamp", _S), ("team", _L), ("jersey_number", _L), ("x", _D), ("y", _D),
                       ("speed", _D), ("speedZone", _L), ("dist", _D), ("player_id", _L),
@@ -50,14 +38,14 @@ ENRICHED_STREAM = _st(("timestamp", _S), ("team", _L), ("jersey_number", _L), ("
 
 HISTORY = _st(("max_acc", _D), ("max_speed", _D))
 
-SPRINT = _st(("Time", _D), ("speed", _D), ("acc", _D))
+PERIOD_META = T.StructType([
+    T.StructField("_iStartFrame", _L, True),
+    T.StructField("_iEndFrame", _L, True),
+])
 
 MATCH_META = T.StructType([
+    T.StructField("_iId", _L, True),
     T.StructField("_dtDate", _S, True),
     T.StructField("_iFrameRateFps", _I, True),
-])
-
-PERIOD_META = T.StructType([
-    T.StructField("_iStartFrame", _L, True),
-    T.StructField("_iEndFrame", _L, True),
+    T.StructField("period", T.ArrayType(PERIOD_META), True),
 ])

@@ -76,13 +76,3 @@ def cut(df, name: str = "stage"):
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
-
-# Largest side (rows) broadcast after an explicit count; above it the plan keeps a
-# shuffle join (and AQE may still broadcast after measuring bytes).
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_checked(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (counted first)."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -71,9 +71,9 @@ def tracking_cache_batch(batch: DataFrame, batch_id: int, path: str, keys: list[
 
 
 def retained(cache: DataFrame, ts: str = "ts_ms", ttl_ms: int = TTL_MS) -> DataFrame:
-    """Event-time retention: rows newer than max(ts) - ttl (one-row bound, broadcast)."""
+    """Event-time retention: rows with ts >= max(ts) - ttl (one-row bound, broadcast)."""
     bound = cache.agg((F.max(ts) - F.lit(ttl_ms)).alias("_lo"))
-    return cache.crossJoin(F.broadcast(bound)).where(F.col(ts) > F.col("_lo")).drop("_lo")
+    return cache.crossJoin(F.broadcast(bound)).where(F.col(ts) >= F.col("_lo")).drop("_lo")
 
 
 def csv_first_n(df: DataFrame, path: str, n: int, order: list[str]) -> None:

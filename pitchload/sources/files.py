@@ -12,12 +12,13 @@ from pitchload.operators.ingest import number_periods
 META_FIELD = "__meta"   # trailing metadata field of stored records, dropped on read
 
 
-def read_tracking_records(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_tracking_records(spark: SparkSession, path: str, fmt: str = "csv",
+                          schema: T.StructType = SCH.INGESTION) -> DataFrame:
     """Exported tracking records (ingestion schema: ISO timestamp with offset, team,
     jersey, x/y in cm, speed in m/s, half, teamjersey, player_id) -> rows for the
     batch chain, with ``ts_ms`` parsed once. Unparsable timestamps become NULL and
-    are dropped (they cannot be ordered)."""
-    r = spark.read.schema(SCH.INGESTION).format(fmt)
+    are dropped (they cannot be ordered). ``schema`` may add key columns (match_id)."""
+    r = spark.read.schema(schema).format(fmt)
     if fmt == "csv":
         r = r.option("header", True)
     df = r.load(path)
@@ -30,17 +31,21 @@ def read_wide_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def _matches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", "match").schema(SCH.MATCH_META).load(path)
+
+
 def read_periods(spark: SparkSession, path: str) -> DataFrame:
-    """``period`` elements of the match XML -> start_frame, end_frame, half."""
-    p = (spark.read.format("xml").option("rowTag", "period").schema(SCH.PERIOD_META).load(path)
-         .select(F.col("_iStartFrame").alias("start_frame"), F.col("_iEndFrame").alias("end_frame")))
-    return number_periods(p)
+    """``period`` elements of every match in the XML -> match_id, start_frame, end_frame, half."""
+    p = _matches(spark, path).select(F.col("_iId").alias("match_id"), F.explode("period").alias("p"))
+    return number_periods(p.select("match_id", F.col("p._iStartFrame").alias("start_frame"),
+                                   F.col("p._iEndFrame").alias("end_frame")))
 
 
 def read_match(spark: SparkSession, path: str) -> DataFrame:
-    """``match`` element -> start time text (dtDate) and frame rate."""
-    return (spark.read.format("xml").option("rowTag", "match").schema(SCH.MATCH_META).load(path)
-            .select(F.col("_dtDate").alias("dt_date"), F.col("_iFrameRateFps").alias("fps")))
+    """``match`` elements -> match_id, start time text (dtDate) and frame rate."""
+    return _matches(spark, path).select(F.col("_iId").alias("match_id"), F.col("_dtDate").alias("dt_date"),
+                                        F.col("_iFrameRateFps").alias("fps"))
 
 
 def read_history_csv(spark: SparkSession, path: str) -> DataFrame:

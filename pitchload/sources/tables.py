@@ -9,21 +9,6 @@ from pitchload.operators.sequence import number_rows
 
 TRACKING_KEYS = ["player_id"]
 
-# The tracking view (FIXTURES.md section 2) in SQL; the oracle uses this exact text.
-TRACKING_SQL = """
-WITH b AS (
-  SELECT event_id, CAST(user_id % 22 + 1 AS INT) player_id,
-         row_number() OVER (PARTITION BY user_id % 22 ORDER BY ts, event_id) - 1 AS frame_no
-  FROM events)
-SELECT CAST(player_id % 2 AS INT) team, player_id jersey_number, player_id, frame_no,
-       frame_no*40 + CAST(floor(frame_no/100e0) AS BIGINT)*2000 AS ts_ms,
-       CAST(-5250 + (frame_no*25 + player_id*400) % 10500 AS DOUBLE) x,
-       CAST(-3400 + (frame_no*13 + event_id % 50 + player_id*300) % 6800 AS DOUBLE) y,
-       abs((frame_no + player_id*7) % 60 - 30)/30e0*8e0 + ((event_id*7919) % 101)/100e0*15e-1 AS speed
-FROM b
-"""
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw positional rows (x, y in cm, speed m/s) keyed by player, ordered by ``ts_ms``.
 
-    Same rows as ``TRACKING_SQL``; the frame number is computed with the
+    The tracking view of FIXTURES.md section 2; the frame number is computed with the
     distributed row numbering (per key and hour bucket) instead of a window
     over the whole key. ``rn`` (= frame_no + 1) is kept for the ordered steps.
     """
@@ -47,7 +32,7 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
         pid.alias("jersey_number"),
         pid.alias("player_id"),
         f.alias("frame_no"),
-        (f * 40 + F.floor(f / F.lit(100.0)) * 2000).alias("ts_ms"),
+        (f * 40 + F.floor(f / F.lit(100.0)) * 45_000).alias("ts_ms"),
         (F.lit(-5250) + (f * 25 + pid * 400) % 10500).cast("double").alias("x"),
         (F.lit(-3400) + (f * 13 + F.col("event_id") % 50 + pid * 300) % 6800).cast("double").alias("y"),
         (F.abs((f + pid * 7) % 60 - 30) / F.lit(30.0) * F.lit(8.0)

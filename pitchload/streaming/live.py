@@ -5,18 +5,21 @@ ordered per-player steps (rates -> edge / distance / zone -> event automaton ->
 merge) are one keyed stateful step (``applyInPandasWithState``). Spark shuffles the
 rows by key; each key's micro-batch rows are folded in event-time order and the
 fold state (last speeds, last position, open event, pending merge group) is kept
-in the state store, checkpointed with the query. Rows older than the key's last
-processed time are late and dropped (counted in ``late_rows``).
+in the state store, checkpointed with the query.
 
-The state step emits three kinds of rows in one wide schema: ``enriched`` rows,
-``extracted`` events and ``merged`` events; ``foreachBatch`` routes them to
-idempotent table sinks. The stateless tail (filter, classify, score) runs per batch.
+Rows of one time are ordered by their values (x, y, speed), in a batch and across
+batches, so a key's rows give the same answer however the trigger cuts them.
+
+The state step emits rows of several kinds in one wide schema: ``enriched`` rows,
+``extracted`` and ``merged`` events, ``late`` rows (before the key's last row) and
+``reject`` rows (no key, time, position or speed). ``foreachBatch`` routes them to
+idempotent table sinks, so nothing is dropped unseen. The stateless tail (filter,
+classify, score) and the batch's share of the zone totals are computed there too.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +31,8 @@ from pitchload.functions import scalar as S
 from pitchload.operators import kinematics as K
 from pitchload.operators import scoring as SC
 from pitchload.operators.events import MERGE_GAP_MS
-from pitchload.session import checkpoint_dir
+from pitchload.operators.zones import zone_distance
+from pitchload.session import checkpoint_dir, cut
 
 _I, _L, _D, _S = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
 
@@ -42,96 +46,111 @@ BODY = T.StructType([T.StructField(n, t) for n, t in [
 OUT = T.StructType([T.StructField("player_id", _I)] + BODY.fields)
 
 STATE = T.StructType([T.StructField(n, t) for n, t in [
-    ("n", _L), ("last_ts", _L), ("speeds", T.ArrayType(_D)), ("prev_acc", _D), ("prev_x", _D), ("prev_y", _D),
-    ("phase", _I), ("o_ts", _L), ("o_v", _D), ("o_acc", _D), ("o_speed", _D), ("o_end", _L),
-    ("m_prev", T.ArrayType(_D)), ("m_cur", T.ArrayType(_D))]])
+    ("n", _L), ("last_ts", _L), ("last_row", T.ArrayType(_D)), ("speeds", T.ArrayType(_D)), ("prev_acc", _D),
+    ("phase", _I), ("open", T.ArrayType(_D)), ("group", T.ArrayType(_D))]])
 
 _FIRST_ENRICHED = K.SMALL_LAG + 2
 
+# phases of a key's event automaton
+IDLE, OPEN, RUNNING = 0, 1, 2
+
+
+def automaton(ts, speed, acc, start, good, phase: int, event: list):
+    """Run the event automaton over a key's rows; returns (events, phase, open event).
+
+    An idle key opens an event at a start row; an open one runs from the first good row on;
+    a running one takes in good rows and ends before the first row that is not. Only phase
+    changes are visited, the stretches between them are array slices.
+    An event is [start, end, first speed, greatest acceleration, greatest speed].
+    """
+    at = {IDLE: np.flatnonzero(start), OPEN: np.flatnonzero(good), RUNNING: np.flatnonzero(~good)}
+    done, i, n = [], 0, len(ts)
+    while i < n:
+        k = np.searchsorted(at[phase], i)
+        turn = int(at[phase][k]) if k < len(at[phase]) else n
+        if phase == RUNNING and turn > i:
+            event = [event[0], float(ts[turn - 1]), event[2], max(event[3], float(acc[i:turn].max())),
+                     max(event[4], float(speed[i:turn].max()))]
+        if turn == n:
+            break
+        if phase == IDLE:
+            event, phase, i = [float(ts[turn]), float("nan"), float(speed[turn]), 0.0, 0.0], OPEN, turn + 1
+        elif phase == OPEN:
+            phase, i = RUNNING, turn
+        else:
+            done.append(event)
+            event, phase, i = [], IDLE, turn + 1
+    return done, phase, event
+
+
+def join_groups(events: list, group: list, gap_ms: int = MERGE_GAP_MS):
+    """Merge events less than ``gap_ms`` apart into the open group; returns (closed groups, open group).
+    Events without length are passed over."""
+    closed = []
+    for e in events:
+        if e[1] <= e[0]:
+            continue
+        if group and e[0] - group[1] < gap_ms:
+            group = [group[0], e[1], group[2], max(group[3], e[3]), max(group[4], e[4])]
+        else:
+            closed += [group] if group else []
+            group = e
+    return closed, group
+
 
-def _zone(speed: float):
+def _zones(speed: np.ndarray) -> np.ndarray:
     kmh = speed * S.MS_TO_KMH
+    zone = np.full(len(kmh), np.nan)
     for z, lo, hi in S.SPEED_ZONES_KMH:
-        if lo <= kmh <= hi:
-            return z
-    return None
+        zone[(kmh >= lo) & (kmh <= hi)] = z
+    return zone
 
 
 def _fold(key, pdfs, state, key_names=("player_id",)):
     """Per-key fold over one micro-batch, rows in event-time order."""
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("ts_ms", kind="stable")
-    if state.exists:
-        (n, last_ts, speeds, prev_acc, prev_x, prev_y, phase, o_ts, o_v, o_acc, o_speed, o_end,
-         m_prev, m_cur) = state.get
-        speeds, m_prev, m_cur = list(speeds or []), list(m_prev or []), list(m_cur or [])
-    else:
-        n, last_ts, speeds, prev_acc, prev_x, prev_y = 0, None, [], None, None, None
-        phase, o_ts, o_v, o_acc, o_speed, o_end, m_prev, m_cur = 0, None, None, None, None, None, [], []
-    late = 0
+    pdf = pd.concat(list(pdfs), ignore_index=True)
+    bad = pdf[["ts_ms", "x", "y", "speed"]].isna().any(axis=1) | any(pd.isna(k) for k in key)
+    out = [pdf[bad].assign(kind="reject")]
+    pdf = pdf[~bad].sort_values(["ts_ms", "x", "y", "speed"], kind="stable")
+    n, last_ts, last_row, speeds, prev_acc, phase, event, group = \
+        state.get if state.exists else (0, None, [], [], None, IDLE, [], [])
     if last_ts is not None:
-        keep = pdf["ts_ms"] > last_ts
-        late = int((~keep).sum())
-        pdf = pdf[keep]
-    out = []
-
-    def event_row(kind, team, jersey, ev):
-        s, e, v, a, m = ev
-        out.append((kind, team, jersey, None, None, None, None, None, None, None, None, None,
-                    int(s), int(e), (int(e) - int(s)) / 1000.0, v, a, m, None))
-
-    def merge(team, jersey, ev):
-        nonlocal m_prev, m_cur
-        if ev[1] - ev[0] <= 0:
-            return
-        if m_prev:
-            if ev[0] - m_prev[1] < MERGE_GAP_MS:
-                if not m_cur:
-                    m_cur = list(m_prev)
-                m_cur = [m_cur[0], float(ev[1]), m_cur[2], max(ev[3], m_cur[3]), max(ev[4], m_cur[4])]
-            else:
-                event_row("merged", team, jersey, m_cur if m_cur else m_prev)
-                m_cur = []
-        m_prev = [float(x) for x in ev]   # the state field is array<double>
-
-    for team, jersey, ts, x, y, v in zip(pdf["team"], pdf["jersey_number"], pdf["ts_ms"], pdf["x"], pdf["y"],
-                                         pdf["speed"]):
-        team, jersey, ts, v = int(team), int(jersey), int(ts), float(v)
-        n += 1
-        if n <= K.SMALL_LAG:
-            speeds.append(v)
-            last_ts = ts
-            continue
-        acc = (v - speeds[-K.SMALL_LAG]) / (K.SMALL_LAG * K.STEP_S)
-        acc_ev = (v - speeds[-K.BIG_LAG]) / (K.BIG_LAG * K.STEP_S) if len(speeds) >= K.BIG_LAG else 0.0
-        speeds = (speeds + [v])[-K.BIG_LAG:]
-        xm, ym = float(x) / S.CM_PER_M, float(y) / S.CM_PER_M
-        if n < _FIRST_ENRICHED:
-            prev_acc, prev_x, prev_y, last_ts = acc_ev, xm, ym, ts
-            continue
-        start = 1 if (prev_acc <= 0 and acc_ev > 0) else 0
-        dist = math.sqrt((prev_x - xm) ** 2 + (prev_y - ym) ** 2)
-        out.append(("enriched", team, jersey, ts, xm, ym, v, acc, acc_ev, start, dist, _zone(v),
-                    None, None, None, None, None, None, None))
-        if n == _FIRST_ENRICHED or phase == 0:
-            if start == 1:
-                phase, o_ts, o_v, o_acc, o_speed, o_end = 1, ts, v, 0.0, 0.0, None
-        else:
-            good = (acc_ev >= 0 or v >= S.MIN_SPEED_GOOD) and (ts - last_ts) < K.GAP_CLOSE_MS
-            if good:
-                o_acc, o_speed, o_end, phase = max(o_acc, acc), max(o_speed, v), ts, 2
-            elif phase == 2:
-                ev = (o_ts, o_end, o_v, o_acc, o_speed)
-                event_row("extracted", team, jersey, ev)
-                merge(team, jersey, ev)
-                phase = 0
-        prev_acc, prev_x, prev_y, last_ts = acc_ev, xm, ym, ts
-
-    if late:
-        out.append(("late", None, None, None, None, None, None, None, None, None, None, None,
-                    None, None, None, None, None, None, late))
-    state.update((n, last_ts, speeds, prev_acc, prev_x, prev_y, phase, o_ts, o_v, o_acc, o_speed, o_end,
-                  m_prev, m_cur))
-    res = pd.DataFrame(out, columns=BODY.fieldNames())
+        old = np.array([r < (last_ts, *last_row) for r in pdf[["ts_ms", "x", "y", "speed"]].itertuples(index=False, name=None)], bool)
+        out.append(pdf[old].assign(kind="late", late_rows=1))
+        pdf = pdf[~old]
+    if len(pdf):
+        ts, v = pdf["ts_ms"].to_numpy().astype(np.int64), pdf["speed"].to_numpy(float)
+        x, y = pdf["x"].to_numpy(float) / S.CM_PER_M, pdf["y"].to_numpy(float) / S.CM_PER_M
+        tail = np.array(speeds, float)
+        every, place = np.concatenate((tail, v)), n + 1 + np.arange(len(v))
+        before = lambda lag: every[np.maximum(len(tail) + np.arange(len(v)) - lag, 0)]
+        acc = np.where(place > K.SMALL_LAG, (v - before(K.SMALL_LAG)) / (K.SMALL_LAG * K.STEP_S), 0.0)
+        acc_ev = np.where(place > K.BIG_LAG, (v - before(K.BIG_LAG)) / (K.BIG_LAG * K.STEP_S), 0.0)
+        first = [last_ts, last_row[0] / S.CM_PER_M, last_row[1] / S.CM_PER_M, prev_acc] if n else [ts[0], x[0], y[0], 0.0]
+        was_ts, was_x, was_y, was_acc = (np.concatenate(([f], c[:-1])) for f, c in zip(first, (ts, x, y, acc_ev)))
+        keep = place >= _FIRST_ENRICHED
+        start = (was_acc <= 0) & (acc_ev > 0)
+        good = ((acc_ev >= 0) | (v >= S.MIN_SPEED_GOOD)) & (ts - was_ts < K.GAP_CLOSE_MS)
+        rows = pdf[keep].assign(kind="enriched", x=x[keep], y=y[keep], acc_actual=acc[keep], acc_event=acc_ev[keep],
+                                start_event=start[keep].astype(int), speedzone=_zones(v[keep]),
+                                dist=np.sqrt((was_x - x) ** 2 + (was_y - y) ** 2)[keep])
+        out.append(rows)
+        done, phase, event = automaton(ts[keep], v[keep], acc[keep], start[keep], good[keep], phase, list(event))
+        closed, group = join_groups(done, list(group))
+        team, jersey = pdf["team"].iloc[-1], pdf["jersey_number"].iloc[-1]
+        for kind, events in (("extracted", done), ("merged", closed)):
+            e = pd.DataFrame(events, columns=["ts_start", "ts_end", "v_init", "max_acc", "max_speed"])
+            out.append(e.assign(kind=kind, team=team, jersey_number=jersey, duration=(e["ts_end"] - e["ts_start"]) / 1000.0))
+        n, speeds = n + len(v), every[-K.BIG_LAG:].tolist()
+        last_ts, last_row, prev_acc = int(ts[-1]), [float(c) for c in pdf[["x", "y", "speed"]].iloc[-1]], float(acc_ev[-1])
+    if n:
+        state.update((n, last_ts, list(last_row), list(speeds), prev_acc, phase, list(event), list(group)))
+    out = [o for o in out if len(o)]
+    if not out:
+        return
+    res = pd.concat([o.reindex(columns=BODY.fieldNames()) for o in out], ignore_index=True)
+    for c in ("team", "jersey_number", "ts_ms", "start_event", "speedzone", "ts_start", "ts_end", "late_rows"):
+        res[c] = res[c].astype("Int64")
     for i, (name, value) in enumerate(zip(key_names, key)):
         res.insert(i, name, value)
     yield res
@@ -187,22 +206,27 @@ def score_batch(merged: DataFrame, thresholds: DataFrame) -> DataFrame:
 def start_live(spark: SparkSession, source: str | None, sink: str, thresholds: DataFrame, name: str = "live",
                available_now: bool = True, processing_time: str = "15 seconds", max_files: int | None = None,
                stream: DataFrame | None = None, keys: list[str] = ("player_id",)):
-    """Run the live pipeline; writes ``sink``/{enriched,extracted,merged,scored,late}/batch_id=N.
+    """Run the live pipeline; writes ``sink``/{enriched,extracted,merged,scored,late,reject,zone_parts}/batch_id=N.
 
     ``source`` is a folder of JSON records; or pass ``stream`` (e.g. ``read_ingestion_kafka``)."""
     keys = list(keys)
     folded = keyed_fold(stream if stream is not None else read_ingestion(spark, source, max_files=max_files), keys)
-    thr = thresholds.cache()   # one row, reused by every batch
+    thr = cut(thresholds, "thresholds")   # one row, read by every batch
+    by = [k for k in keys if k != "player_id"]
 
     def route(batch: DataFrame, batch_id: int):
         batch.persist()
-        for kind in ("enriched", "extracted", "merged", "late"):
-            part = batch.where(F.col("kind") == kind).drop("kind")
-            part.write.mode("overwrite").parquet(f"{sink}/{kind}/batch_id={batch_id}")
-        merged = batch.where(F.col("kind") == "merged").select(
-            *keys, "team", "jersey_number", "ts_start", "ts_end", "duration", "v_init", "max_acc", "max_speed")
-        score_batch(merged, thr).write.mode("overwrite").parquet(f"{sink}/scored/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            for kind in ("enriched", "extracted", "merged", "late", "reject"):
+                part = batch.where(F.col("kind") == kind).drop("kind")
+                part.write.mode("overwrite").parquet(f"{sink}/{kind}/batch_id={batch_id}")
+            zone_distance(batch.where("kind = 'enriched'"), group=(*by, "team", "jersey_number")) \
+                .write.mode("overwrite").parquet(f"{sink}/zone_parts/batch_id={batch_id}")
+            merged = batch.where(F.col("kind") == "merged").select(
+                *keys, "team", "jersey_number", "ts_start", "ts_end", "duration", "v_init", "max_acc", "max_speed")
+            score_batch(merged, thr).write.mode("overwrite").parquet(f"{sink}/scored/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = folded.writeStream.foreachBatch(route).option(
         "checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}")
@@ -210,16 +234,27 @@ def start_live(spark: SparkSession, source: str | None, sink: str, thresholds: D
     return w.start()
 
 
+def zone_totals(spark: SparkSession, sink: str, by: list[str] = ()) -> DataFrame:
+    """Running SUM(dist) by (``by``,) team, jersey and zone of a live job: the sum of its batches' shares.
+    A batch that is run again writes its share anew, so a retry changes nothing."""
+    keys = [*by, "team", "jersey_number", "speedZone"]
+    return spark.read.parquet(f"{sink}/zone_parts").groupBy(*keys).agg(F.sum("total_distance").alias("total_distance"))
+
+
+ZONE_SQL = """SELECT team, jersey_number, speedZone, SUM(dist) AS total_distance FROM {enriched}
+WHERE speedZone IS NOT NULL GROUP BY team, jersey_number, speedZone"""
+
+
 def zone_totals_stream(spark: SparkSession, enriched_path: str, sink: str, name: str = "zones",
                        available_now: bool = True):
-    """Continuous SUM(dist) by team, jersey, zone over the enriched rows (update mode),
-    upserted per batch into ``sink`` (latest row per key wins on read)."""
+    """Continuous SQL over the enriched rows as a stream of the declared schema (update mode),
+    upserted per batch into ``sink`` (latest row per key wins on read).
+
+    The folder's batches must be complete: a batch that the live job writes again under new
+    file names is new input here (``zone_totals`` is safe against that)."""
     from pitchload.sinks.writers import zone_upsert
-    schema = spark.read.parquet(enriched_path).schema
-    src = spark.readStream.schema(schema).parquet(enriched_path)
-    agg = (src.where(F.col("speedzone").isNotNull())
-           .groupBy("team", "jersey_number", F.col("speedzone").alias("speedZone"))
-           .agg(F.sum("dist").alias("total_distance")))
+    src = spark.readStream.schema(SCH.ENRICHED_STREAM).parquet(enriched_path)
+    agg = spark.sql(ZONE_SQL, enriched=src)
     w = agg.writeStream.outputMode("update").foreachBatch(lambda b, i: zone_upsert(b, i, sink)).option(
         "checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="15 seconds")
@@ -237,7 +272,8 @@ def session_merge(events: DataFrame, keys: list[str] = ("player_id",), gap_ms: i
     grouped = ev.groupBy(*keys, F.session_window("_t0", gap).alias("sw")).agg(
         F.min("ts_start").alias("ts_start"), F.max("ts_end").alias("ts_end"),
         F.min_by("v_init", "ts_start").alias("v_init"), F.max("max_acc").alias("max_acc"),
-        F.max("max_speed").alias("max_speed"))
-    return grouped.select(*keys, "ts_start", "ts_end",
+        F.max("max_speed").alias("max_speed"), F.max_by("team", "ts_start").alias("team"),
+        F.max_by("jersey_number", "ts_start").alias("jersey_number"))
+    return grouped.select(*keys, "team", "jersey_number", "ts_start", "ts_end",
                           ((F.col("ts_end") - F.col("ts_start")) / F.lit(1000.0)).alias("duration"),
                           "v_init", "max_acc", "max_speed")

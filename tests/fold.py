@@ -1,39 +1,38 @@
-"""Plain Python restatement of the live per-record logic, used as the reference in tests."""
+"""The event automaton and the merge as a transition table, used as the reference in tests."""
+
+# (phase, start row?, good row?) -> (next phase, action); rows in stream order
+TABLE = {
+    ("idle", True, True): ("open", "begin"), ("idle", True, False): ("open", "begin"),
+    ("idle", False, True): ("idle", None), ("idle", False, False): ("idle", None),
+    ("open", True, True): ("running", "take"), ("open", False, True): ("running", "take"),
+    ("open", True, False): ("open", None), ("open", False, False): ("open", None),
+    ("running", True, True): ("running", "take"), ("running", False, True): ("running", "take"),
+    ("running", True, False): ("idle", "end"), ("running", False, False): ("idle", "end"),
+}
 
 
 def fold_events(rows):
     """rows: (ts_ms, speed, acc_actual, acc_event, start_event) of one key in stream order."""
-    out, ev, prev_ts = [], None, None
-    for ts, speed, acc, acc_ev, start in rows:
-        if ev is None:
-            if start == 1:
-                ev = {"ts_start": ts, "v_init": speed, "max_acc": 0.0, "max_speed": 0.0, "ts_end": None}
-        else:
-            good = (acc_ev >= 0 or speed >= 4) and (ts - prev_ts) < 1000
-            if good:
-                ev["max_acc"] = max(ev["max_acc"], acc)
-                ev["max_speed"] = max(ev["max_speed"], speed)
-                ev["ts_end"] = ts
-            elif ev["ts_end"] is not None:
-                out.append((ev["ts_start"], ev["ts_end"], ev["v_init"], ev["max_acc"], ev["max_speed"]))
-                ev = None
-        prev_ts = ts
+    phase, taken, head, out = "idle", [], None, []
+    for before, row in zip([None, *rows], rows):
+        ts, speed, _, rate, start = row
+        good = before is not None and ts - before[0] < 1000 and (rate >= 0 or speed >= 4)
+        phase, action = TABLE[phase, start == 1, good]
+        if action == "begin":
+            head, taken = row, []
+        elif action == "take":
+            taken.append(row)
+        elif action == "end":
+            out.append((head[0], taken[-1][0], head[1], max([0.0] + [r[2] for r in taken]), max([0.0] + [r[1] for r in taken])))
     return out
 
 
 def fold_merge(events, gap_ms=500):
-    """events: (ts_start, ts_end, v_init, max_acc, max_speed) of one key in order."""
-    out, prev, cur = [], None, None
-    for e in events:
-        if e[1] - e[0] <= 0:
-            continue
-        if prev is not None:
-            if e[0] - prev[1] < gap_ms:
-                if cur is None:
-                    cur = list(prev)
-                cur[3], cur[4], cur[1] = max(e[3], cur[3]), max(e[4], cur[4]), e[1]
-            else:
-                out.append(tuple(cur) if cur is not None else prev)
-                cur = None
-        prev = e
-    return out
+    """events: (ts_start, ts_end, v_init, max_acc, max_speed) of one key in order; the last group stays open."""
+    groups = []
+    for e in (e for e in events if e[1] > e[0]):
+        if groups and e[0] - groups[-1][-1][1] < gap_ms:
+            groups[-1].append(e)
+        else:
+            groups.append([e])
+    return [(g[0][0], g[-1][1], g[0][2], max(e[3] for e in g), max(e[4] for e in g)) for g in groups[:-1]]

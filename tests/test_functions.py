@@ -71,16 +71,41 @@ def test_linear_fit_matches_closed_form(spark):
     assert abs(r["slope"] - SC.FIT_SLOPE) < 1e-12 and abs(r["intercept"] - SC.FIT_INTERCEPT) < 1e-12
 
 
-def test_exact_median_both_paths(spark, monkeypatch):
+def test_exact_median(spark):
     import random
     rnd = random.Random(3)
     vals = [float(rnd.choice([1, 2, 2, 2, 3, 7])) + rnd.random() * (i % 2) for i in range(301)]
     df = spark.createDataFrame([(i, v, v * 2) for i, v in enumerate(vals)], "id long, a double, b double")
     s = sorted(vals)
     want = s[150]
-    r1 = SC.exact_medians(df, ["a", "b"], ["id"], ["ma", "mb"]).first()
-    monkeypatch.setattr(SC, "SMALL_MEDIAN_ROWS", 10)
-    r2 = SC.exact_medians(df, ["a", "b"], ["id"], ["ma", "mb"]).first()
-    assert r1["ma"] == r2["ma"] == want and r1["mb"] == r2["mb"] == 2 * want
+    r1 = SC.exact_medians(df, ["a", "b"], ["ma", "mb"]).first()
+    assert r1["ma"] == want and r1["mb"] == 2 * want
     even = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 4.0), (4, 10.0)], "id long, a double")
-    assert SC.exact_median(even, "a", ["id"], "m").first()["m"] == 3.0
+    assert SC.exact_median(even, "a", "m").first()["m"] == 3.0
+
+
+def test_medians_and_ids_don_t_need_exchange_reuse(spark):
+    from pitchload.operators.ingest import dense_player_id
+    df = spark.range(1_000_000, numPartitions=16).select(
+        ((F.col("id") * 7919) % 1_000_003).cast("double").alias("a"),
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise((F.col("id") * 104_729 % 999_983).cast("double")).alias("b"),
+        (F.col("id") % 2).cast("int").alias("team"), (F.col("id") % 997).cast("int").alias("jersey_number"))
+    want = df.select(F.percentile("a", 0.5), F.percentile("b", 0.5)).first()
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        for reuse in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            assert tuple(SC.exact_medians(df, ["a", "b"], ["ma", "mb"]).first()) == tuple(want)
+            ids = dense_player_id(df.where("jersey_number < 50"))
+            pairs = ids.select("teamjersey", "player_id").distinct().orderBy("teamjersey").collect()
+            assert [r.player_id for r in pairs] == list(range(1, len(pairs) + 1)) and ids.count() == df.where("jersey_number < 50").count()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_null_keys_stay(spark):
+    from pitchload.operators.sequence import Scan, number_rows, scan
+    df = spark.createDataFrame([(1, 10, None), (None, 5, 2), (None, 7, None), (1, None, 4)], "k int, ts long, v int")
+    rows = number_rows(df, ["k"], ["ts"], F.floor(F.col("ts") / 1000))
+    got = sorted((str(r.k), str(r.ts), r.rn, r.f) for r in scan(rows, ["k"], [Scan("f", "v", "ffill")]).collect())
+    assert got == [("1", "10", 2, 4), ("1", "None", 1, 4), ("None", "5", 1, 2), ("None", "7", 2, 2)]

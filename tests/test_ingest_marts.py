@@ -20,16 +20,29 @@ def test_wide_frames_keep_complete_players(spark):
 
 
 def test_halves_bounds_kept_between_dropped(spark):
-    frames = spark.createDataFrame([(f,) for f in (10, 20, 21, 29, 30, 40, 41)], "frame_id long")
-    periods = I.number_periods(spark.createDataFrame([(10, 20), (30, 40)], "start_frame long, end_frame long"))
-    got = sorted((r.frame_id, r.half) for r in I.assign_half(frames, periods).collect())
-    assert got == [(10, 0), (20, 0), (30, 1), (40, 1)]
+    frames = spark.createDataFrame([(m, f) for m in (1, 2) for f in (10, 20, 21, 29, 30, 40, 41)], "match_id long, frame_id long")
+    periods = I.number_periods(spark.createDataFrame([(1, 10, 20), (1, 30, 40), (2, 10, 29)],
+                                                     "match_id long, start_frame long, end_frame long"))
+    got = sorted((r.match_id, r.frame_id, r.half) for r in I.assign_half(frames, periods).collect())
+    assert got == [(1, 10, 0), (1, 20, 0), (1, 30, 1), (1, 40, 1), (2, 10, 0), (2, 20, 0), (2, 21, 0), (2, 29, 0)]
+
+
+def test_two_matches_in_one_xml(spark):
+    from pitchload.plans import derived as D
+    from pitchload.sources import files as FS
+    raw = spark.createDataFrame([(m, f * m) for m in (1, 2) for f in range(101)], "match_id long, frame_no long")
+    path = D.write_match_xml(raw)
+    got = sorted(tuple(r) for r in FS.read_periods(spark, path).select("match_id", "half", "start_frame", "end_frame").collect())
+    assert got == [(1, 0, 0, 40), (1, 1, 60, 100), (2, 0, 0, 90), (2, 1, 110, 200)]
+    assert FS.read_match(spark, path).count() == 2
 
 
 def test_frame_clock_and_dense_ids(spark):
     df = spark.createDataFrame([(100, 0, 7), (101, 1, 7), (125, 0, 12), (100, 1, 3)], "frame_id long, team int, jersey_number int")
     clk = I.frame_clock(df, F.lit(100), F.lit(25), F.lit(1000)).orderBy("frame_id").collect()
     assert [r.ts_ms for r in clk][:3] == [1000, 1000, 1040] and clk[-1].ts_ms == 2000
+    thirty = I.frame_clock(df.limit(1).withColumn("frame_id", F.lit(102)), F.lit(100), F.lit(30), F.lit(0))
+    assert thirty.first().ts_ms == 66                                     # cut, not rounded
     ids = {(r.team, r.jersey_number): (r.teamjersey, r.player_id) for r in I.dense_player_id(df).collect()}
     assert ids == {(0, 7): (70, 2), (1, 7): (71, 3), (0, 12): (120, 4), (1, 3): (31, 1)}
 

@@ -79,6 +79,47 @@ def test_late_rows_dropped_and_zone_stream(spark):
     assert got == want
 
 
+def _fold_in_batches(rows, cuts):
+    """Rows of one key through the fold, cut into micro-batches."""
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, new):
+            self.exists, self.get = True, new
+    state, out, bounds = State(), [], [0, *cuts, len(rows)]
+    for a, b in zip(bounds, bounds[1:]):
+        pdf = pd.DataFrame(rows[a:b], columns=["player_id", "team", "jersey_number", "ts_ms", "x", "y", "speed"])
+        out += list(live._fold((1,), [pdf], state))
+    res = pd.concat(out)
+    return {k: sorted(map(str, g.drop(columns="kind").itertuples(index=False, name=None))) for k, g in res.groupby("kind")}
+
+
+def test_batches_bad_rows_and_ties(spark):
+    rows = [(1, 0, 7, 40 * (i - i % 2), float(i), float(-i), abs(i % 40 - 20) / 2.5) for i in range(400)]   # pairs share a time
+    whole = _fold_in_batches(rows, [])
+    assert len(whole["enriched"]) == 391 and len(whole["merged"]) > 3
+    for cuts in ([133], [11, 57, 58, 201, 333, 399]):
+        assert _fold_in_batches(rows, cuts) == whole
+    bad = rows[:50] + [(1, 0, 7, None, 1.0, 1.0, 1.0), (1, 0, 7, 99999, 1.0, 1.0, None)] + rows[50:] + [rows[3]]
+    got = _fold_in_batches(bad, [100, 402])
+    assert len(got["reject"]) == 2 and len(got["late"]) == 1
+    assert {k: got[k] for k in whole} == whole
+
+
+def test_a_batch_run_again_changes_nothing(spark):
+    c = Chain(spark, "/root/testdata/sf0.001")
+    work = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    src, sink = os.path.join(work, "src"), os.path.join(work, "sink")
+    _write_chunks(c.raw(), src, [(0, 10**12)])
+    live.start_live(spark, src, sink, c.thresholds(), name=f"r1-{os.path.basename(work)}").awaitTermination()
+    once = sorted(map(tuple, live.zone_totals(spark, sink).collect()))
+    # a lost checkpoint makes the same input batch 0 again
+    live.start_live(spark, src, sink, c.thresholds(), name=f"r2-{os.path.basename(work)}").awaitTermination()
+    assert sorted(map(tuple, live.zone_totals(spark, sink).collect())) == once and once
+
+
 def test_session_merge_matches_batch_with_flush(spark):
     c = Chain(spark, SF01)
     got = sorted(tuple(r) for r in live.session_merge(c.extracted()).select(*EV).collect())
