@@ -28,9 +28,9 @@ from pitchload.llm.textnp import slices, splitmix_int
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"    # any BPE model of SentencePiece with byte pieces
 SEED, DROPOUT, VARIANTS = 7, 0.1, 8
-CACHE = 400_000          # chunks that a worker keeps
+CACHE = 200_000          # chunks that a worker keeps
 SHORT = 64               # characters; a longer chunk has a heap as agenda
-SLICE = 1 << 20          # characters of texts that are encoded together
+SLICE = 1 << 19          # characters of texts that are encoded together
 _BLANK = "▁"
 _chunks = re.compile(r" *[^ \n]+|\n| +")
 _U = np.uint64
@@ -56,15 +56,15 @@ class Codec:
         score = sorted({sp.get_score(i) for i in plain}, reverse=True)
         place = {s: k for k, s in enumerate(score)}
         # merge of the pieces l, r -> (priority of the union, its id) as one int, smaller first
-        self.merge: dict[int, int] = {}
+        merge: dict[int, int] = {}
         for i in plain:
             p = pieces[i]
             for cut in range(1, len(p)):
                 l, r = self.id.get(p[:cut]), self.id.get(p[cut:])
                 if l is not None and r is not None:
-                    self.merge[l << 24 | r] = place[sp.get_score(i)] << 24 | i
-        self.pair_keys = np.array(sorted(self.merge), np.int64)
-        self.pair_values = np.array([self.merge[x] for x in self.pair_keys.tolist()], np.int64)
+                    merge[l << 24 | r] = place[sp.get_score(i)] << 24 | i
+        self.pair_keys = np.array(sorted(merge), np.int64)
+        self.pair_values = np.array([merge[x] for x in self.pair_keys.tolist()], np.int64)
         self.of_char = -1 - np.arange(0x110000, dtype=np.int32)
         for p, i in self.id.items():
             if len(p) == 1 and p != _BLANK:
@@ -216,8 +216,10 @@ class Codec:
         def offer(a: int) -> None:
             b = after[a]
             if b < n and ids[a] >= 0 <= ids[b]:
-                got = self.merge.get(ids[a] << 24 | ids[b])
-                if got is not None:
+                want = ids[a] << 24 | ids[b]
+                k = int(np.searchsorted(self.pair_keys, want))
+                if k < len(self.pair_keys) and self.pair_keys[k] == want:
+                    got = int(self.pair_values[k])
                     heap.append((got >> 24, a, b, after[b], got & 0xFFFFFF))
 
         for a in range(n - 1):

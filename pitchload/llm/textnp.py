@@ -56,7 +56,7 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return splitmix(h ^ ((end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
 
 
-def slices(texts: list, most: int = 1 << 20):
+def slices(texts: list, most: int = 1 << 19):
     """Index ranges (a, b) whose texts have about `most` characters together (one text at least)."""
     a = size = 0
     for i, t in enumerate(texts):
