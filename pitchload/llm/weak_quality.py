@@ -177,9 +177,11 @@ def fit(texts: list[str], target: np.ndarray, seed: int = 1) -> np.ndarray:
     """Weights (BUCKETS x classes) by AdaGrad on soft targets."""
     k = len(CLASSES)
     w, square = np.zeros((BUCKETS, k)), np.full((BUCKETS, k), 1e-2)
-    parts = [features(texts[a:b]) for a, b in T.slices(texts)]
-    doc = np.concatenate([d + a for (d, _), (a, _) in zip(parts, T.slices(texts))])
-    bucket = np.concatenate([b for _, b in parts])
+    parts = []
+    for a, b in T.slices(texts):
+        of, at = features(texts[a:b])
+        parts.append(((of + a).astype(np.int32), at.astype(np.int32)))
+    doc, bucket = (np.concatenate(c) for c in zip(*parts))
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
@@ -263,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = S
     below = [int(min(1.0, want / max(have, 1)) * (1 << 40)) for want, have in zip(sample, (known, n - known))]
     part = docs.withColumn("place", place).where(F.col("place") < max(below)).join(labels, "doc_id", "left")
     part = cut(part.where(F.col("place") < F.when(F.col("people").isNull(), below[1]).otherwise(below[0]))
-               .select("doc_id", "text", said), "sample")
+               .select("doc_id", "text", said, "place"), "sample")
 
     counts = (part.where(F.col("people") != ABSTAIN).mapInPandas(_cue_counts, "cue long, bad long, other long")
               .groupBy("cue").agg(F.sum("bad").alias("bad"), F.sum("other").alias("other"))
@@ -273,12 +275,13 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = S
 
     votes = docs.select("doc_id", _votes_column(cues).alias("votes"))
     joined = votes.join(labels, "doc_id", "left").select((F.col("votes") + 4 ** (len(LABELLERS) - 1) * said).alias("votes"))
-    rows = joined.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sorted(joined.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.votes)
     split = lambda code: (code[:, None] // 4 ** np.arange(len(LABELLERS))) % 4
     patterns = split(np.array([r.votes for r in rows], np.int64))
     prior, tables = estimate(patterns, np.array([r.n for r in rows], float))
 
     def fit_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place", kind="stable")      # the same order whenever the task runs again
         texts = _strings(pdf["text"])
         code = np.concatenate([all_votes(texts[a:b], cues) for a, b in T.slices(texts)])
         said_by = split(code + 4 ** (len(LABELLERS) - 1) * pdf["people"].to_numpy())
@@ -288,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = S
         return pd.DataFrame({"bucket": used, **{c: w[used, i] for i, c in enumerate(CLASSES)}})
 
     group = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(GROUPS)).alias("part")
-    got = (part.select("text", "people", group).groupBy("part")
+    got = (part.select("text", "people", "place", group).groupBy("part")
            .applyInPandas(fit_part, "bucket long, " + ", ".join(f"{c} double" for c in CLASSES))
            .groupBy("bucket").agg(*[F.sum(c).alias(c) for c in CLASSES]).toPandas())
     weights = np.zeros((BUCKETS, len(CLASSES)), np.float32)
