@@ -10,6 +10,10 @@ Registers are cut into bands. Documents that share a band are candidates; in eac
 document is paired with the bucket's most central one (that shares most buckets' company), which is
 linear in the bucket's size. Pairs are verified on the whole shingle sets. Members of a bucket that
 did not reach the class of its centre get a centre of their own in the next round.
+
+Buckets that then still hold several classes are finished by an exact join: their members are compared
+with all members of other classes that can be similar (prefix filter over the rarest shingles, and the
+sizes). So two documents that share a band and reach the similarity are always of one class.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ SHINGLE = 5          # words
 SIMILARITY = 0.8     # of the sets of shingles
 REGISTERS = 96
 ROWS = 3             # registers in a band
-ROUNDS = 2           # centres that a bucket may get
+ROUNDS = 2           # centres that a bucket gets before the exact join
 
 
 def sketch(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int, m: int = REGISTERS, seed: int = 1) -> np.ndarray:
@@ -143,6 +147,10 @@ def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, similarity: float
         comp = cut(components(links, "node", "centre"), "classes")
         done = centre
 
+    missed = left_over(member, comp, docs, nodes, k, similarity)
+    if missed.limit(1).count():
+        comp = cut(components(links.unionByName(missed), "node", "centre"), "classes")
+
     by_node = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     best = by_node.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("best"))
     classes = by_node.select("node", "comp").join(best, "comp").select("node", "best")
@@ -151,13 +159,16 @@ def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, similarity: float
         ((F.col("node") == F.col("best.node")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).alias("chosen"))
 
 
-def verified(pair: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (node, centre) whose whole shingle sets reach the similarity."""
-    asked = pair.select("node").unionByName(pair.select(F.col("centre").alias("node"))).distinct().join(nodes, "node")
+def shingle_table(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, sh): the distinct shingles of the nodes in `asked` (node, doc_id of one of its rows)."""
     text = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("node"))
     own = (text.join(asked.withColumnRenamed("doc_id", "one"), "node").where(F.col("doc_id").eqNullSafe(F.col("one")))
            .select("node", "text"))
-    sets = cut(own.mapInPandas(_set_batches(k), "node binary, sh array<long>").groupBy("node").agg(F.first("sh").alias("sh")), "sets")
+    return cut(own.mapInPandas(_set_batches(k), "node binary, sh array<long>").groupBy("node").agg(F.first("sh").alias("sh")), "sets")
+
+
+def similar(pair: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (node, centre) whose whole shingle sets reach the similarity."""
     far = sets.select(F.col("node").alias("centre"), F.col("sh").alias("csh"))
     common = F.size(F.array_intersect("sh", "csh"))
     return cut(pair.join(far, "centre").join(sets, "node")
@@ -166,6 +177,37 @@ def verified(pair: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, similar
                .where("both > 0").select("node", "centre"), "verified")
 
 
+def verified(pair: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """`similar` pairs of `pair`, with the shingles of its nodes only."""
+    asked = pair.select("node").unionByName(pair.select(F.col("centre").alias("node"))).distinct().join(nodes, "node")
+    return similar(pair, shingle_table(asked, docs, k), similarity)
+
+
+def left_over(member: DataFrame, comp: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """All similar pairs (node, centre) of different classes among the members of buckets with several classes.
+
+    Of a set of n shingles at least c = ceil(similarity * n) are in every similar set, so two similar
+    sets share one of the first n - c + 1 shingles in any common order. The rarest come first; those of
+    one member only need no join, they just use up places.
+    """
+    mine = member.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = mine.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    open_ = cut(mine.join(mixed, "key").select("node", "comp").distinct(), "open")
+    sets = shingle_table(open_.select("node").join(nodes, "node"), docs, k)
+    each = sets.select("node", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ordered = each.join(often, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o"))
+    places = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("o"))
+    prefix = cut(ordered.withColumn("places", places.cast("int")).where("places > 0")
+                 .join(open_, "node").select("node", "comp", "n", F.explode(F.slice("o", F.lit(1), F.col("places"))).alias("x"))
+                 .select("node", "comp", "n", F.col("x.s").alias("s")), "prefix")
+    other = prefix.select("s", F.col("node").alias("centre"), F.col("comp").alias("far"), F.col("n").alias("m"))
+    fit = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - F.lit(1e-9)
+    pair = cut(prefix.join(other, "s").where((F.col("node") < F.col("centre")) & (F.col("comp") != F.col("far")) & fit)
+               .select("node", "centre").distinct(), "pairs")
+    return similar(pair, sets, similarity)
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """`docs` with one row of each near-duplicate class: that of its smallest doc_id (see
     `near_duplicate_classes`); all columns as they were. A repeated row stays once."""

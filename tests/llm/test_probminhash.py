@@ -57,6 +57,25 @@ def test_classes_against_all_pairs(spark):
     assert kept[0].__fields__ == ["doc_id", "text", "node", "key"]
 
 
+def test_many_clusters_in_one_bucket(spark):
+    """A template shared by all puts 25 clusters into the same buckets; no bucket has a centre for each."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    template, rows = [word() for _ in range(60)], []
+    for _ in range(25):
+        own = [word() for _ in range(25)]
+        for _ in range(6):
+            w = template + own
+            w[r.randrange(60, len(w))] = word()
+            rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.near_duplicate_classes(df, m=12, rows=1).collect()
+    want = brute(rows)
+    assert len(set(want)) > 10
+    assert {x.doc_id: x.class_id for x in got} == {d: c for (d, _), c in zip(rows, want)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert P.near_duplicate_classes(df).count() == 0 and P.keep_one(df).count() == 0
