@@ -6,8 +6,10 @@ is its `article` or `main` elements, or the body where it has none, without elem
 class or id says menu, header, footer, sidebar, notice, advert, form, script, style or comment.
 
 Inside an article, paragraphs, headings and the like are text that may well be quoted on many pages and
-are never template; outside everything can be. A host has at most 1 / SHARE times the subtrees of its
-average page in its template, so a template always fits with the page.
+are never template; outside everything can be. A subtree is template from a share of its host's pages or
+from a number of different pages, whichever is less, so a menu or advert of one section goes on a large
+host too. Copies of a page under several urls are one page for the number. Every page is joined with
+those of its own subtrees that are template, so a host's template may have any size.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARE, PAGES = 0.2, 5        # of a host's pages, and pages, that a template's subtree is on at least
+MANY = 10                    # different pages that do whatever their share
 SALT = 16                    # parts that a host's pages are dealt to
 
 #: fixed values: HTML's void elements, elements with raw text, and what ends an open element of a name
@@ -183,10 +186,10 @@ def may_be_template(e: Element, inside: bool) -> bool:
 
 
 def subtrees(page: str) -> list[int]:
-    """Distinct hashes of the subtrees that could be template."""
+    """The whole page's hash, then the distinct hashes of the subtrees that could be template."""
     root = parse(page)
     number(root)
-    return list({e.hash for e, inside in walk(root) if may_be_template(e, inside) and e.kids})
+    return [root.hash] + list({e.hash for e, inside in walk(root) if may_be_template(e, inside) and e.kids})
 
 
 def main_text(page: str, template: frozenset = frozenset()) -> str:
@@ -235,32 +238,36 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(rest, r"^[^/?#]*", 0), F.lit("")))
 
 
-def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
+def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES, many: int = MANY) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html; others are ignored).
 
-    A null or empty page has an empty text. Repeated rows count as pages of their own. Pages without a
-    host share no template. An empty table gives an empty table.
+    A null or empty page has an empty text. Repeated rows count as pages of their own for the share. Pages
+    without a host share no template. An empty table gives an empty table.
     """
-    rows = pages.select("page_id", "url", "html").withColumn("__host", host(F.col("url")))
+    rows = pages.select("page_id", "url", "html").withColumn("__host", host(F.col("url"))).withColumn(
+        "__page", F.unhex(F.md5(F.concat_ws("\0", F.to_json(F.struct("page_id", "url")), "html").cast("binary"))))
 
     @F.pandas_udf("array<long>")
     def hashes(page: pd.Series) -> pd.Series:
         return page.map(lambda p: subtrees(p) if isinstance(p, str) else [])
 
-    on = rows.where("__host <> ''").select("__host", F.explode(F.concat(F.array(F.lit(None).cast("long")), hashes("html"))).alias("hash"))
-    counts = on.groupBy("__host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.where("hash is null").select("__host", F.col("n").alias("pages"))
-    templates = (counts.where(F.col("hash").isNotNull() & (F.col("n") >= least)).join(total, "__host")
-                 .where(F.col("n") >= share * F.col("pages"))
-                 .groupBy("__host").agg(F.collect_list("hash").alias("template"))
-                 .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")
-    dealt = rows.withColumn("__salt", salt).join(templates, ["__host", "__salt"], "left")
+    each = rows.where("__host <> ''").withColumn("__hashes", hashes("html")).where(F.size("__hashes") > 1)
+    subtree = F.explode(F.slice("__hashes", F.lit(2), F.size("__hashes") - 1)).alias("hash")
+    bodies = (each.select("__host", F.col("__hashes")[0].alias("body"), subtree)
+              .groupBy("__host", "hash", "body").agg(F.count(F.lit(1)).alias("n")))
+    counts = bodies.groupBy("__host", "hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"))
+    total = rows.groupBy("__host").agg(F.count(F.lit(1)).alias("pages"))
+    templates = (counts.where(F.col("n") >= least).join(total, "__host")
+                 .where((F.col("n") >= share * F.col("pages")) | (F.col("different") >= many))
+                 .select("__host", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt")))
+    salt = F.pmod(F.xxhash64("__page"), F.lit(SALT)).cast("int").alias("__salt")
+    own = (each.select("__page", "__host", salt, subtree).join(templates, ["__host", "hash", "__salt"])
+           .groupBy("__page").agg(F.collect_set("hash").alias("template")))
 
     @F.pandas_udf("string")
     def text(page: pd.Series, template: pd.Series) -> pd.Series:
         return pd.Series([main_text(p, frozenset(t) if t is not None else frozenset()) if isinstance(p, str) else ""
                           for p, t in zip(page, template)], dtype=object)
 
-    out = dealt.select("page_id", "url", text("html", "template").alias("text"))
+    out = rows.join(own, "__page", "left").select("page_id", "url", text("html", "template").alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

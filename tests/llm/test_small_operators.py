@@ -123,6 +123,16 @@ def test_site_template_goes(spark):
     assert html_template.extract(df.limit(0)).count() == 0
 
 
+def test_template_of_a_section_of_a_large_host(spark):
+    """An unmarked notice on a tenth of a host's pages goes; the text of a page with many urls stays."""
+    notice = "<div>Only in this section</div>"
+    rows = [(i, f"http://big.org/{i}", f"<body>{notice if i % 10 == 0 else ''}<div>Story number {i}</div></body>") for i in range(300)]
+    rows += [(1000 + i, f"http://big.org/copy?{i}", "<body><div>The same page</div></body>") for i in range(15)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract(df).collect()}
+    assert got == {i: f"Story number {i}" if i < 1000 else "The same page" for i, _, _ in rows}
+
+
 def items(spark):
     return [(r.item_id, r.text) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
 
