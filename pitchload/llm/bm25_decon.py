@@ -2,7 +2,9 @@
 
 The test items are the index, the training passages the queries. Documents are cut into units of 32
 words, and every three neighbouring units are a passage. An item's postings hold its BM25 impacts over
-the item's own threshold, so a passage retrieves an item when its impacts sum to 1 or more.
+the item's own threshold, so a passage retrieves an item when its impacts sum to 1 or more. The threshold
+is part of the item's score against itself, or less where a text that the overlap check accepts (the
+question alone, or pieces of it) may have no better passage.
 
 Items are ordered by threshold and cut into blocks. Sums of the block maxima bound what a passage can
 reach in a block; most passages end there. The others run WAND inside the blocks that are left: the
@@ -61,6 +63,35 @@ def split_item(text: str) -> tuple[str, str]:
     return (body[:cut + 1], body[cut + 2:]) if cut > 0 else (body, "")
 
 
+def least_part(words: list[int], impact: dict[int, float], n_runs: float) -> float:
+    """Least impact of as many neighbouring words as hold `n_runs` runs (of SURE words if that is less);
+    infinite if there are fewer."""
+    w = int(np.ceil(n_runs - 1e-9)) + RUN - 1
+    if len(words) < max(w, RUN):
+        return np.inf
+    w = min(w, SURE)
+    return min(sum(impact[x] for x in set(words[i:i + w])) for i in range(len(words) - w + 1))
+
+
+def weakest(question: list[int], answer: list[int], impact: dict[int, float]) -> float:
+    """What the best passage of a text of RUN words or more reaches at least if the overlap check accepts the item.
+
+    The text may hold the runs in pieces in any places, and each border between two pieces costs RUN - 1
+    runs. So the largest piece has the runs that are held over the number of pieces at least.
+    """
+    def largest(runs: int, share: float, parts: int) -> float:
+        lost = int(runs * (1 - share) + 1e-9)
+        return (runs - lost) / (parts + lost // (RUN - 1))
+
+    q, a = (max(1, len(x) - RUN + 1) if x else 0 for x in (question, answer))
+    if any(len(runs(np.array(x, np.uint64))) < n for x, n in ((question, q), (answer, a)) if x):
+        return min(least_part(question, impact, 1), least_part(answer, impact, 1))      # a run occurs twice
+    alone = least_part(question, impact, largest(q, WHOLE, 1))
+    pooled = largest(q + a, WHOLE, 2)
+    both = [least_part(x, impact, largest(n, BOTH, 1)) for x, n in ((question, q), (answer, a))]
+    return min(alone, least_part(question, impact, pooled), least_part(answer, impact, pooled), max(both))
+
+
 class Index:
     """Block-max index of some items. `df` and `n_items`, `mean_words` are those of all items."""
 
@@ -73,12 +104,17 @@ class Index:
             tf = Counter(h.tolist())
             norm = K1 * (1 - B + B * len(h) / mean_words)
             impact = {w: np.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in tf.items()}
-            least = SHARE * sum(impact.values()) * min(1.0, SURE / len(h))
-            q, a = split_item(text)
-            found.append((least, item, {w: x / least for w, x in impact.items()},
-                          runs(word_hashes([q])[0]), runs(word_hashes([a])[0])))
+            q, a = (word_hashes([part])[0] for part in split_item(text))
+            least = min(SHARE * sum(impact.values()) * min(1.0, SURE / len(h)), weakest(q.tolist(), a.tolist(), impact))
+            short = {int(runs(x)[0]): sum(impact[w] for w in set(x.tolist())) / least for x in (q, a) if 0 < len(x) < RUN}
+            found.append((least, item, {w: x / least for w, x in impact.items()}, runs(q), runs(a), short))
         found.sort(key=lambda f: (f[0], f[1]))
         self.items = [(f[1], f[3], f[4]) for f in found]
+        self.runs = np.unique(np.concatenate([x for f in found for x in (f[3], f[4])] or [np.zeros(0, np.uint64)]))
+        self.short: dict[int, list] = {}        # run of a whole text of fewer than RUN words -> [(item, score)]
+        for k, f in enumerate(found):
+            for run, x in f[5].items():
+                self.short.setdefault(run, []).append((k, x))
         self.terms = np.array(sorted({w for f in found for w in f[2]}), np.uint64)
         place = {w: k for k, w in enumerate(self.terms.tolist())}
         block = -(-len(found) // BLOCKS) or 1
@@ -155,9 +191,26 @@ class Index:
         return got, h, doc
 
     def search(self, texts: list[str]) -> list[list[dict]]:
-        """Per text the verified items."""
+        """Per text the verified items. Only texts that hold a run of an item can have one."""
+        out: list[list[dict]] = [[] for _ in texts]
+        h, doc = word_hashes(texts)
+        if not len(h) or not len(self.runs):
+            return out
+        run, of = T.shingles(h, doc, RUN)[:2]
+        at = np.minimum(np.searchsorted(self.runs, run), len(self.runs) - 1)
+        some = np.unique(of[self.runs[at] == run]).tolist()
+        for i, found in zip(some, self._verified([texts[i] for i in some])):
+            out[i] = found
+        return out
+
+    def _verified(self, texts: list[str]) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in texts]
         got, h, doc = self.retrieve(texts)
+        size = np.bincount(doc, minlength=len(texts))
+        for i in np.flatnonzero((size > 0) & (size < RUN)).tolist():
+            a, b = np.searchsorted(doc, [i, i + 1])
+            for k, score in self.short.get(int(runs(h[a:b])[0]), ()):
+                got.setdefault(i, {}).setdefault(k, score)
         for i, items in got.items():
             if not items:
                 continue

@@ -171,6 +171,23 @@ def test_wand_retrieves_all_above_the_threshold(spark):
         assert {k: round(s, 6) for k, s in got.get(i, {}).items()} == {k: round(s, 6) for k, s in want.items()}, i
 
 
+def test_a_question_alone_is_found(spark):
+    """Documents that hold only an item's question, whole or cut in two, among words of no item."""
+    its = [(k, t) for k, t in items(spark)] + [(9000, "which river is the longest of them all here answer: " + " ".join(f"w{i}" for i in range(60))),
+                                               (9001, "tell me why answer: " + " ".join(f"v{i}" for i in range(30)))]
+    index = index_of(its)
+    pad = " zzpad" * 200 + " "
+    for item, text in its:
+        words = bm25_decon.split_item(text)[0].split()
+        if len(words) >= 25 or item == 9000:
+            docs = [pad + " ".join(words) + pad]
+            if len(words) >= 30:
+                docs.append(" ".join(words[:len(words) // 2]) + pad + " ".join(words[len(words) // 2:]))
+            for hit in index.search(docs):
+                assert item in {x["item_id"] for x in hit}, item
+    assert {x["item_id"] for x in index.search(["Tell me why?"])[0]} == {9001}
+
+
 def test_decontamination(spark, monkeypatch):
     its = items(spark) + [(9000, None), (9001, ""), (9002, "...")]
     bench = spark.createDataFrame(its + its[:1], "item_id long, text string")
