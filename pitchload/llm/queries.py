@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchload.llm import (bm25_decon, html_template, multi_index, pii_anchor, probminhash, sp_dropout, stream_dedup, suffix_dedup,
-                           transcript_hmm, url_lm, weak_quality)
+from pitchload.llm import (bm25_decon, html_template, multi_index, pii_anchor, prefix_trie, probminhash, sp_dropout, stream_dedup,
+                           suffix_dedup, transcript_hmm, url_lm, weak_quality)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op10_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_dropout.encode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations with their subtree sums."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its class of equal texts and whether it stays."""
     return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
@@ -83,10 +88,12 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_pii": op9_pii,
     "op10_dropout": op10_dropout,
+    "op11_trie": op11_trie,
     "op12_dedup": op12_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op4_url": url_lm.oracle(),
+    "op11_trie": prefix_trie.ORACLE,
     "op12_dedup": stream_dedup.ORACLE,
 }
