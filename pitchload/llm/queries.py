@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchload.llm import (bm25_decon, html_template, multi_index, pii_anchor, prefix_trie, probminhash, sp_dropout, stream_dedup,
-                           suffix_dedup, transcript_hmm, url_lm, weak_quality)
+                           suffix_dedup, transcript_hmm, treap_search, url_lm, weak_quality)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op12_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
+def op13_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return treap_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_template": op2_template,
@@ -90,10 +95,12 @@ QUERIES = {
     "op10_dropout": op10_dropout,
     "op11_trie": op11_trie,
     "op12_dedup": op12_dedup,
+    "op13_treap": op13_treap,
 }
 
 ORACLE: dict[str, str] = {
     "op4_url": url_lm.oracle(),
     "op11_trie": prefix_trie.ORACLE,
     "op12_dedup": stream_dedup.ORACLE,
+    "op13_treap": treap_search.ORACLE,
 }
