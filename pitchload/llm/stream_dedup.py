@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from pitchload.session import checkpoint_dir, cut
 
 SCHEMA = "doc_id long, text string"
-#: files that one micro-batch takes at most; bounds what a batch shuffles, not what is read
-FILES_PER_BATCH = 4_096
-ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+#: a call takes all new files in one micro-batch, so each state partition is loaded, written and let go once;
+#: unloading on commit leaves nothing of the state on the executors' disks
+ROCKSDB = {"spark.sql.streaming.stateStore.unloadOnCommit": "true",
+           "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
@@ -55,12 +56,14 @@ def _glob(path: str) -> str:
     return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
 
 
-def ingest(spark: SparkSession, path: str, folder: str, key_bytes: int = 32, files: int = FILES_PER_BATCH) -> None:
+def ingest(spark: SparkSession, path: str, folder: str, key_bytes: int = 32, files: int | None = None) -> None:
     """Bring the state in `folder` up to date with the files of the Parquet table at `path`.
 
-    Each micro-batch writes the classes it touched to its own folder, which a retry overwrites.
+    `files` bounds the files of a micro-batch. Each micro-batch writes the classes it touched to its own
+    folder, which a retry overwrites.
     """
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(_glob(path))
+    reader = spark.readStream.schema(SCHEMA)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(_glob(path))
     state = _rows(stream, key_bytes).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "place")).alias("last"))
     before = {k: spark.conf.get(k, None) for k in ROCKSDB}
     for k, v in ROCKSDB.items():
@@ -97,7 +100,7 @@ def resolve(spark: SparkSession, path: str, folder: str, key_bytes: int = 32) ->
                       (F.col("place") == F.col("last.place")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def deduplicate(spark: SparkSession, path: str, folder: str | None = None, key_bytes: int = 32, files: int = FILES_PER_BATCH) -> DataFrame:
+def deduplicate(spark: SparkSession, path: str, folder: str | None = None, key_bytes: int = 32, files: int | None = None) -> DataFrame:
     """`ingest` and `resolve`; without `folder` the state goes to a new one in the shared folder."""
     folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/exact-dedup-{uuid.uuid4().hex}"
     ingest(spark, path, folder, key_bytes, files)
