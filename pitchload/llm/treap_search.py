@@ -41,7 +41,7 @@ from pitchload.session import cut
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SHARD_DOCS = 4_096
-SHARD_CELLS = 1 << 21
+SHARD_CELLS = 1 << 19      # a task holds some ten arrays of this length
 #: (item, term) pairs that one block holds, as expected
 BLOCK = 50_000
 #: items of more terms keep no cells for waiting ranges
@@ -125,25 +125,26 @@ def build(docs: DataFrame) -> tuple[DataFrame, int]:
     totals = posts.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n_all, l_all = totals[0] or 0, totals[1] or 1
 
-    def trees(frames):
-        for pdf in frames:
-            for p in pdf.itertuples():
-                n, counts = np.frombuffer(p.sizes, np.int64), np.frombuffer(p.counts, np.int32)
-                col, tf = np.frombuffer(p.cols, np.uint16).astype(np.int64), np.frombuffer(p.tfs, np.int32).astype(np.int64)
-                order = np.argsort(n, kind="stable")
-                place = np.empty(len(n), np.int64)
-                place[order] = np.arange(len(n))
-                m = 100 - 90 + (90 * n * n_all) // l_all
-                impact = (1_000_000_000 * tf) // (1_000 * tf + 8 * m[col])
-                bits = max(len(n) - 1, 1).bit_length()
+    def trees(batches):
+        schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("bits", pa.int32()),
+                            ("bands", pa.binary()), ("widths", pa.list_(pa.int32())), ("masks", pa.binary()), ("gaps", pa.binary())])
+        for batch in batches:
+            for p in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                size, counts, col, tf = (np.frombuffer(p.column(c)[0].as_py(), kind) for c, kind in
+                                         (("sizes", np.int64), ("counts", np.int32), ("cols", np.uint16), ("tfs", np.int32)))
+                order = np.argsort(size, kind="stable")
+                place = np.empty(len(size), np.int64)
+                place[order] = np.arange(len(size))
+                m = 100 - 90 + (90 * size * n_all) // l_all
+                impact = ((1_000_000_000 * tf.astype(np.int64)) // (1_000 * tf.astype(np.int64) + 8 * m[col])).astype(np.int32)
+                bits = max(len(size) - 1, 1).bit_length()
                 row = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
                 bands, widths, masks, gaps = quadtrees(row, place[col], impact, bits)
-                ids = list(p.doc_ids)
-                yield pd.DataFrame([{
-                    "doc_ids": [None if pd.isna(ids[i]) else int(ids[i]) for i in order], "terms": p.terms, "counts": counts, "bits": bits,
-                    "bands": bands.astype(np.int32).tobytes(), "widths": widths, "masks": masks.tobytes(), "gaps": gaps.astype(np.int32).tobytes()}])
+                values = [p.column("doc_ids")[0].values.take(pa.array(order)).to_pylist()], p.column("terms"), [counts], [bits], \
+                    [bands.astype(np.int32).tobytes()], [widths], [masks.tobytes()], [gaps.astype(np.int32).tobytes()]
+                yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
 
-    return cut(posts.drop("n_docs", "n_terms").mapInPandas(trees, _INDEX), "k2_index"), n_all
+    return cut(posts.drop("n_docs", "n_terms").mapInArrow(trees, _INDEX), "k2_index"), n_all
 
 
 class Treap:
@@ -159,7 +160,7 @@ class Treap:
         for w, below in zip(widths, widths[1:]):
             most.append(np.repeat(most[-1], kids[done:done + w]) - gaps[at:at + below])
             done, at = done + w, at + below
-        self.most = np.concatenate((*most, [0])).astype(np.int64)
+        self.most = np.concatenate((*most, [0])).astype(np.int32)
         bands = np.frombuffer(bands, np.int32)
         self.root = np.full(int(bands.max()) + 1, -1, np.int32)
         self.root[bands] = np.arange(len(bands))
