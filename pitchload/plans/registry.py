@@ -7,6 +7,7 @@ the same tables with the same column names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from pitchload.operators import zones as Z
 from pitchload.plans import derived as D
 from pitchload.plans import oracle as O
 from pitchload.plans.batch import Chain
+from pitchload.session import cut
 from pitchload.sinks import writers as W
 from pitchload.sources import files as FS
 
@@ -644,8 +646,13 @@ q("flt_non_null_payload", _CACHE_SQL)(_cache)
 
 @q("sink_tracking_ttl", ENR(f"SELECT {', '.join(_CACHE_COLS)} FROM enriched WHERE ts_ms >= (SELECT max(ts_ms) - 120000 FROM enriched)"))
 def sink_tracking_ttl(spark, sf):
+    """The cache as it is on disk after the expired slots are deleted; the slot that the bound falls into
+    is cut at the bound when it is read."""
     e = _chain(spark, sf).rows().select(*_CACHE_COLS)
-    return W.retained(e)
+    path = D.scratch(spark, "ttl-cache")
+    W.cache_write(e, 0, path, KEYS)
+    W.cache_expire(spark, path)
+    return W.retained(FS.read_tracking_cache(spark, path, e.schema))
 
 
 @q("sink_event_append", SCO(f'SELECT {EV_SQL}, event_class, "percAcc" FROM scored'))
@@ -699,40 +706,41 @@ def sink_keyed_stream(spark, sf):
 
 
 # ---------------------------------------------------------------- live path (Structured Streaming)
-def _live(spark, sf, periodic: bool = False):
-    """Replay the tracking rows in three parts of the time: each part arrives as a set of JSON
-    files, the live job reads it (``availableNow``) and is restarted from its checkpoint for
-    the next. Returns (chain, sink folder). Timestamps go through ISO text."""
-    from pitchload.streaming import live
-    import uuid as _uuid
-    c = _chain(spark, sf)
+PARTS = 3
+_LIVE: dict[tuple, str] = {}
+
+
+def _arrivals(spark, c: Chain, src: str):
+    """arrive(k) writes the k-th part of the time as JSON records. Timestamps go through ISO text."""
     raw = c.raw()
     ing = raw.select(S.format_iso_ms(F.col("ts_ms") + F.lit(KICKOFF_EPOCH_MS)).alias("timestamp"), "team",
                      "jersey_number", "x", "y", "speed", F.lit(0).alias("half"),
                      S.teamjersey("jersey_number", "team").alias("teamjersey"), "player_id", "ts_ms")
     hi = raw.agg(F.max("ts_ms")).first()[0] + 1
-    src, sink, name = D.scratch(spark, "live-src"), D.scratch(spark, "live-sink"), f"live-{_uuid.uuid4().hex[:10]}"
-    cuts = [0, hi // 3, 2 * hi // 3, hi]
-
-    def arrive(k):
-        ing.where((F.col("ts_ms") >= cuts[k]) & (F.col("ts_ms") < cuts[k + 1])).drop("ts_ms").write.mode("append").json(src)
-
-    if periodic:
-        # the dashboard's refresh: one query with a processing-time trigger sees each part as it arrives
-        arrive(0)
-        q = live.start_live(spark, src, sink, c.thresholds(), name=name, available_now=False, processing_time="1 second")
-        try:
-            for k in (1, 2, None):
-                q.processAllAvailable()
-                if k:
-                    arrive(k)
-        finally:
-            q.stop()
-    else:
-        for k in range(3):
+    return lambda k: ing.where((F.col("ts_ms") >= hi * k // PARTS) & (F.col("ts_ms") < hi * (k + 1) // PARTS)) \
+        .drop("ts_ms").write.mode("append").json(src)
+
+
+def _live(spark, sf):
+    """Replay the tracking rows in three parts of the time: each part arrives as a set of JSON
+    files, the live job reads it (``availableNow``) and is restarted from its checkpoint for
+    the next. Returns (chain, sink folder). The queries of one application that show another
+    table of the same job read one run of it."""
+    from pitchload.streaming import live
+    c, key = _chain(spark, sf), (spark.sparkContext.applicationId, sf)
+    if key not in _LIVE:
+        src, sink, name = D.scratch(spark, "live-src"), D.scratch(spark, "live-sink"), f"live-{uuid.uuid4().hex[:10]}"
+        arrive, thresholds = _arrivals(spark, c, src), cut(c.thresholds(), "thresholds")
+        for k in range(PARTS):
             arrive(k)
-            live.start_live(spark, src, sink, c.thresholds(), name=name).awaitTermination()
-    return c, sink
+            live.start_live(spark, src, sink, thresholds, name=name).awaitTermination()
+        _LIVE[key] = sink
+    return c, _LIVE[key]
+
+
+def _live_table(spark, sf, kind: str) -> DataFrame:
+    from pitchload.streaming import live
+    return live.committed(spark, _live(spark, sf)[1], kind)
 
 
 def _since_kickoff(df, cols):
@@ -742,20 +750,17 @@ def _since_kickoff(df, cols):
 
 @q("st_event_pipeline", SCO(f'SELECT {EV_SQL}, event_class, "percAcc" FROM scored'))
 def st_event_pipeline(spark, sf):
-    _, sink = _live(spark, sf)
-    return _since_kickoff(spark.read.parquet(f"{sink}/scored"), EV_COLS + ["event_class", "percAcc"])
+    return _since_kickoff(_live_table(spark, sf, "scored"), EV_COLS + ["event_class", "percAcc"])
 
 
 @q("st_keyed_state", MRG(f"SELECT {EV_SQL} FROM merged"))
 def st_keyed_state(spark, sf):
-    _, sink = _live(spark, sf)
-    return _since_kickoff(spark.read.parquet(f"{sink}/merged"), EV_COLS)
+    return _since_kickoff(_live_table(spark, sf, "merged"), EV_COLS)
 
 
 @q("st_gap_close", EXT(f"SELECT {EV_SQL} FROM extracted"))
 def st_gap_close(spark, sf):
-    _, sink = _live(spark, sf)
-    return _since_kickoff(spark.read.parquet(f"{sink}/extracted"), EV_COLS)
+    return _since_kickoff(_live_table(spark, sf, "extracted"), EV_COLS)
 
 
 _EN_COLS = ["player_id", "ts_ms", "x", "y", "speed", "acc_actual", "acc_event", "start_event", "dist", "speedzone"]
@@ -763,16 +768,25 @@ _EN_COLS = ["player_id", "ts_ms", "x", "y", "speed", "acc_actual", "acc_event",
 
 @q("src_tracking_stream", ENR(f"SELECT {', '.join(_EN_COLS)} FROM enriched"))
 def src_tracking_stream(spark, sf):
-    _, sink = _live(spark, sf)
-    return _since_kickoff(spark.read.parquet(f"{sink}/enriched"), _EN_COLS)
+    return _since_kickoff(_live_table(spark, sf, "enriched"), _EN_COLS)
+
+
+@q("st_zone_running", ENR(f"""SELECT player_id, ts_ms, team, jersey_number, {_ZR}
+  FROM enriched WINDOW w AS (PARTITION BY player_id ORDER BY rn ROWS UNBOUNDED PRECEDING)
+  QUALIFY rn > min(rn) OVER (PARTITION BY player_id)"""))
+def st_zone_running(spark, sf):
+    """The live half of agg_zone_running: the zone map of the keyed state, emitted with every row."""
+    z = _since_kickoff(_live_table(spark, sf, "zone_map"), ["player_id", "ts_ms", "team", "jersey_number", *[f"dist_{z}" for z in range(1, 6)]])
+    return z.select("player_id", "ts_ms", "team", "jersey_number",
+                    *[S.round_half_even(f"dist_{z}", 6).alias(f"dist_{z}") for z in range(1, 6)])
 
 
 @q("st_earliest_offset", RAW("SELECT count(*) AS n_rows FROM raw"))
 def st_earliest_offset(spark, sf):
     """Every replayed row is read from the first file on: enriched rows + the warm-up
     rows each key spends before its first enriched row."""
-    c, sink = _live(spark, sf)
-    en = spark.read.parquet(f"{sink}/enriched").agg(F.count(F.lit(1)).alias("en"))
+    c, _ = _live(spark, sf)
+    en = _live_table(spark, sf, "enriched").agg(F.count(F.lit(1)).alias("en"))
     warm = c.raw().groupBy("player_id").agg(F.least(F.count(F.lit(1)), F.lit(K.SMALL_LAG + 1)).alias("w")) \
               .agg(F.sum("w").alias("warm"))
     return en.crossJoin(warm).select((F.col("en") + F.col("warm")).alias("n_rows"))
@@ -787,44 +801,73 @@ def _rounded_totals(out):
                       S.round_half_even("total_distance", 6).alias("total_distance"))
 
 
+def _zone_stream(spark, sf, parts: int):
+    """The continuous SQL over the enriched rows of the live job, which reach it in ``parts`` steps of whole
+    batches; the query is stopped and started anew between them."""
+    from pitchload.streaming import live
+    src, zs, name = D.scratch(spark, "zone-src"), D.scratch(spark, "zone-stream"), f"zones-{uuid.uuid4().hex[:10]}"
+    enriched = _live_table(spark, sf, "enriched")
+    for k in range(parts):
+        enriched.where(F.col("batch_id") % parts == k).drop("batch_id").write.mode("append").parquet(src)
+        live.zone_totals_stream(spark, src, zs, name=name).awaitTermination()
+    out = _rounded_totals(W.read_latest(spark, zs, ["team", "jersey_number", "speedZone"]))
+    return out.select(F.col("team").cast("int").alias("team"), F.col("jersey_number").cast("int").alias("jersey_number"),
+                      F.col("speedZone").cast("int").alias("speedZone"), "total_distance")
+
+
 @q("st_continuous_zone_sum", _ZONE_SQL)
 def st_continuous_zone_sum(spark, sf):
-    from pitchload.streaming import live
-    _, sink = _live(spark, sf)
-    return _rounded_totals(live.zone_totals(spark, sink))
+    """Streaming aggregate in update mode: totals of earlier steps stay in the state and grow."""
+    return _zone_stream(spark, sf, PARTS)
 
 
 @q("src_enriched_stream", _ZONE_SQL)
 def src_enriched_stream(spark, sf):
-    """The declared stream over the enriched rows and its continuous SQL."""
-    from pitchload.streaming import live
-    import uuid as _uuid
-    _, sink = _live(spark, sf)
-    zs = D.scratch(spark, "zone-stream")
-    live.zone_totals_stream(spark, f"{sink}/enriched", zs, name=f"zones-{_uuid.uuid4().hex[:10]}").awaitTermination()
-    out = _rounded_totals(W.read_latest(spark, zs, ["team", "jersey_number", "speedZone"]))
-    return out.select(F.col("team").cast("int").alias("team"), F.col("jersey_number").cast("int").alias("jersey_number"),
-                      F.col("speedZone").cast("int").alias("speedZone"), "total_distance")
+    """The declared stream over the enriched rows and its continuous SQL, in one step."""
+    return _zone_stream(spark, sf, 1)
 
 
 @q("st_session_merge", _sql(*O.BASE_EVENTS, O.MERGED.replace("WHERE grp < last_grp", "WHERE true"))(
     f"SELECT {EV_SQL} FROM merged"))
 def st_session_merge(spark, sf):
+    """Events arrive in three parts, late ones are split off, sessions come out as the watermark passes
+    them; the end marker flushes the last ones."""
     from pitchload.streaming import live
-    ev = live.session_merge(_chain(spark, sf).extracted())
-    return ev.select(*EV_COLS)
-
-
-@q("st_ttl_cache", _CACHE_SQL)
+    ev = cut(_chain(spark, sf).extracted().select(*EV_COLS), "events")
+    hi = ev.agg(F.coalesce(F.max("ts_end"), F.lit(0))).first()[0]
+    src, sink, name = D.scratch(spark, "event-src"), D.scratch(spark, "sessions"), uuid.uuid4().hex[:10]
+    span = hi // PARTS + 1
+    for k in range(PARTS + 1):
+        part = ev.where(F.expr(f"ts_start div {span}") == k) if k < PARTS else live.end_marker(spark, ev.schema, hi)
+        part.write.mode("append").parquet(src)
+        live.split_late(spark.readStream.schema(ev.schema).parquet(src), sink, f"split-{name}").awaitTermination()
+        live.session_merge_stream(spark, sink, ev.schema, f"sessions-{name}").awaitTermination()
+    return spark.read.parquet(f"{sink}/sessions").select(*EV_COLS)
+
+
+@q("st_ttl_cache", ENR(f"""SELECT {', '.join(_CACHE_COLS)} FROM enriched
+WHERE (CAST(floor(ts_ms / 4000e0) AS BIGINT) + 1) * 4000 > (SELECT max(ts_ms) - 120000 FROM enriched)"""))
 def st_ttl_cache(spark, sf):
-    """The cache written by the live job's enriched rows, with 120 s retention."""
+    """What the live job's cache holds on disk: the slots that reach into the last 120 s."""
     _, sink = _live(spark, sf)
-    e = _since_kickoff(spark.read.parquet(f"{sink}/enriched"), _CACHE_COLS)
-    path = D.write_tracking_cache(e, KEYS)
-    return FS.read_tracking_cache(spark, path, e.schema)
+    schema = _since_kickoff(_live_table(spark, sf, "enriched"), _CACHE_COLS).schema
+    return _since_kickoff(FS.read_tracking_cache(spark, f"{sink}/cache", schema), _CACHE_COLS)
 
 
 @q("st_periodic_refresh", SCO(f'SELECT {EV_SQL}, event_class, "percAcc" FROM scored'))
 def st_periodic_refresh(spark, sf):
-    _, sink = _live(spark, sf, periodic=True)
-    return _since_kickoff(spark.read.parquet(f"{sink}/scored"), EV_COLS + ["event_class", "percAcc"])
+    """The dashboard's refresh: one query with a processing-time trigger sees each part as it arrives."""
+    from pitchload.streaming import live
+    c = _chain(spark, sf)
+    src, sink = D.scratch(spark, "live-src"), D.scratch(spark, "live-sink")
+    arrive = _arrivals(spark, c, src)
+    arrive(0)
+    query = live.start_live(spark, src, sink, c.thresholds(), name=f"live-{uuid.uuid4().hex[:10]}", available_now=False, processing_time="1 second")
+    try:
+        for k in range(1, PARTS + 1):
+            query.processAllAvailable()
+            if k < PARTS:
+                arrive(k)
+    finally:
+        query.stop()
+    return _since_kickoff(live.committed(spark, sink, "scored"), EV_COLS + ["event_class", "percAcc"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -76,3 +77,23 @@ def cut(df, name: str = "stage"):
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
+
+
+_ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streaming queries started inside keep their state in RocksDB (a started query has its own copy of
+    the settings); the session's own settings are back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _ROCKSDB}
+    for k, v in _ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

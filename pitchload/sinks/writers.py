@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchload.sinks import commits
 from pitchload.sources.files import META_FIELD
 
 TTL_MS = 120_000   # fixed value: cache retention
@@ -57,17 +58,50 @@ def read_latest(spark, path: str, keys: list[str]) -> DataFrame:
     return agg
 
 
-def tracking_cache_batch(batch: DataFrame, batch_id: int, path: str, keys: list[str],
-                         span_ms: int = 4_000) -> None:
-    """foreachBatch sink: records grouped into arrays of JSON strings per key and
-    ``span_ms`` of event time (100 frames at 25 Hz); a key has at most one row per
-    millisecond, so no array grows with the data."""
+SLOT_MS = 4_000   # event time that one cached value and one folder of the cache span (100 frames at 25 Hz)
+
+
+def _cached_values(batch: DataFrame, keys: list[str], span_ms: int) -> DataFrame:
+    """(keys, slot, value, ts_ms): records as arrays of JSON strings per key and ``span_ms`` of event time;
+    a key has at most one row per millisecond, so no array grows with the data."""
     j = with_meta(batch)
     rec = F.to_json(F.struct(*j.columns))
-    out = (j.groupBy(*keys, F.floor(F.col("ts_ms") / span_ms).alias("_g"))
-           .agg(F.to_json(F.sort_array(F.collect_list(F.struct("ts_ms", rec.alias("r"))))["r"]).alias("value"),
-                F.max("ts_ms").alias("ts_ms")))
-    out.drop("_g").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return (j.groupBy(*keys, F.floor(F.col("ts_ms") / span_ms).alias("slot"))
+            .agg(F.to_json(F.sort_array(F.collect_list(F.struct("ts_ms", rec.alias("r"))))["r"]).alias("value"),
+                 F.max("ts_ms").alias("ts_ms")))
+
+
+def tracking_cache_batch(batch: DataFrame, batch_id: int, path: str, keys: list[str],
+                         span_ms: int = SLOT_MS) -> None:
+    """foreachBatch sink: cached values of one batch in one folder."""
+    _cached_values(batch, keys, span_ms).drop("slot").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def cache_write(batch: DataFrame, batch_id: int, path: str, keys: list[str]) -> None:
+    """foreachBatch sink of the live cache: one folder per slot of event time, ``path/batch_id=N/slot=S``;
+    a batch that is run again overwrites its folders."""
+    _cached_values(batch, keys, SLOT_MS).write.mode("overwrite").partitionBy("slot").parquet(f"{path}/batch_id={batch_id}")
+
+
+def cache_expire(spark, path: str, ttl_ms: int = TTL_MS) -> list[int]:
+    """Delete the slots that lie wholly more than ``ttl_ms`` before the newest slot's newest row; returns them.
+
+    Runs after a batch is committed. A slot goes when its end is not after the bound, so what stays on disk
+    is the last ``ttl_ms`` and the rest of the slot that the bound falls into.
+    """
+    found = [(b, s) for b in commits.children(spark, path) if b.startswith("batch_id=")
+             for s in commits.children(spark, f"{path}/{b}") if s.startswith("slot=")]
+    if not found:
+        return []
+    slots = [int(s.removeprefix("slot=")) for _, s in found]
+    newest = spark.read.parquet(*[f"{path}/{b}/{s}" for (b, s), n in zip(found, slots) if n == max(slots)]).agg(F.max("ts_ms")).first()[0]
+    gone = [(b, s) for (b, s), n in zip(found, slots) if (n + 1) * SLOT_MS <= newest - ttl_ms]
+    for b, s in gone:
+        commits.delete(spark, f"{path}/{b}/{s}")
+    for b in {b for b, _ in gone}:
+        if not any(s.startswith("slot=") for s in commits.children(spark, f"{path}/{b}")):
+            commits.delete(spark, f"{path}/{b}")
+    return sorted({int(s.removeprefix("slot=")) for _, s in gone})
 
 
 def retained(cache: DataFrame, ts: str = "ts_ms", ttl_ms: int = TTL_MS) -> DataFrame:

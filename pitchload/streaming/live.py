@@ -2,10 +2,12 @@
 
 Window functions such as ``lag`` are not allowed on streaming frames, so the
 ordered per-player steps (rates -> edge / distance / zone -> event automaton ->
-merge) are one keyed stateful step (``applyInPandasWithState``). Spark shuffles the
-rows by key; each key's micro-batch rows are folded in event-time order and the
-fold state (last speeds, last position, open event, pending merge group) is kept
-in the state store, checkpointed with the query.
+merge) are one keyed stateful step (``transformWithStateInPandas`` on the RocksDB
+store). Spark shuffles the rows by key; each key's micro-batch rows are folded in
+event-time order. A key's value state holds the last speeds and position, the open
+event and the pending merge group; its map state holds the metres run in each speed
+zone so far, which every row after the first carries along. A processing-time timer
+can flush the pending merge group of a key that has gone silent (``flush_ms``).
 
 Rows of one time are ordered by their values (x, y, speed), in a batch and across
 batches, so a key's rows give the same answer however the trigger cuts them.
@@ -15,6 +17,9 @@ The state step emits rows of several kinds in one wide schema: ``enriched`` rows
 ``reject`` rows (no key, time, position or speed). ``foreachBatch`` routes them to
 idempotent table sinks, so nothing is dropped unseen. The stateless tail (filter,
 classify, score) and the batch's share of the zone totals are computed there too.
+A batch counts once its marker is set, after its last table: ``committed`` reads
+the tables of marked batches only, so a failure between two writes shows nothing
+of the batch in any table.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from pitchload import schema as SCH
 from pitchload.functions import scalar as S
@@ -32,7 +37,9 @@ from pitchload.operators import kinematics as K
 from pitchload.operators import scoring as SC
 from pitchload.operators.events import MERGE_GAP_MS
 from pitchload.operators.zones import zone_distance
-from pitchload.session import checkpoint_dir, cut
+from pitchload.session import checkpoint_dir, cut, rocksdb_state
+from pitchload.sinks import commits
+from pitchload.sinks.writers import cache_expire, cache_write
 
 _I, _L, _D, _S = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
 
@@ -41,13 +48,13 @@ BODY = T.StructType([T.StructField(n, t) for n, t in [
     ("kind", _S), ("team", _I), ("jersey_number", _I), ("ts_ms", _L), ("x", _D), ("y", _D),
     ("speed", _D), ("acc_actual", _D), ("acc_event", _D), ("start_event", _I), ("dist", _D), ("speedzone", _I),
     ("ts_start", _L), ("ts_end", _L), ("duration", _D), ("v_init", _D), ("max_acc", _D), ("max_speed", _D),
-    ("late_rows", _L)]])
+    ("late_rows", _L), *[(f"dist_{z}", _D) for z, _, _ in S.SPEED_ZONES_KMH]]])
 # with the default key
 OUT = T.StructType([T.StructField("player_id", _I)] + BODY.fields)
 
 STATE = T.StructType([T.StructField(n, t) for n, t in [
     ("n", _L), ("last_ts", _L), ("last_row", T.ArrayType(_D)), ("speeds", T.ArrayType(_D)), ("prev_acc", _D),
-    ("phase", _I), ("open", T.ArrayType(_D)), ("group", T.ArrayType(_D))]])
+    ("phase", _I), ("open", T.ArrayType(_D)), ("group", T.ArrayType(_D)), ("team", _I), ("jersey_number", _I)]])
 
 _FIRST_ENRICHED = K.SMALL_LAG + 2
 
@@ -106,16 +113,51 @@ def _zones(speed: np.ndarray) -> np.ndarray:
     return zone
 
 
-def _fold(key, pdfs, state, key_names=("player_id",)):
-    """Per-key fold over one micro-batch, rows in event-time order."""
+def _before(pdf: pd.DataFrame, last: tuple) -> np.ndarray:
+    """Rows that come before ``last`` in the order of (ts_ms, x, y, speed)."""
+    less = np.zeros(len(pdf), bool)
+    for column, value in reversed(list(zip(("ts_ms", "x", "y", "speed"), last))):
+        c = pdf[column].to_numpy()
+        less = (c < value) | ((c == value) & less)
+    return less.astype(bool)
+
+
+def _running_zones(zones: dict, zone: np.ndarray, dist: np.ndarray) -> dict:
+    """Metres per zone after every row, going on from ``zones``, which moves on to the last row."""
+    out = {}
+    for z, _, _ in S.SPEED_ZONES_KMH:
+        out[f"dist_{z}"] = run = np.cumsum(np.concatenate(([zones.get(z, 0.0)], np.where(zone == z, dist, 0.0))))[1:]
+        if len(run):
+            zones[z] = float(run[-1])
+    return out
+
+
+def _events_frame(events: list, **columns) -> pd.DataFrame:
+    e = pd.DataFrame(events, columns=["ts_start", "ts_end", "v_init", "max_acc", "max_speed"])
+    return e.assign(duration=(e["ts_end"] - e["ts_start"]) / 1000.0, **columns)
+
+
+def _shaped(parts: list, key, key_names) -> pd.DataFrame:
+    """Rows of all kinds in the output schema, with the key columns in front."""
+    res = pd.concat([o.reindex(columns=BODY.fieldNames()) for o in parts], ignore_index=True)
+    for c in ("team", "jersey_number", "ts_ms", "start_event", "speedzone", "ts_start", "ts_end", "late_rows"):
+        res[c] = res[c].astype("Int64")
+    for i, (name, value) in enumerate(zip(key_names, key)):
+        res.insert(i, name, value)
+    return res
+
+
+def _fold(key, pdfs, state, key_names=("player_id",), zones: dict | None = None):
+    """Per-key fold over one micro-batch, rows in event-time order. ``zones`` (zone -> metres) is
+    brought up to date in place; without it rows carry no zone map."""
     pdf = pd.concat(list(pdfs), ignore_index=True)
     bad = pdf[["ts_ms", "x", "y", "speed"]].isna().any(axis=1) | any(pd.isna(k) for k in key)
     out = [pdf[bad].assign(kind="reject")]
     pdf = pdf[~bad].sort_values(["ts_ms", "x", "y", "speed"], kind="stable")
-    n, last_ts, last_row, speeds, prev_acc, phase, event, group = \
-        state.get if state.exists else (0, None, [], [], None, IDLE, [], [])
+    n, last_ts, last_row, speeds, prev_acc, phase, event, group, team, jersey = \
+        state.get if state.exists else (0, None, [], [], None, IDLE, [], [], None, None)
     if last_ts is not None:
-        old = np.array([r < (last_ts, *last_row) for r in pdf[["ts_ms", "x", "y", "speed"]].itertuples(index=False, name=None)], bool)
+        old = _before(pdf, (last_ts, *last_row))
         out.append(pdf[old].assign(kind="late", late_rows=1))
         pdf = pdf[~old]
     if len(pdf):
@@ -131,29 +173,71 @@ def _fold(key, pdfs, state, key_names=("player_id",)):
         keep = place >= _FIRST_ENRICHED
         start = (was_acc <= 0) & (acc_ev > 0)
         good = ((acc_ev >= 0) | (v >= S.MIN_SPEED_GOOD)) & (ts - was_ts < K.GAP_CLOSE_MS)
+        zone, dist = _zones(v[keep]), np.sqrt((was_x - x) ** 2 + (was_y - y) ** 2)[keep]
         rows = pdf[keep].assign(kind="enriched", x=x[keep], y=y[keep], acc_actual=acc[keep], acc_event=acc_ev[keep],
-                                start_event=start[keep].astype(int), speedzone=_zones(v[keep]),
-                                dist=np.sqrt((was_x - x) ** 2 + (was_y - y) ** 2)[keep])
+                                start_event=start[keep].astype(int), speedzone=zone, dist=dist)
+        if zones is not None:
+            later = place[keep] > _FIRST_ENRICHED       # the first row only starts the map
+            rows = rows.assign(**{c: np.where(later, run, np.nan) for c, run in _running_zones(zones, zone, dist).items()})
         out.append(rows)
         done, phase, event = automaton(ts[keep], v[keep], acc[keep], start[keep], good[keep], phase, list(event))
         closed, group = join_groups(done, list(group))
-        team, jersey = pdf["team"].iloc[-1], pdf["jersey_number"].iloc[-1]
-        for kind, events in (("extracted", done), ("merged", closed)):
-            e = pd.DataFrame(events, columns=["ts_start", "ts_end", "v_init", "max_acc", "max_speed"])
-            out.append(e.assign(kind=kind, team=team, jersey_number=jersey, duration=(e["ts_end"] - e["ts_start"]) / 1000.0))
+        team, jersey = (None if pd.isna(c.iloc[-1]) else int(c.iloc[-1]) for c in (pdf["team"], pdf["jersey_number"]))
+        out += [_events_frame(events, kind=kind, team=team, jersey_number=jersey) for kind, events in (("extracted", done), ("merged", closed))]
         n, speeds = n + len(v), every[-K.BIG_LAG:].tolist()
         last_ts, last_row, prev_acc = int(ts[-1]), [float(c) for c in pdf[["x", "y", "speed"]].iloc[-1]], float(acc_ev[-1])
     if n:
-        state.update((n, last_ts, list(last_row), list(speeds), prev_acc, phase, list(event), list(group)))
+        state.update((n, last_ts, list(last_row), list(speeds), prev_acc, phase, list(event), list(group), team, jersey))
     out = [o for o in out if len(o)]
-    if not out:
-        return
-    res = pd.concat([o.reindex(columns=BODY.fieldNames()) for o in out], ignore_index=True)
-    for c in ("team", "jersey_number", "ts_ms", "start_event", "speedzone", "ts_start", "ts_end", "late_rows"):
-        res[c] = res[c].astype("Int64")
-    for i, (name, value) in enumerate(zip(key_names, key)):
-        res.insert(i, name, value)
-    yield res
+    if out:
+        yield _shaped(out, key, key_names)
+
+
+class _Held:
+    """A value state as ``_fold`` takes it: ``exists``, ``get``, ``update``."""
+
+    def __init__(self, value_state):
+        self.get = value_state.get() if value_state.exists() else None
+        self.exists, self.update = self.get is not None, value_state.update
+
+
+class KeyedFold(StatefulProcessor):
+    """The fold's state per key: one value, the zone map and, with ``flush_ms``, one timer.
+
+    The timer runs from the key's last micro-batch on. When it fires, the pending merge group is emitted
+    as a merged event; an event that opens later within the merge gap then starts a group of its own.
+    """
+
+    def __init__(self, key_names: list[str], flush_ms: int | None = None):
+        self.key_names, self.flush_ms = key_names, flush_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("fold", STATE)
+        self.zones = handle.getMapState("zones", "zone int", "metres double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        was = {z[0]: m[0] for z, m in self.zones.iterator()}
+        zones = dict(was)
+        yield from _fold(key, rows, _Held(self.value), self.key_names, zones)
+        for z, metres in zones.items():
+            if was.get(z) != metres:
+                self.zones.updateValue((z,), (metres,))
+        if self.flush_ms:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.flush_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.value.exists():
+            return
+        *rest, group, team, jersey = self.value.get()
+        if group:
+            self.value.update((*rest, [], team, jersey))
+            yield _shaped([_events_frame([list(group)], kind="merged", team=team, jersey_number=jersey)], key, self.key_names)
+
+    def close(self) -> None:
+        pass
 
 
 def read_ingestion(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType = SCH.INGESTION,
@@ -184,18 +268,14 @@ def read_ingestion_kafka(spark: SparkSession, servers: str, topic: str, starting
     return rec.withColumn("ts_ms", S.parse_iso_ms("timestamp"))
 
 
-def keyed_fold(stream: DataFrame, keys: list[str] = ("player_id",)) -> DataFrame:
+def keyed_fold(stream: DataFrame, keys: list[str] = ("player_id",), flush_ms: int | None = None) -> DataFrame:
     """The stateful step: enriched rows, extracted and merged events (column ``kind``),
     each prefixed by the key columns (e.g. ``match_id, player_id``)."""
     keys = list(keys)
     cols = [*keys, "team", "jersey_number", "ts_ms", "x", "y", "speed"]
     sel = stream.select(*cols)
     out = T.StructType([sel.schema[k] for k in keys] + BODY.fields)
-
-    def fold(key, pdfs, state):
-        return _fold(key, pdfs, state, keys)
-
-    return sel.groupBy(*keys).applyInPandasWithState(fold, out, STATE, "append", GroupStateTimeout.NoTimeout)
+    return sel.groupBy(*keys).transformWithStateInPandas(KeyedFold(keys, flush_ms), out, "Append", "ProcessingTime" if flush_ms else "None")
 
 
 def score_batch(merged: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -203,42 +283,60 @@ def score_batch(merged: DataFrame, thresholds: DataFrame) -> DataFrame:
     return SC.score(SC.classify(SC.filter_min_action(merged), thresholds))
 
 
+KINDS = ("enriched", "extracted", "merged", "late", "reject")
+ZONE_MAP = [f"dist_{z}" for z, _, _ in S.SPEED_ZONES_KMH]
+
+
 def start_live(spark: SparkSession, source: str | None, sink: str, thresholds: DataFrame, name: str = "live",
                available_now: bool = True, processing_time: str = "15 seconds", max_files: int | None = None,
-               stream: DataFrame | None = None, keys: list[str] = ("player_id",)):
-    """Run the live pipeline; writes ``sink``/{enriched,extracted,merged,scored,late,reject,zone_parts}/batch_id=N.
+               stream: DataFrame | None = None, keys: list[str] = ("player_id",), flush_ms: int | None = None):
+    """Run the live pipeline; writes ``sink``/{enriched,extracted,merged,scored,late,reject,zone_parts,zone_map}/batch_id=N
+    and marks the batch; then ``sink``/cache loses what has expired.
 
     ``source`` is a folder of JSON records; or pass ``stream`` (e.g. ``read_ingestion_kafka``)."""
     keys = list(keys)
-    folded = keyed_fold(stream if stream is not None else read_ingestion(spark, source, max_files=max_files), keys)
+    folded = keyed_fold(stream if stream is not None else read_ingestion(spark, source, max_files=max_files), keys, flush_ms)
     thr = cut(thresholds, "thresholds")   # one row, read by every batch
     by = [k for k in keys if k != "player_id"]
 
     def route(batch: DataFrame, batch_id: int):
+        commits.unmark(spark, sink, batch_id)      # a batch that is run again counts when it is whole again
         batch.persist()
         try:
-            for kind in ("enriched", "extracted", "merged", "late", "reject"):
-                part = batch.where(F.col("kind") == kind).drop("kind")
+            for kind in KINDS:
+                part = batch.where(F.col("kind") == kind).drop("kind", *ZONE_MAP)
                 part.write.mode("overwrite").parquet(f"{sink}/{kind}/batch_id={batch_id}")
-            zone_distance(batch.where("kind = 'enriched'"), group=(*by, "team", "jersey_number")) \
+            enriched = batch.where("kind = 'enriched'")
+            enriched.where(F.col(ZONE_MAP[0]).isNotNull()).select(*keys, "ts_ms", "team", "jersey_number", *ZONE_MAP) \
+                .write.mode("overwrite").parquet(f"{sink}/zone_map/batch_id={batch_id}")
+            zone_distance(enriched, group=(*by, "team", "jersey_number")) \
                 .write.mode("overwrite").parquet(f"{sink}/zone_parts/batch_id={batch_id}")
             merged = batch.where(F.col("kind") == "merged").select(
                 *keys, "team", "jersey_number", "ts_start", "ts_end", "duration", "v_init", "max_acc", "max_speed")
             score_batch(merged, thr).write.mode("overwrite").parquet(f"{sink}/scored/batch_id={batch_id}")
+            cache_write(enriched.select(*keys, "ts_ms", "speed", "speedzone", "dist"), batch_id, f"{sink}/cache", keys)
         finally:
             batch.unpersist()
+        commits.mark(spark, sink, batch_id)
+        cache_expire(spark, f"{sink}/cache")
 
     w = folded.writeStream.foreachBatch(route).option(
         "checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
-    return w.start()
+    with rocksdb_state(spark):
+        return w.start()
+
+
+def committed(spark: SparkSession, sink: str, kind: str) -> DataFrame:
+    """A live job's table ``kind``: the rows of its marked batches."""
+    return commits.read(spark, sink, kind)
 
 
 def zone_totals(spark: SparkSession, sink: str, by: list[str] = ()) -> DataFrame:
     """Running SUM(dist) by (``by``,) team, jersey and zone of a live job: the sum of its batches' shares.
     A batch that is run again writes its share anew, so a retry changes nothing."""
     keys = [*by, "team", "jersey_number", "speedZone"]
-    return spark.read.parquet(f"{sink}/zone_parts").groupBy(*keys).agg(F.sum("total_distance").alias("total_distance"))
+    return committed(spark, sink, "zone_parts").groupBy(*keys).agg(F.sum("total_distance").alias("total_distance"))
 
 
 ZONE_SQL = """SELECT team, jersey_number, speedZone, SUM(dist) AS total_distance FROM {enriched}
@@ -255,17 +353,25 @@ def zone_totals_stream(spark: SparkSession, enriched_path: str, sink: str, name:
     from pitchload.sinks.writers import zone_upsert
     src = spark.readStream.schema(SCH.ENRICHED_STREAM).parquet(enriched_path)
     agg = spark.sql(ZONE_SQL, enriched=src)
-    w = agg.writeStream.outputMode("update").foreachBatch(lambda b, i: zone_upsert(b, i, sink)).option(
-        "checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}")
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="15 seconds")
-    return w.start()
+    return _started(agg.writeStream.outputMode("update").foreachBatch(lambda b, i: zone_upsert(b, i, sink)), spark, name, available_now)
+
 
+#: how far event time may lag behind the newest event before an event counts as late
+SESSION_DELAY_MS = 600_000
 
-def session_merge(events: DataFrame, keys: list[str] = ("player_id",), gap_ms: int = MERGE_GAP_MS) -> DataFrame:
-    """Option: merge by an inactivity gap with ``session_window``. Spark's gap bound is
-    inclusive, so 1 ms is taken off to keep "exactly 0.5 s apart" separate. Sessions are
-    emitted when the watermark passes them, so the last group is flushed."""
-    ev = events.where(F.col("duration") > 0).withColumn("_t0", F.timestamp_millis("ts_start")).withColumn("_t1", F.timestamp_millis("ts_end"))
+
+def session_merge(events: DataFrame, keys: list[str] = ("player_id",), gap_ms: int = MERGE_GAP_MS,
+                  delay_ms: int = SESSION_DELAY_MS) -> DataFrame:
+    """Option: merge by an inactivity gap with ``session_window``, on a table or a stream of events.
+
+    Spark's gap bound is inclusive, so 1 ms is taken off to keep "exactly 0.5 s apart" separate. On a
+    stream in append mode a session is emitted when the watermark (``delay_ms`` behind the newest event
+    start) passes its end, so the last group is flushed by later events of any key or by the end marker."""
+    ev = events.withColumn("_t0", F.timestamp_millis("ts_start"))
+    if events.isStreaming:
+        ev = ev.withWatermark("_t0", f"{delay_ms} milliseconds")
+    # one condition on the event time: it stays above the watermark, which so sees the end marker too
+    ev = ev.where(F.expr("CASE WHEN _t0 IS NULL THEN false ELSE duration > 0 END"))
     # a session spans [start, end + gap); the event's own length is folded in by
     # opening the window at the event start with a gap of (duration + gap)
     gap = F.concat((F.col("ts_end") - F.col("ts_start") + F.lit(gap_ms - 1)).cast("string"), F.lit(" milliseconds"))
@@ -277,3 +383,54 @@ def session_merge(events: DataFrame, keys: list[str] = ("player_id",), gap_ms: i
     return grouped.select(*keys, "team", "jersey_number", "ts_start", "ts_end",
                           ((F.col("ts_end") - F.col("ts_start")) / F.lit(1000.0)).alias("duration"),
                           "v_init", "max_acc", "max_speed")
+
+
+def _started(writer, spark: SparkSession, name: str, available_now: bool):
+    w = writer.option("checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="15 seconds")
+    with rocksdb_state(spark):
+        return w.start()
+
+
+def split_late(events: DataFrame, sink: str, name: str, delay_ms: int = SESSION_DELAY_MS, available_now: bool = True):
+    """Events of a stream that start ``delay_ms`` or more before the newest start of earlier batches go to
+    ``sink``/late, the others to ``sink``/on_time. Each batch stores the newest start it has seen, so a batch
+    that is run again splits as before.
+
+    What a later watermark of the same delay would drop unseen is so in a table of its own: the watermark
+    that a reader of ``on_time`` has reached is never ahead of the bound that the rows were held against."""
+    spark = events.sparkSession
+
+    def route(batch: DataFrame, batch_id: int):
+        commits.unmark(spark, sink, batch_id)
+        seen = [b for b in commits.marked(spark, sink) if b < batch_id]
+        newest = spark.read.parquet(f"{sink}/newest/batch_id={seen[-1]}").first()[0] if seen else None
+        late = F.lit(False) if newest is None else F.col("ts_start") <= F.lit(newest - delay_ms)
+        batch.persist()
+        try:
+            batch.where(late).write.mode("overwrite").parquet(f"{sink}/late/batch_id={batch_id}")
+            batch.where(~late).coalesce(1).write.mode("overwrite").parquet(f"{sink}/on_time/batch_id={batch_id}")
+            batch.agg(F.greatest(F.max("ts_start"), F.lit(newest).cast("long")).alias("newest")) \
+                .write.mode("overwrite").parquet(f"{sink}/newest/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+        commits.mark(spark, sink, batch_id)
+
+    return _started(events.writeStream.foreachBatch(route), spark, name, available_now)
+
+
+def session_merge_stream(spark: SparkSession, sink: str, schema: T.StructType, name: str, keys: list[str] = ("player_id",),
+                         delay_ms: int = SESSION_DELAY_MS, available_now: bool = True):
+    """``session_merge`` over the stream of ``sink``/on_time (see ``split_late``), append mode, to ``sink``/sessions."""
+    events = spark.readStream.schema(schema).parquet(f"{sink}/on_time/batch_id=*")
+    merged = session_merge(events, list(keys), delay_ms=delay_ms)
+    write = lambda b, i: b.write.mode("overwrite").parquet(f"{sink}/sessions/batch_id={i}")
+    return _started(merged.writeStream.outputMode("append").foreachBatch(write), spark, name, available_now)
+
+
+def end_marker(spark: SparkSession, schema: T.StructType, after_ms: int, delay_ms: int = SESSION_DELAY_MS) -> DataFrame:
+    """One event without key and length that moves the watermark past ``after_ms``: the end of the input.
+    It takes part in no session."""
+    at = after_ms + delay_ms + 1_000
+    row = {"ts_start": at, "ts_end": at, "duration": 0.0}
+    return spark.createDataFrame([tuple(row.get(f.name) for f in schema)], T.StructType([T.StructField(f.name, f.dataType) for f in schema]))

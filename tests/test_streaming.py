@@ -1,10 +1,16 @@
 import os
 import tempfile
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from pitchload.functions import scalar as S
+from pitchload.operators import kinematics as K
+from pitchload.operators import zones as Z
 from pitchload.plans.batch import Chain
+from pitchload.session import cut
+from pitchload.sinks import commits
 from pitchload.streaming import live
 from tests.conftest import SF01
 
@@ -127,6 +133,95 @@ def test_session_merge_matches_batch_with_flush(spark):
     assert got == want
 
 
+def _live_parts(spark, raw, n, thr):
+    """The live job over ``n`` parts of the time, stopped and started anew for each."""
+    hi = raw.agg(F.max("ts_ms")).first()[0] + 1
+    work = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    src, sink, name = os.path.join(work, "src"), os.path.join(work, "sink"), os.path.basename(work)
+    for i in range(n):
+        _write_chunks(raw, src, [(hi * i // n, hi * (i + 1) // n)])
+        live.start_live(spark, src, sink, thr, name=f"p-{name}").awaitTermination()
+    return sink
+
+
+def test_state_in_1_and_7_batches(spark):
+    """Value and map state go on from the checkpoint: every table is the same however the rows arrive."""
+    c = Chain(spark, "/root/testdata/sf0.001")
+    raw, thr = c.raw(), cut(Chain(spark, SF01).thresholds(), "thresholds")
+    zones = ["player_id", "ts_ms", *live.ZONE_MAP]
+    want = {tuple(r[:2]): [round(x, 6) for x in r[2:]] for r in
+            Z.zone_running(c.rows(), ["player_id"], first_rn=K.SMALL_LAG + 2).select(*zones).collect()}
+    events = sorted(tuple(r) for r in c.extracted().select(*EV).collect())
+    for n in (1, 7):
+        sink = _live_parts(spark, raw, n, thr)
+        got = {tuple(r[:2]): [round(x, 6) for x in r[2:]] for r in _read(spark, sink, "zone_map", zones)}
+        assert got == want and len(want) > 800
+        assert _read(spark, sink, "extracted", EV) == events
+        assert commits.marked(spark, sink) == list(range(n))
+
+
+def test_timer_flushes_the_pending_group(spark):
+    c = Chain(spark, SF01)
+    raw = c.raw().where("player_id < 6")
+    work = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    src, sink = os.path.join(work, "src"), os.path.join(work, "sink")
+    _write_chunks(raw, src, [(0, 10**12)])
+    q = live.start_live(spark, src, sink, c.thresholds(), name=os.path.basename(work), available_now=False, processing_time="1 second", flush_ms=3_000)
+    want = sorted(tuple(r) for r in c.merged(flush_open=True).where("player_id < 6").select(*EV).collect())
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            if commits.marked(spark, sink) and len(got := _read(spark, sink, "merged", EV)) >= len(want):
+                break
+    finally:
+        q.stop()
+    assert got == want and len(want) > len(c.merged().where("player_id < 6").collect())
+
+
+def test_failure_between_two_tables_shows_nothing(spark, monkeypatch):
+    c = Chain(spark, "/root/testdata/sf0.001")
+    raw, thr = c.raw(), cut(Chain(spark, SF01).thresholds(), "thresholds")
+    work = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    src, sink, name = os.path.join(work, "src"), os.path.join(work, "sink"), os.path.basename(work)
+    hi = raw.agg(F.max("ts_ms")).first()[0] + 1
+    _write_chunks(raw, src, [(0, hi // 2)])
+    live.start_live(spark, src, sink, thr, name=name).awaitTermination()
+    before = {k: live.committed(spark, sink, k).count() for k in ("enriched", "zone_map", "scored")}
+    _write_chunks(raw, src, [(hi // 2, hi)])
+
+    def broken(*_):
+        raise RuntimeError("injected")
+    with monkeypatch.context() as m:
+        m.setattr(live, "score_batch", broken)      # enriched, zone_map and zone_parts are written by then
+        with pytest.raises(Exception, match="injected"):
+            live.start_live(spark, src, sink, thr, name=name).awaitTermination()
+    assert {k: live.committed(spark, sink, k).count() for k in before} == before
+    assert spark.read.parquet(f"{sink}/enriched").count() > before["enriched"]
+    live.start_live(spark, src, sink, thr, name=name).awaitTermination()
+    assert live.committed(spark, sink, "enriched").count() == c.enriched().count()
+
+
+def test_sessions_on_a_stream_with_late_events(spark):
+    c = Chain(spark, SF01)
+    ev = c.extracted().select(*EV[:3], "duration", "v_init", "max_acc", "max_speed", "team", "jersey_number")
+    ev = ev.select(*dict.fromkeys(ev.columns)).cache()
+    work, delay = tempfile.mkdtemp(prefix="stream-", dir="/tmp"), 5_000
+    src, sink, name = os.path.join(work, "src"), os.path.join(work, "sink"), os.path.basename(work)
+    hi = ev.agg(F.max("ts_end")).first()[0]
+    parts = [ev.where("ts_start < 30000"), ev.where("ts_start BETWEEN 30000 AND 60000"),
+             ev.where("ts_start < 2000").limit(3).unionByName(ev.where("ts_start > 60000")),      # three come a second time, too late
+             live.end_marker(spark, ev.schema, hi, delay)]
+    assert parts[2].where("ts_start < 2000").count() == 3
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(src)
+        live.split_late(spark.readStream.schema(ev.schema).parquet(src), sink, f"s-{name}", delay).awaitTermination()
+        live.session_merge_stream(spark, sink, ev.schema, f"m-{name}", delay_ms=delay).awaitTermination()
+    cols = ["player_id", "ts_start", "ts_end", "duration", "v_init", "max_acc", "max_speed"]
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{sink}/sessions").select(*cols).collect())
+    assert got == sorted(tuple(r) for r in c.merged(flush_open=True).select(*cols).collect())
+    assert spark.read.parquet(f"{sink}/late").count() == 3
+
+
 def test_batch_chain_from_exported_records(spark):
     """The chain started from exported CSV records equals the chain on the table."""
     from pitchload.sources.files import read_tracking_records
