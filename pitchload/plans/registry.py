@@ -7,6 +7,7 @@ the same tables with the same column names.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -25,6 +26,7 @@ from pitchload.plans import derived as D
 from pitchload.plans import oracle as O
 from pitchload.plans.batch import Chain
 from pitchload.session import cut
+from pitchload.sinks import keyed_log as KL
 from pitchload.sinks import writers as W
 from pitchload.sources import files as FS
 
@@ -697,12 +699,17 @@ def sink_tracking_csv(spark, sf):
     return spark.read.schema(t.schema).option("header", True).csv(path)
 
 
-@q("sink_keyed_stream", SCO("SELECT CAST(player_id AS VARCHAR) AS key, player_id, ts_start FROM scored"))
+@q("sink_keyed_stream", SCO(f"""SELECT CAST(player_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY player_id ORDER BY ts_start) AS seq,
+  {EV_SQL}, event_class, "percAcc" FROM scored"""))
 def sink_keyed_stream(spark, sf):
-    s = _chain(spark, sf).scored()
-    kv = W.keyed_values(s, KEYS)
-    back = kv.select("key", F.from_json("value", s.schema).alias("r"))
-    return back.select("key", "r.player_id", "r.ts_start")
+    """Scored events sent to the keyed log in two batches, the second one twice; read back with their numbers."""
+    s = cut(_chain(spark, sf).scored().select(*EV_COLS, "event_class", "percAcc"), "scored")
+    path = D.scratch(spark, "keyed-log")
+    mid = s.agg(F.floor((F.min("ts_start") + F.max("ts_start")) / 2).alias("_m"))
+    parted = s.crossJoin(F.broadcast(mid))        # one row
+    for batch, part in ((0, "ts_start <= _m"), (1, "ts_start > _m"), (1, "ts_start > _m")):
+        KL.keyed_send(parted.where(part).drop("_m"), batch, path, KEYS)
+    return KL.read_log(spark, path).select("key", "seq", F.from_json("value", s.schema).alias("r")).select("key", "seq", "r.*")
 
 
 # ---------------------------------------------------------------- live path (Structured Streaming)
@@ -766,9 +773,29 @@ def st_gap_close(spark, sf):
 _EN_COLS = ["player_id", "ts_ms", "x", "y", "speed", "acc_actual", "acc_event", "start_event", "dist", "speedzone"]
 
 
+def _tracking_log(spark, c: Chain) -> tuple[str, str]:
+    """(path, offsets): the tracking records in a keyed log of two batches, cut in the middle of the time,
+    and the offsets at which the second one starts."""
+    raw = c.raw()
+    ing = raw.select(S.format_iso_ms(F.col("ts_ms") + F.lit(KICKOFF_EPOCH_MS)).alias("timestamp"), "team", "jersey_number", "x", "y", "speed",
+                     F.lit(0).alias("half"), S.teamjersey("jersey_number", "team").alias("teamjersey"), "player_id", "ts_ms")
+    path, mid = D.scratch(spark, "tracking-log"), (raw.agg(F.max("ts_ms")).first()[0] + 1) // 2
+    KL.keyed_send(ing.where(F.col("ts_ms") < mid), 0, path, KEYS, order="ts_ms")
+    lanes = KL.read_log(spark, path).groupBy("lane").count().collect()       # a row a lane
+    KL.keyed_send(ing.where(F.col("ts_ms") >= mid), 1, path, KEYS, order="ts_ms")
+    return path, json.dumps({r[0]: r[1] for r in lanes})
+
+
 @q("src_tracking_stream", ENR(f"SELECT {', '.join(_EN_COLS)} FROM enriched"))
 def src_tracking_stream(spark, sf):
-    return _since_kickoff(_live_table(spark, sf, "enriched"), _EN_COLS)
+    """The live job fed from the keyed log, from its earliest offset on."""
+    from pitchload.streaming import live
+    c = _chain(spark, sf)
+    path, _ = _tracking_log(spark, c)
+    sink = D.scratch(spark, "live-sink")
+    live.start_live(spark, None, sink, c.thresholds(), name=f"live-{uuid.uuid4().hex[:10]}",
+                    stream=live.read_ingestion_log(spark, path)).awaitTermination()
+    return _since_kickoff(live.committed(spark, sink, "enriched"), _EN_COLS)
 
 
 @q("st_zone_running", ENR(f"""SELECT player_id, ts_ms, team, jersey_number, {_ZR}
@@ -781,15 +808,17 @@ def st_zone_running(spark, sf):
                     *[S.round_half_even(f"dist_{z}", 6).alias(f"dist_{z}") for z in range(1, 6)])
 
 
-@q("st_earliest_offset", RAW("SELECT count(*) AS n_rows FROM raw"))
+@q("st_earliest_offset", RAW("""SELECT 'earliest' AS start, player_id, ts_ms, x, y, speed FROM raw
+UNION ALL SELECT 'given', player_id, ts_ms, x, y, speed FROM raw WHERE ts_ms >= (SELECT (max(ts_ms) + 1) // 2 FROM raw)"""))
 def st_earliest_offset(spark, sf):
-    """Every replayed row is read from the first file on: enriched rows + the warm-up
-    rows each key spends before its first enriched row."""
-    c, _ = _live(spark, sf)
-    en = _live_table(spark, sf, "enriched").agg(F.count(F.lit(1)).alias("en"))
-    warm = c.raw().groupBy("player_id").agg(F.least(F.count(F.lit(1)), F.lit(K.SMALL_LAG + 1)).alias("w")) \
-              .agg(F.sum("w").alias("warm"))
-    return en.crossJoin(warm).select((F.col("en") + F.col("warm")).alias("n_rows"))
+    """What a stream over the log delivers from the earliest offset and from given ones in the middle."""
+    from pitchload.streaming import live
+    path, middle = _tracking_log(spark, _chain(spark, sf))
+    out = D.scratch(spark, "replayed")
+    for start, offsets in (("earliest", "earliest"), ("given", middle)):
+        live.replay(spark, path, offsets, f"{out}/start={start}")
+    rows = spark.read.option("basePath", out).parquet(f"{out}/start=*")
+    return _since_kickoff(rows, ["start", "player_id", "ts_ms", "x", "y", "speed"])
 
 
 _ZONE_SQL = ENR("""SELECT team, jersey_number, speedzone AS "speedZone", round_even(sum(dist), 6) AS total_distance

@@ -39,6 +39,7 @@ from pitchload.operators.events import MERGE_GAP_MS
 from pitchload.operators.zones import zone_distance
 from pitchload.session import checkpoint_dir, cut, rocksdb_state
 from pitchload.sinks import commits
+from pitchload.sinks.keyed_log import stream_log
 from pitchload.sinks.writers import cache_expire, cache_write
 
 _I, _L, _D, _S = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
@@ -268,6 +269,12 @@ def read_ingestion_kafka(spark: SparkSession, servers: str, topic: str, starting
     return rec.withColumn("ts_ms", S.parse_iso_ms("timestamp"))
 
 
+def read_ingestion_log(spark: SparkSession, path: str, starting: str = "earliest", schema: T.StructType = SCH.INGESTION) -> DataFrame:
+    """The ingestion records of a keyed log (``sinks.keyed_log``) from the given offsets on."""
+    rec = stream_log(spark, path, starting).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return rec.withColumn("ts_ms", S.parse_iso_ms("timestamp"))
+
+
 def keyed_fold(stream: DataFrame, keys: list[str] = ("player_id",), flush_ms: int | None = None) -> DataFrame:
     """The stateful step: enriched rows, extracted and merged events (column ``kind``),
     each prefixed by the key columns (e.g. ``match_id, player_id``)."""
@@ -332,6 +339,13 @@ def committed(spark: SparkSession, sink: str, kind: str) -> DataFrame:
     return commits.read(spark, sink, kind)
 
 
+def replay(spark: SparkSession, path: str, starting: str, out: str) -> None:
+    """Copy the records of a keyed log from the given offsets on to the table ``out``; a later call goes on
+    from where this one ended."""
+    w = read_ingestion_log(spark, path, starting).writeStream.format("parquet").option("path", out)
+    w.option("checkpointLocation", f"{out}/_state").trigger(availableNow=True).start().awaitTermination()
+
+
 def zone_totals(spark: SparkSession, sink: str, by: list[str] = ()) -> DataFrame:
     """Running SUM(dist) by (``by``,) team, jersey and zone of a live job: the sum of its batches' shares.
     A batch that is run again writes its share anew, so a retry changes nothing."""

@@ -49,3 +49,31 @@ def test_ttl_retention(spark):
     df = spark.createDataFrame([(t,) for t in (0, 1000, 120_000, 120_001, 240_000)], "ts_ms long")
     # newest 240 000 ms: rows older than 120 s are gone, exactly 120 s included
     assert sorted(r.ts_ms for r in W.retained(df).collect()) == [120_000, 120_001, 240_000]
+
+
+def test_live_cache_holds_the_last_slots_only(spark):
+    """After every batch the slots that end before the bound are gone from disk; the rest reads back."""
+    import os
+    d = tempfile.mkdtemp(dir="/tmp")
+    df = spark.range(0, 400_000, 500).select((F.col("id") % 3).cast("int").alias("player_id"), F.col("id").alias("ts_ms"), F.lit(1.5).alias("speed"))
+    for batch, hi in enumerate((100_000, 250_000, 400_000)):
+        W.cache_write(df.where((F.col("ts_ms") < hi) & (F.col("ts_ms") >= (0, 100_000, 250_000)[batch])), batch, d, ["player_id"])
+        W.cache_expire(spark, d)
+        newest = hi - 500
+        slots = sorted(int(s.removeprefix("slot=")) for b in os.listdir(d) for s in os.listdir(f"{d}/{b}") if s.startswith("slot="))
+        assert slots[0] == max(0, (newest - W.TTL_MS) // W.SLOT_MS) and slots[-1] == newest // W.SLOT_MS
+        got = sorted(r.ts_ms for r in FS.read_tracking_cache(spark, d, df.schema).collect())
+        assert got == list(range(slots[0] * W.SLOT_MS, hi, 500))
+    assert W.cache_expire(spark, d) == [] and "batch_id=0" not in os.listdir(d)
+
+
+def test_markers_and_unmarked_batches(spark):
+    from pitchload.sinks import commits
+    d = tempfile.mkdtemp(dir="/tmp")
+    for b in (0, 1):
+        spark.range(b + 1).write.parquet(f"{d}/t/batch_id={b}")
+    commits.mark(spark, d, 0)
+    assert commits.read(spark, d, "t").count() == 1
+    commits.mark(spark, d, 1)
+    commits.unmark(spark, d, 0)
+    assert commits.marked(spark, d) == [1] and commits.read(spark, d, "t").count() == 2
