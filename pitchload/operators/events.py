@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchload.operators.sequence import (HALO, SEG, SEGMENT_ROWS, Scan, number_rows, scan,
+from pitchload.operators.sequence import (HALO, SEG, SEGMENT_ROWS, Scan, join_null_safe, number_rows, scan,
                                           seg_window, segment)
 
 MERGE_GAP_MS = 500   # fixed value: events closer than 0.5 s are merged
@@ -85,11 +85,11 @@ def extract_events(enriched: DataFrame, keys: list[str], ts: str = "ts_ms",
     # maxima over the good rows after the opening row up to the run end
     g = d.where(F.col("good") & F.col("re").isNotNull()).select(*keys, F.col("re").alias("nx"),
                                                                   "rn", "acc_actual", "speed")
-    mx = (g.join(ev.select(*keys, "nx", "o_rn"), on=[*keys, "nx"], how="inner")
+    mx = (join_null_safe(g, ev.select(*keys, "nx", "o_rn"), [*keys, "nx"])
           .where(F.col("rn") > F.col("o_rn"))
           .groupBy(*keys, "nx")
           .agg(F.max("acc_actual").alias("_ma"), F.max("speed").alias("_ms")))
-    out = ev.join(mx, on=[*keys, "nx"], how="left")
+    out = join_null_safe(ev, mx, [*keys, "nx"], "left")
     return out.select(
         *keys, "team", "jersey_number", "ts_start", "ts_end",
         ((F.col("ts_end") - F.col("ts_start")) / F.lit(1000.0)).alias("duration"),
@@ -122,7 +122,7 @@ def merge_events(events: DataFrame, keys: list[str], gap_ms: int = MERGE_GAP_MS,
                 F.max_by("jersey_number", "ts_start").alias("jersey_number")))
     if not flush_open:
         last = grp.groupBy(*keys).agg(F.max("_grp").alias("_last"))
-        grp = grp.join(last, on=keys, how="inner").where(F.col("_grp") < F.col("_last")).drop("_last")
+        grp = join_null_safe(grp, last, keys).where(F.col("_grp") < F.col("_last")).drop("_last")
     return grp.select(*keys, "team", "jersey_number", "ts_start", "ts_end",
                       ((F.col("ts_end") - F.col("ts_start")) / F.lit(1000.0)).alias("duration"),
                       "v_init", "max_acc", "max_speed")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchload.functions import scalar as S
-from pitchload.operators.sequence import (BUCKET_MS, HALO, SEG, SEGMENT_ROWS, number_rows,
+from pitchload.operators.sequence import (BUCKET_MS, HALO, SEG, SEGMENT_ROWS, join_null_safe, number_rows,
                                           seg_window, segment)
 
 # ---- fixed values (must equal the reference's) ----
@@ -135,7 +135,7 @@ def event_flags(rows: DataFrame, keys: list[str], ts: str = "ts_ms", speed: str
     key's first row is the stream's first row, which is never good."""
     r = ensure_rn(rows, keys, ts)
     first = r.groupBy(*keys).agg(F.min("rn").alias("_first"))
-    d = segment(r.join(first, keys), size=seg_rows, before=1, after=2)
+    d = segment(join_null_safe(r, first, keys), size=seg_rows, before=1, after=2)
     d = _with_flags(d, seg_window(keys), ts, speed, F.col("_first"))
     return _drop_halo(d).drop("_first")
 

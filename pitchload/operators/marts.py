@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchload.functions import scalar as S
+from pitchload.operators.sequence import join_null_safe
 
 RECENT_MS = 120_000          # fixed value: the top table looks back 2 minutes
 TOP_N = 10
@@ -25,7 +26,7 @@ def recent(events: DataFrame, ts: str = "ts_start", window_ms: int = RECENT_MS,
         bound = events.agg((F.max(ts) - F.lit(window_ms)).alias("_lo"))
         return events.crossJoin(F.broadcast(bound)).where(F.col(ts) >= F.col("_lo")).drop("_lo")
     bound = events.groupBy(*scope).agg((F.max(ts) - F.lit(window_ms)).alias("_lo"))
-    return events.join(bound, scope).where(F.col(ts) >= F.col("_lo")).drop("_lo")
+    return join_null_safe(events, bound, scope).where(F.col(ts) >= F.col("_lo")).drop("_lo")
 
 
 def top_recent_percacc(scored: DataFrame, n: int = TOP_N, kickoff_wall_ms: int = KICKOFF_WALL_MS,
@@ -60,7 +61,7 @@ def percacc_share(scored: DataFrame, keys: list[str] = ("player_id",), scope: li
                                     F.max("jersey_number").alias("jersey_number"))
     if scope:
         tot = per.groupBy(*scope).agg(F.sum("percAcc").alias("_tot"))
-        j = per.join(tot, scope)
+        j = join_null_safe(per, tot, scope)
     else:
         j = per.crossJoin(F.broadcast(per.agg(F.sum("percAcc").alias("_tot"))))
     return j.select(
@@ -76,9 +77,13 @@ def top_percacc_share(scored: DataFrame, n: int = TOP_N, keys: list[str] = ("pla
 def event_count(scored: DataFrame, keys: list[str] = ("player_id",)) -> DataFrame:
     """Number of scored events per player and class (count of non-null percAcc)."""
     keys = list(keys)
-    c = scored.groupBy(*keys, "event_class").agg(
+    return event_count_labels(scored.groupBy(*keys, "event_class").agg(
         F.count("percAcc").alias("n_events"), F.max("team").alias("team"),
-        F.max("jersey_number").alias("jersey_number"))
+        F.max("jersey_number").alias("jersey_number")), keys)
+
+
+def event_count_labels(c: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts per player and class (``n_events``, team, jersey_number) as displayed."""
     return c.select(*keys, "event_class", "n_events", S.team_label("team").alias("team"), "jersey_number",
                     S.team_player_label("team", "jersey_number").alias("team_pl")) \
             .orderBy("team", "jersey_number", "event_class")

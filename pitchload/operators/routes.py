@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchload.functions import scalar as S
-from pitchload.operators.sequence import (HALO, SEG, SEGMENT_ROWS, Scan, number_rows, scan,
-                                          seg_window, segment)
+from pitchload.operators.sequence import (HALO, SEG, SEGMENT_ROWS, Scan, join_null_safe, number_rows,
+                                          scan, seg_window, segment)
 
 STEP_MS = 40            # fixed value: one frame at 25 Hz
 ROUTE_BUCKET_MS = 10_000
@@ -24,7 +24,7 @@ def event_routes(events: DataFrame, tracking: DataFrame, keys: list[str], ts: st
     ev = events.select(*keys, "ts_start", "ts_end").withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col("ts_start") / bucket_ms), F.floor(F.col("ts_end") / bucket_ms))))
     tr = tracking.withColumn("_b", F.floor(F.col(ts) / bucket_ms))
-    return (tr.join(ev, on=[*keys, "_b"], how="inner")
+    return (join_null_safe(tr, ev, [*keys, "_b"])
             .where(F.col(ts).between(F.col("ts_start"), F.col("ts_end")))
             .drop("_b"))
 
@@ -43,7 +43,7 @@ def route_segments(routes: DataFrame, keys: list[str], ts: str = "ts_ms", step_m
     s = scan(s, keys, [Scan("segment_id", "_brk", "cumsum")], rn="_r", size=seg_rows)
     if drop_last:
         last = s.groupBy(*keys).agg(F.max("segment_id").alias("_last"))
-        s = s.join(last, on=keys).where(F.col("segment_id") < F.col("_last")).drop("_last")
+        s = join_null_safe(s, last, keys).where(F.col("segment_id") < F.col("_last")).drop("_last")
     return s.select(*keys, "segment_id", "ts_start", ts, S.shift_pitch_x("x").alias("x"),
                     S.shift_pitch_y("y").alias("y"), *[c for c in ("speedzone",) if c in s.columns])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchload.functions import scalar as S
-from pitchload.operators.sequence import SEGMENT_ROWS, Scan, scan
+from pitchload.operators.sequence import SEGMENT_ROWS, Scan, join_null_safe, scan
 
 
 def zone_distance(enriched: DataFrame, zone: str = "speedzone",
@@ -35,7 +35,7 @@ def zone_running(enriched: DataFrame, keys: list[str], zone: str = "speedzone",
     out = scan(d, keys, [Scan(f"dist_{z}", f"_d{z}", "cumsum") for z in zones], rn=rn, size=seg_rows)
     if first_rn is None:
         first = out.groupBy(*keys).agg(F.min(rn).alias("_first"))
-        out = out.join(first, keys).where(F.col(rn) > F.col("_first")).drop("_first")
+        out = join_null_safe(out, first, keys).where(F.col(rn) > F.col("_first")).drop("_first")
     else:
         out = out.where(F.col(rn) > first_rn)
     return out.drop(*[f"_d{z}" for z in zones])

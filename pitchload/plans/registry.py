@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -883,20 +884,37 @@ def st_ttl_cache(spark, sf):
     return _since_kickoff(FS.read_tracking_cache(spark, f"{sink}/cache", schema), _CACHE_COLS)
 
 
-@q("st_periodic_refresh", SCO(f'SELECT {EV_SQL}, event_class, "percAcc" FROM scored'))
+_MARTS_SQL = " UNION ALL ".join([
+    f"""SELECT 'top' AS mart, "player" AS item, "event start" AS part, "percAcc" AS value FROM ({_display_sql('scored', True)})""",
+    f"""SELECT 'share', team_pl, '', "percAccperc" FROM ({_SHARE_SQL})""",
+    f"""SELECT 'count', team_pl, event_class, CAST(n_events AS DOUBLE) FROM ({ORACLE['agg_event_count']})""",
+    f"""SELECT 'km', team_pl, CAST(CAST(speedzone AS INTEGER) AS VARCHAR), dist FROM ({ORACLE['agg_zone_km']})""",
+    f"""SELECT 'labels', team_pl, '', CAST(player_id AS DOUBLE) FROM ({_PLAYERS_SQL})"""])
+
+
+@q("st_periodic_refresh", _MARTS_SQL)
 def st_periodic_refresh(spark, sf):
-    """The dashboard's refresh: one query with a processing-time trigger sees each part as it arrives."""
-    from pitchload.streaming import live
+    """The dashboard's refresh: one live query with a processing-time trigger sees each part as it arrives,
+    and its marts are brought up to date after each; what the five marts show at the end, as rows."""
+    from pitchload.streaming import live, refresh
     c = _chain(spark, sf)
-    src, sink = D.scratch(spark, "live-src"), D.scratch(spark, "live-sink")
+    src, sink, store = D.scratch(spark, "live-src"), D.scratch(spark, "live-sink"), D.scratch(spark, "marts")
     arrive = _arrivals(spark, c, src)
     arrive(0)
     query = live.start_live(spark, src, sink, c.thresholds(), name=f"live-{uuid.uuid4().hex[:10]}", available_now=False, processing_time="1 second")
     try:
         for k in range(1, PARTS + 1):
             query.processAllAvailable()
+            refresh.refresh(spark, sink, store, KEYS)
             if k < PARTS:
                 arrive(k)
     finally:
         query.stop()
-    return _since_kickoff(live.committed(spark, sink, "scored"), EV_COLS + ["event_class", "percAcc"])
+    m = refresh.marts(spark, store, KEYS, kickoff_wall_ms=M.KICKOFF_WALL_MS - KICKOFF_EPOCH_MS)
+    shown = [("top", "top_recent_percacc", F.col("player"), F.col("`event start`"), F.col("percAcc")),
+             ("share", "percacc_share", F.col("team_pl"), F.lit(""), S.round_half_even("percAccperc", 6)),
+             ("count", "event_count", F.col("team_pl"), F.col("event_class"), F.col("n_events").cast("double")),
+             ("km", "zone_km", F.col("team_pl"), F.col("speedzone").cast("int").cast("string"), F.col("dist")),
+             ("labels", "player_labels", F.col("team_pl"), F.lit(""), F.col("player_id").cast("double"))]
+    return reduce(DataFrame.unionByName, [m[t].select(F.lit(name).alias("mart"), item.alias("item"), part.alias("part"), value.alias("value"))
+                                          for name, t, item, part, value in shown])

@@ -40,9 +40,9 @@ def marked(spark: SparkSession, sink: str) -> list[int]:
     return sorted(int(n) for n in children(spark, f"{sink}/_commits") if n.isdigit())
 
 
-def read(spark: SparkSession, sink: str, table: str) -> DataFrame:
-    """Rows of ``sink/table`` of the marked batches (column ``batch_id`` included)."""
-    batches = marked(spark, sink)
+def read(spark: SparkSession, sink: str, table: str, batches: list[int] | None = None) -> DataFrame:
+    """Rows of ``sink/table`` of the marked batches, or of the given ones (column ``batch_id`` included)."""
+    batches = marked(spark, sink) if batches is None else batches
     if not batches:
         raise FileNotFoundError(f"no finished batch in {sink}")
     return spark.read.option("basePath", f"{sink}/{table}").parquet(*[f"{sink}/{table}/batch_id={b}" for b in batches])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pitchload.operators import events as E
 from pitchload.operators import kinematics as K
 from pitchload.operators.sequence import SEG
+from pitchload.plans.batch import Chain
 from pitchload.session import cut
 from pitchload.sources import tables
 from tests.conftest import SF01
@@ -51,3 +52,25 @@ def test_match_and_player_keys(spark):
     for m in (1, 2):
         got = sorted(tuple(r) for r in c2.merged().where(F.col("match_id") == m).select(*cols).collect())
         assert got == one and len(got) == 151
+
+
+def test_a_null_player_keeps_its_events(spark):
+    """Rows without player_id are a key of their own through the whole chain: they get what player 3 gets."""
+    from pitchload.operators import routes as RT
+    from pitchload.operators import zones as ZN
+    base = Chain(spark, SF01)
+    player = F.when(F.col("player_id") != 3, F.col("player_id"))
+    lost = Chain(spark, SF01, source=cut(base.raw().withColumn("player_id", player), "null-player"))
+
+    def rows(chain, make, key):
+        df = make(chain)
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+                      for r in df.where(F.col("player_id").eqNullSafe(key)).drop("player_id").collect())
+    makes = [lambda c: c.extracted().select("player_id", "ts_start", "ts_end", "v_init", "max_acc", "max_speed"),
+             lambda c: c.merged().select("player_id", "ts_start", "ts_end", "v_init", "max_acc", "max_speed"),
+             lambda c: ZN.zone_running(c.rows(), ["player_id"]).select("player_id", "ts_ms", "dist_1", "dist_5"),
+             lambda c: RT.route_segments(RT.event_routes(c.merged(), c.raw(), ["player_id"]), ["player_id"])
+             .select("player_id", "ts_ms", "segment_id")]
+    for make in makes:
+        want = rows(base, make, 3)
+        assert rows(lost, make, None) == want and want
