@@ -28,6 +28,7 @@ from pitchload.plans import oracle as O
 from pitchload.plans.batch import Chain
 from pitchload.session import cut
 from pitchload.sinks import keyed_log as KL
+from pitchload.sinks import tables as TB
 from pitchload.sinks import writers as W
 from pitchload.sources import files as FS
 
@@ -282,7 +283,9 @@ def flt_min_percacc(spark, sf):
 
 @q("flt_player", SCO(f'SELECT {EV_SQL}, "percAcc" FROM scored WHERE player_id = {FOCUS_PLAYER}'))
 def flt_player(spark, sf):
-    return _chain(spark, sf).scored().where(F.col("player_id") == FOCUS_PLAYER).select(*EV_COLS, "percAcc")
+    """One player's events from the stored, bucketed table: one bucket is read."""
+    table = TB.store_events(_chain(spark, sf).scored(), D.scratch(spark, "events-bucketed"), KEYS)
+    return TB.events_of(spark, table, FOCUS_PLAYER).select(*EV_COLS, "percAcc")
 
 
 @q("flt_recent", SCO(f'SELECT {EV_SQL}, "percAcc" FROM scored WHERE ts_start >= (SELECT max(ts_start) - 120000 FROM scored)'))
@@ -460,7 +463,12 @@ def _routes(spark, sf):
 
 @q("join_event_routes", _ROUTE_SQL)
 def join_event_routes(spark, sf):
-    return _routes(spark, sf).select("player_id", "ts_start", "ts_ms", "x", "y", "speedzone")
+    """Routes of the stored events over the stored tracking rows: both bucketed alike, no exchange under the join."""
+    c, folder = _chain(spark, sf), D.scratch(spark, "routes")
+    ev = c.scored().where(F.col("percAcc") > S.MIN_PERCACC_ROUTE).select("player_id", "ts_start", "ts_end")
+    tracking = TB.store_by_time(c.enriched().select("player_id", "ts_ms", "x", "y", "speedzone"), f"{folder}/tracking", KEYS)
+    events = TB.store_by_time(ev, f"{folder}/events", KEYS, "ts_start", "ts_end")
+    return TB.stored_routes(spark, events, tracking, KEYS).select("player_id", "ts_start", "ts_ms", "x", "y", "speedzone")
 
 
 @q("fn_shift_pitch", SCO(f"""SELECT player_id, ts_start, ts_ms, x + 52.5e0 AS x, y + 34e0 AS y FROM ({_ROUTE_SEL})"""))
@@ -669,14 +677,20 @@ def sink_event_append(spark, sf):
 @q("sink_zone_upsert", ENR("""SELECT team, jersey_number, speedzone AS "speedZone", round_even(sum(dist), 6) AS total_distance
   FROM enriched WHERE speedzone IS NOT NULL GROUP BY ALL"""))
 def sink_zone_upsert(spark, sf):
+    """Totals upserted after each of six micro-batches, compacted on the way, and the latest value per key."""
+    keys = ["team", "jersey_number", "speedZone"]
     e = _chain(spark, sf).rows()
+    span = e.agg((F.max("ts_ms") + 1).alias("_hi"))                      # one row
+    part = F.expr("ts_ms * 6 div _hi").alias("part")
+    shares = cut(Z.zone_distance(e.crossJoin(F.broadcast(span)).select("*", part), group=("part", "team", "jersey_number")), "zone-shares")
     path = D.scratch(spark, "zone-sink")
-    half = e.agg(F.floor((F.min("ts_ms") + F.max("ts_ms")) / 2).alias("_m"))
-    first = e.crossJoin(F.broadcast(half)).where(F.col("ts_ms") <= F.col("_m")).drop("_m")
-    W.zone_upsert(Z.zone_distance(first), 0, path)      # totals after the first micro-batch
-    W.zone_upsert(Z.zone_distance(e), 1, path)          # updated totals after the second
-    out = W.read_latest(spark, path, ["team", "jersey_number", "speedZone"])
-    return out.select("team", "jersey_number", "speedZone", S.round_half_even("total_distance", 6).alias("total_distance"))
+    for batch in range(6):
+        so_far = shares.where(F.col("part") <= batch)
+        touched = shares.where(F.col("part") == batch).select(*keys)
+        W.zone_upsert(so_far.groupBy(*keys).agg(F.sum("total_distance").alias("total_distance")).join(touched, keys, "left_semi"), batch, path)
+        W.zone_compact(spark, path, keys)
+    out = W.read_latest(spark, path, keys)
+    return out.select(*keys, S.round_half_even("total_distance", 6).alias("total_distance"))
 
 
 @q("sink_csv_first_n", SCO("""SELECT player_id, ts_start, ts_end, duration, event_class, "percAcc"

@@ -7,6 +7,8 @@ file system (Hadoop's, so any store that Spark writes to). Readers list the mark
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,6 +29,26 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file by one rename: readers see all of it or the file is not there."""
+    fs, p = file_system(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, p):
+        raise OSError(f"cannot write {path}")
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def mark(spark: SparkSession, sink: str, batch_id: int) -> None:
     fs, p = file_system(spark, f"{sink}/_commits/{batch_id}")
     fs.create(p, True).close()

@@ -6,6 +6,9 @@ retry), so a restarted or re-tried batch does not duplicate rows.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +53,59 @@ def zone_upsert(batch: DataFrame, batch_id: int, path: str) -> None:
     batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_latest(spark, path: str, keys: list[str]) -> DataFrame:
-    """Latest value per key from a ``zone_upsert`` table (max_by per key: map-side partial)."""
-    t = spark.read.parquet(path)
+FAN = 4   # runs of one level that are merged into one of the next
+
+
+def _manifest(spark, path: str) -> tuple[int, dict]:
+    """(version, {runs: [[folder, level]] from old to new, upto: last batch in them}); version 0 if there is none."""
+    versions = [int(n.removesuffix(".json")) for n in commits.children(spark, f"{path}/_levels") if n.endswith(".json") and not n.startswith(".")]
+    if not versions:
+        return 0, {"runs": [], "upto": -1}
+    return max(versions), json.loads(commits.get_text(spark, f"{path}/_levels/{max(versions)}.json"))
+
+
+def _batches_after(spark, path: str, upto: int) -> list[int]:
+    found = (n.removeprefix("batch_id=") for n in commits.children(spark, path) if n.startswith("batch_id="))
+    return sorted(int(n) for n in found if int(n) > upto)
+
+
+def _latest(t: DataFrame, keys: list[str]) -> DataFrame:
     vals = [c for c in t.columns if c not in keys and c != "batch_id"]
-    agg = t.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in vals])
-    return agg
+    return t.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in vals], F.max("batch_id").alias("batch_id"))
+
+
+def read_latest(spark, path: str, keys: list[str]) -> DataFrame:
+    """Latest value per key of a ``zone_upsert`` table (max_by per key: map-side partial): the runs of the
+    manifest and the batches after them. A run has one row per key, and there are at most ``FAN - 1`` runs a
+    level (as many batches beside them), so what is read grows with the keys and the logarithm of the batches."""
+    _, manifest = _manifest(spark, path)
+    folders = [name for name, _ in manifest["runs"]] + [f"batch_id={b}" for b in _batches_after(spark, path, manifest["upto"])]
+    return _latest(spark.read.parquet(*[f"{path}/{f}" for f in folders]), keys).drop("batch_id")
+
+
+def zone_compact(spark, path: str, keys: list[str], fan: int = FAN) -> bool:
+    """Levelled compaction of a ``zone_upsert`` table: the newest ``fan`` runs of one level become one run of
+    the next, as often as there are so many. The new manifest counts from its rename on. Folders that the
+    manifest before still names stay until the next compaction, so a read under way finds its files; a
+    batch that is run again after it was merged changes nothing."""
+    version, manifest = _manifest(spark, path)
+    fresh = _batches_after(spark, path, manifest["upto"])
+    runs = [tuple(r) for r in manifest["runs"]] + [(f"batch_id={b}", 0) for b in fresh]
+    before = {name for name, _ in runs}
+    while len(runs) >= fan and len({level for _, level in runs[-fan:]}) == 1:
+        merged, level = f"run-{uuid.uuid4().hex}", runs[-1][1] + 1
+        _latest(spark.read.parquet(*[f"{path}/{name}" for name, _ in runs[-fan:]]), keys).write.parquet(f"{path}/{merged}")
+        runs[-fan:] = [(merged, level)]
+    if {name for name, _ in runs} == before:
+        return False
+    commits.put_text(spark, f"{path}/_levels/{version + 1}.json", json.dumps({"runs": runs, "upto": max(fresh)}))
+    named = {name for name, _ in runs} | before
+    for name in commits.children(spark, path):
+        if name.startswith(("run-", "batch_id=")) and name not in named and name not in {f"batch_id={b}" for b in _batches_after(spark, path, max(fresh))}:
+            commits.delete(spark, f"{path}/{name}")
+    for old in range(1, version):
+        commits.delete(spark, f"{path}/_levels/{old}.json")
+    return True
 
 
 SLOT_MS = 4_000   # event time that one cached value and one folder of the cache span (100 frames at 25 Hz)

@@ -40,7 +40,7 @@ from pitchload.operators.zones import zone_distance
 from pitchload.session import checkpoint_dir, cut, rocksdb_state
 from pitchload.sinks import commits
 from pitchload.sinks.keyed_log import stream_log
-from pitchload.sinks.writers import cache_expire, cache_write
+from pitchload.sinks.writers import cache_expire, cache_write, zone_compact, zone_upsert
 
 _I, _L, _D, _S = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
 
@@ -364,10 +364,14 @@ def zone_totals_stream(spark: SparkSession, enriched_path: str, sink: str, name:
 
     The folder's batches must be complete: a batch that the live job writes again under new
     file names is new input here (``zone_totals`` is safe against that)."""
-    from pitchload.sinks.writers import zone_upsert
     src = spark.readStream.schema(SCH.ENRICHED_STREAM).parquet(enriched_path)
     agg = spark.sql(ZONE_SQL, enriched=src)
-    return _started(agg.writeStream.outputMode("update").foreachBatch(lambda b, i: zone_upsert(b, i, sink)), spark, name, available_now)
+
+    def upsert(batch: DataFrame, batch_id: int):
+        zone_upsert(batch, batch_id, sink)
+        zone_compact(spark, sink, ["team", "jersey_number", "speedZone"])
+
+    return _started(agg.writeStream.outputMode("update").foreachBatch(upsert), spark, name, available_now)
 
 
 #: how far event time may lag behind the newest event before an event counts as late

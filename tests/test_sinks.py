@@ -77,3 +77,25 @@ def test_markers_and_unmarked_batches(spark):
     commits.mark(spark, d, 1)
     commits.unmark(spark, d, 0)
     assert commits.marked(spark, d) == [1] and commits.read(spark, d, "t").count() == 2
+
+
+def test_compaction_bounds_the_runs_and_keeps_readers_going(spark):
+    """30 batches of upserts: the latest values stay right at any time, few folders are read, and a read
+    that began before a compaction ends after it."""
+    d, keys, want = tempfile.mkdtemp(dir="/tmp") + "/z", ["team", "jersey_number", "speedZone"], {}
+    schema, reader = "team int, jersey_number int, speedZone int, total_distance double", None
+    for b in range(21):
+        rows = [(0, b % 5, 1, float(b)), (None, 7, 2, b / 2)]
+        want |= {r[:3]: r[3] for r in rows}
+        W.zone_upsert(spark.createDataFrame(rows, schema).coalesce(1), b, d)
+        if reader is not None:
+            assert W.zone_compact(spark, d, keys) == (b % 4 == 3)
+            assert sorted(map(str, reader.collect())) == sorted(map(str, before))
+        reader = W.read_latest(spark, d, keys)
+        before = reader.collect()
+        assert {tuple(r[:3]): r[3] for r in before} == want
+        version, manifest = W._manifest(spark, d)
+        assert len(manifest["runs"]) + len(W._batches_after(spark, d, manifest["upto"])) <= 9
+    assert [level for _, level in manifest["runs"]] == [2, 1] and version == 5
+    W.zone_upsert(spark.createDataFrame([(0, 3, 1, 3.0)], schema), 3, d)      # batch 3 is run again
+    assert {tuple(r[:3]): r[3] for r in W.read_latest(spark, d, keys).collect()} == want
