@@ -32,8 +32,8 @@ def filter_min_action(events: DataFrame) -> DataFrame:
                         & (F.col("max_speed") - F.col("v_init") > F.lit(S.MIN_SPEED_INCREASE_ACTION)))
 
 
-# Accuracy of the quantile sketch that brackets a median: ranks are right to n / ACCURACY.
-ACCURACY = 10_000
+CELLS = 1_024     # cells that a span of values is cut into
+LEVELS = 3
 
 
 def _interp(lo, hi):
@@ -44,33 +44,40 @@ def _interp(lo, hi):
 def exact_medians(df: DataFrame, cols: list[str], outs: list[str]) -> DataFrame:
     """Exact medians of several columns as one row (pandas ``describe()['50%']``).
 
-    Spark's ``median`` merges every distinct value in one task. Here a mergeable quantile
-    sketch gives two values that surely enclose the median (its rank error is known), used
-    as literals; one pass counts the values below them and, by value, those between, about
-    0.06 % of the rows. A value repeated in many rows is one counted row. Every table size
-    takes this plan. NULLs are left out; a column without values has a NULL median.
+    Spark's ``median`` merges every distinct value in one task. Here the value of a rank is found by
+    refinement: the span between the smallest and the largest value is cut into ``CELLS`` cells of equal
+    width, one pass counts the values of each cell (a partial aggregate; with the cell's own smallest and
+    largest value), and the cell that holds the rank is the next span. ``LEVELS`` passes narrow a span by
+    ``CELLS ** LEVELS``; the last pass counts what is left by value. The windows that add up counts see
+    ``CELLS`` rows a column, and the spans are a few rows that are broadcast. All of it is one plan: nothing
+    is computed while planning, and counts, minima and maxima are the same however often a plan is run.
+    NULLs and NaN are left out, as pandas does; a column without values has a NULL median.
     """
-    n = df.agg(*[F.count(c).alias(c) for c in cols]).first()
-    about = [2 / ACCURACY + 2 / max(n[c], 1) for c in cols]
-    bound = df.agg(*[F.percentile_approx(c, [max(0.0, 0.5 - e), min(1.0, 0.5 + e)], ACCURACY).alias(c)
-                     for c, e in zip(cols, about)]).first()
-    between = []
-    for i, c in enumerate(cols):
-        lo, hi = bound[c] or (None, None)
-        v = F.col(c).cast("double")
-        near = F.when(v >= F.lit(lo), v)                     # NULL: below
-        between.append(F.when(v <= F.lit(hi), F.struct(F.lit(i).alias("_k"), near.alias("_v"))))
-    counts = (df.select(F.explode(F.filter(F.array(*between), lambda s: s.isNotNull())).alias("s"))
-              .groupBy("s._k", "s._v").agg(F.count(F.lit(1)).alias("_c")))
-    upto = F.sum("_c").over(Window.partitionBy("_k").orderBy(F.col("_v").asc_nulls_first()))
-    ranked = counts.withColumn("_hi", upto)
-
-    def at(i, c, rank):
-        inside = (F.col("_k") == i) & (F.col("_hi") >= rank) & (F.col("_hi") - F.col("_c") < rank)
-        return F.max(F.when(inside, F.col("_v")))
-
-    return ranked.agg(*[_interp(at(i, c, (n[c] + 1) // 2), at(i, c, (n[c] + 2) // 2)).alias(o)
-                        for i, (c, o) in enumerate(zip(cols, outs))])
+    each = [F.when(~F.isnan(F.col(c).cast("double")), F.struct(F.lit(i).alias("_k"), F.col(c).cast("double").alias("_v"))) for i, c in enumerate(cols)]
+    values = df.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("_x")).select("_x._k", "_x._v").where("_v IS NOT NULL")
+    span = values.groupBy("_k").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    # the two middle ranks of each column
+    span = span.select("_k", "_lo", "_hi", F.explode(F.array(F.lit(0), F.lit(1))).alias("_t"), "_n") \
+        .select("_k", "_t", "_lo", "_hi", F.expr("(_n + 1 + _t) div 2").alias("_rank"))
+    group = ["_k", "_t", "_rank"]
+
+    def pick(counts: DataFrame, order: str) -> DataFrame:
+        upto = F.sum("_c").over(Window.partitionBy("_k", "_t").orderBy(order))
+        return counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_c") < F.col("_rank")))
+
+    def inside(span: DataFrame) -> DataFrame:
+        s = F.broadcast(span.withColumnRenamed("_k", "_sk"))                 # two rows a column
+        return values.join(s, (F.col("_k") == F.col("_sk")) & F.col("_v").between(F.col("_lo"), F.col("_hi"))).drop("_sk")
+
+    half = lambda c: F.col(c) / F.lit(2.0)  # noqa: E731  (differences of halves stay finite)
+    share = F.when(F.col("_hi") > F.col("_lo"), (half("_v") - half("_lo")) / (half("_hi") - half("_lo"))).otherwise(F.lit(0.0))
+    for _ in range(LEVELS):
+        cells = inside(span).withColumn("_cell", F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
+        counts = cells.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        span = pick(counts, "_cell").select("_k", "_t", "_lo", "_hi", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"))
+    found = pick(inside(span).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")), "_v")
+    at = lambda i, t: F.max(F.when((F.col("_k") == i) & (F.col("_t") == t), F.col("_v")))
+    return found.agg(*[_interp(at(i, 0), at(i, 1)).alias(o) for i, o in enumerate(outs)])
 
 
 def exact_median(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

@@ -178,21 +178,24 @@ def scan(df: DataFrame, keys: list[str], specs: list[Scan], rn: str = "rn",
     return j.select("*", *outs).drop(*drop)
 
 
+RANK_CELLS = 4_096
+
+
 def dense_rank_global(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Dense rank (1..k) of the distinct values of ``col`` over the whole table.
+    """Dense rank (1..k) of the distinct values of the numeric ``col`` over the whole table.
 
-    A global ``dense_rank()`` window runs in one task; here the distinct values are cut
-    into ranges at fixed bounds (quantiles, used as literals), ranked inside each range,
-    and shifted by the counts of the ranges before it (one row per range, broadcast). A
-    value's range follows from the value alone, however often a plan is computed.
+    A global ``dense_rank()`` window runs in one task; here the span of the values is cut into
+    ``RANK_CELLS`` cells of equal width, the distinct values are ranked inside each cell and shifted by
+    the counts of the cells before it (one row per cell, broadcast). The span is an aggregate of the same
+    plan (one row), so nothing is computed while planning and a value's cell follows from the value and
+    the table's extremes alone, however often a plan is computed.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = df.select(col).where(F.col(col).isNotNull()).distinct()
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = sorted(set(v.agg(F.percentile_approx(col, shares, 10_000)).first()[0] or []))
-    v = v.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(col))) if bounds else F.lit(0))
-    v = v.withColumn("_lr", F.row_number().over(Window.partitionBy("_p").orderBy(col)))
+    span = df.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col(col).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
+    v = v.crossJoin(F.broadcast(span)).withColumn("_p", F.floor(share * (RANK_CELLS - 1))).select(col, "_p")
     cnt = v.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     offs = cnt.select("_p", F.coalesce(F.sum("_c").over(
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    v = v.withColumn("_lr", F.row_number().over(Window.partitionBy("_p").orderBy(col)))
     return v.join(F.broadcast(offs), "_p").select(col, (F.col("_off") + F.col("_lr")).cast("int").alias(out))

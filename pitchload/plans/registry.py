@@ -219,9 +219,15 @@ def win_extract_events(spark, sf):
     return _chain(spark, sf).extracted().select(*EV_COLS)
 
 
-@q("flt_positive_duration", EXT(f"SELECT {EV_SQL} FROM extracted WHERE duration > 0"))
+@q("flt_positive_duration", EXT(f"SELECT {EV_SQL} FROM extracted WHERE duration > 0 AND ts_start % 3 > 0"))
 def flt_positive_duration(spark, sf):
-    return _chain(spark, sf).extracted().where(F.col("duration") > 0).select(*EV_COLS)
+    """Extraction gives no event without length, so the events that start on a third of the times are
+    cut to their start first; the merge's filter takes them out."""
+    ev = _chain(spark, sf).extracted()
+    cut_off = F.col("ts_start") % 3 == 0
+    ev = ev.withColumn("ts_end", F.when(cut_off, F.col("ts_start")).otherwise(F.col("ts_end"))) \
+           .withColumn("duration", F.when(cut_off, 0.0).otherwise(F.col("duration")))
+    return ev.where(F.col("duration") > 0).select(*EV_COLS)
 
 
 @q("win_merge_events", MRG(f"SELECT {EV_SQL} FROM merged"))
@@ -698,10 +704,19 @@ def sink_zone_upsert(spark, sf):
 def sink_csv_first_n(spark, sf):
     s = _chain(spark, sf).scored().select("player_id", "ts_start", "ts_end", "duration", "event_class", "percAcc")
     path = D.scratch(spark, "events-csv")
-    W.csv_first_n(s, path, 1201, ["ts_start", "player_id"])
+    W.csv_first_n(s, path, W.CSV_EVENTS, ["ts_start", "player_id"])
     return spark.read.schema(s.schema).option("header", True).csv(path)
 
 
+@q("sink_csv_zones", ENR("SELECT player_id, ts_ms, speedzone, dist FROM enriched ORDER BY ts_ms, player_id LIMIT 11"))
+def sink_csv_zones(spark, sf):
+    """The export of the first 11 zone rows."""
+    e = _chain(spark, sf).rows().select("player_id", "ts_ms", "speedzone", "dist")
+    path = D.scratch(spark, "zones-csv")
+    W.csv_first_n(e, path, W.CSV_ZONE_ROWS, ["ts_ms", "player_id"])
+    return spark.read.schema(e.schema).option("header", True).csv(path)
+
+
 @q("sink_tracking_csv", _PER(f"""SELECT {_iso_sql('r.ts_ms')} AS timestamp, r.team, r.jersey_number, r.x, r.y, r.speed, p.half
 FROM raw r JOIN pds p ON r.frame_no BETWEEN p.start_frame AND p.end_frame"""))
 def sink_tracking_csv(spark, sf):

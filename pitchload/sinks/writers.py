@@ -16,6 +16,7 @@ from pitchload.sinks import commits
 from pitchload.sources.files import META_FIELD
 
 TTL_MS = 120_000   # fixed value: cache retention
+CSV_EVENTS, CSV_ZONE_ROWS = 1_201, 11   # fixed values: rows of the two CSV exports
 
 
 def keyed_values(df: DataFrame, keys: list[str], order: str = "ts_start") -> DataFrame:

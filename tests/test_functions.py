@@ -109,3 +109,18 @@ def test_null_keys_stay(spark):
     rows = number_rows(df, ["k"], ["ts"], F.floor(F.col("ts") / 1000))
     got = sorted((str(r.k), str(r.ts), r.rn, r.f) for r in scan(rows, ["k"], [Scan("f", "v", "ffill")]).collect())
     assert got == [("1", "10", 2, 4), ("1", "None", 1, 4), ("None", "5", 1, 2), ("None", "7", 2, 2)]
+
+
+def test_medians_against_sorting(spark):
+    """Clustered, repeated, extreme and missing values; nothing runs while planning."""
+    import random
+    r = random.Random(5)
+    rows = [(r.choice([1e-300, 1e300, -1e300, 0.0, 5.0, r.random(), 1 + r.random() * 1e-12]), r.gauss(0, 1) ** 5, None, float("nan")) for _ in range(2001)]
+    rows += [(float("nan"), None, None, None)] * 7
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(7)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    frame = SC.exact_medians(df, ["a", "b", "c", "d"], ["a", "b", "c", "d"])
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    want = [sorted(x[i] for x in rows if x[i] is not None and x[i] == x[i])[1000] for i in (0, 1)]
+    assert tuple(frame.first()) == (*want, None, None)
