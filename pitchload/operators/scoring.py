@@ -32,8 +32,8 @@ def filter_min_action(events: DataFrame) -> DataFrame:
                         & (F.col("max_speed") - F.col("v_init") > F.lit(S.MIN_SPEED_INCREASE_ACTION)))
 
 
-CELLS = 1_024     # cells that a span of values is cut into
-LEVELS = 3
+CELLS = 4_096     # cells that a span of values is cut into
+LEVELS = 2
 
 
 def _interp(lo, hi):
