@@ -211,8 +211,8 @@ def left_over(member: DataFrame, comp: DataFrame, docs: DataFrame, nodes: DataFr
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """`docs` with one row of each near-duplicate class: that of its smallest doc_id (see
     `near_duplicate_classes`); all columns as they were. A repeated row stays once."""
-    chosen = near_duplicate_classes(docs, **how).where("chosen").select("node", F.col("doc_id").alias("one")).distinct()
-    key = "__node"
+    key, one = "__node", "__one"
+    chosen = near_duplicate_classes(docs, **how).where("chosen").select(F.col("node").alias(key), F.col("doc_id").alias(one)).distinct()
     return (docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-            .join(chosen.withColumnRenamed("node", key), key).where(F.col("doc_id").eqNullSafe(F.col("one")))
-            .drop("one").dropDuplicates([key]).select(*docs.columns))
+            .join(chosen, key).where(F.col("doc_id").eqNullSafe(F.col(one)))
+            .dropDuplicates([key]).select(*docs.columns))

@@ -109,3 +109,10 @@ def test_estimates_probability_jaccard():
     m = 4096
     sig = [P.sketch(h[v > 0], np.zeros(int((v > 0).sum()), np.int64), v[v > 0], 1, m)[0] for v in (a, b)]
     assert abs((sig[0] == sig[1]).mean() - exact) < 4 * np.sqrt(exact / m)
+
+
+def test_keep_one_with_columns_of_any_name(spark):
+    df = spark.createDataFrame([(2, "a b c d e f", 1, "x"), (1, "a b c d e f", 2, "y"), (3, None, 3, "z")],
+                               "doc_id long, text string, one long, node string")
+    got = sorted(map(tuple, P.keep_one(df).collect()), key=str)
+    assert got == [(1, "a b c d e f", 2, "y"), (3, None, 3, "z")]
