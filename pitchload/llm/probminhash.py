@@ -12,8 +12,8 @@ linear in the bucket's size. Pairs are verified on the whole shingle sets. Membe
 did not reach the class of its centre get a centre of their own in the next round.
 
 Buckets that then still hold several classes are finished by an exact join: their members are compared
-with all members of other classes that can be similar (prefix filter over the rarest shingles, and the
-sizes). So two documents that share a band and reach the similarity are always of one class.
+with all members of other classes that can be similar (places and sizes in a prefix filter over the rarest
+shingles). So two documents that share a band and reach the similarity are always of one class.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ SIMILARITY = 0.8     # of the sets of shingles
 REGISTERS = 96
 ROWS = 3             # registers in a band
 ROUNDS = 2           # centres that a bucket gets before the exact join
+BAND = 1.05          # ratio of the bounds of a size band in the exact join
 
 
 def sketch(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int, m: int = REGISTERS, seed: int = 1) -> np.ndarray:
@@ -161,9 +162,10 @@ def near_duplicate_classes(docs: DataFrame, k: int = SHINGLE, similarity: float
 
 def shingle_table(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(node, sh): the distinct shingles of the nodes in `asked` (node, doc_id of one of its rows)."""
-    text = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("node"))
-    own = (text.join(asked.withColumnRenamed("doc_id", "one"), "node").where(F.col("doc_id").eqNullSafe(F.col("one")))
-           .select("node", "text"))
+    text = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("node")).alias("t")
+    asked = asked.select("node", "doc_id").alias("a")
+    own = (text.join(asked, (F.col("t.node") == F.col("a.node")) & F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")))
+           .select("t.node", "t.text"))
     return cut(own.mapInPandas(_set_batches(k), "node binary, sh array<long>").groupBy("node").agg(F.first("sh").alias("sh")), "sets")
 
 
@@ -184,28 +186,53 @@ def verified(pair: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, similar
 
 
 def left_over(member: DataFrame, comp: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """All similar pairs (node, centre) of different classes among the members of buckets with several classes.
-
-    Of a set of n shingles at least c = ceil(similarity * n) are in every similar set, so two similar
-    sets share one of the first n - c + 1 shingles in any common order. The rarest come first; those of
-    one member only need no join, they just use up places.
-    """
+    """All similar pairs (node, centre) of different classes among the members of buckets with several classes."""
     mine = member.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = mine.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
     open_ = cut(mine.join(mixed, "key").select("node", "comp").distinct(), "open")
     sets = shingle_table(open_.select("node").join(nodes, "node"), docs, k)
-    each = sets.select("node", F.size("sh").alias("n"), F.explode("sh").alias("s"))
-    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    ordered = each.join(often, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o"))
-    places = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("o"))
-    prefix = cut(ordered.withColumn("places", places.cast("int")).where("places > 0")
-                 .join(open_, "node").select("node", "comp", "n", F.explode(F.slice("o", F.lit(1), F.col("places"))).alias("x"))
-                 .select("node", "comp", "n", F.col("x.s").alias("s")), "prefix")
-    other = prefix.select("s", F.col("node").alias("centre"), F.col("comp").alias("far"), F.col("n").alias("m"))
-    fit = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - F.lit(1e-9)
-    pair = cut(prefix.join(other, "s").where((F.col("node") < F.col("centre")) & (F.col("comp") != F.col("far")) & fit)
-               .select("node", "centre").distinct(), "pairs")
-    return similar(pair, sets, similarity)
+    return similar(cut(may_be_similar(sets, open_, similarity), "pairs"), sets, similarity)
+
+
+def may_be_similar(sets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, centre) of different classes, among them all whose `sets` (node, sh) reach the similarity;
+    `classes` is (node, comp).
+
+    Sets of n and m shingles that are similar share at least similarity / (1 + similarity) * (n + m) of them.
+    In any common order, the first shared one therefore stands early enough in both sets that as many are left
+    from there on. The rarest come first; those of one class only need no join, they just use up places. How far
+    a set's shingles go into the join depends on the partner's size, so the key has, next to the shingle, the
+    size bands of both: a copy with too many places of its own meets none of the group it was copied from. In a
+    key's group the members of its largest class are not paired with each other, nor is a group of one class.
+    """
+    share = similarity / (1 + similarity)
+    band = lambda size: F.floor(F.log(size) / F.lit(float(np.log(BAND)))).cast("int")
+    each = sets.select("node", F.size("sh").alias("n"), F.explode("sh").alias("s")).join(classes, "node")
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    ordered = (each.join(often.where("a <> b").select("s", "f"), "s").groupBy("node", "comp", "n")
+               .agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o")))
+    least = F.greatest(F.pow(F.lit(BAND), F.col("far")), F.lit(similarity) * F.col("n")) * (1 - 1e-9)   # partner's size
+    places = F.floor(F.col("n") - share * (F.col("n") + least) + 1e-6) + 1 - (F.col("n") - F.size("o"))
+    prefix = (ordered.withColumn("band", band(F.col("n")))
+              .withColumn("far", F.explode(F.sequence(band(F.col("n") * (similarity * (1 - 1e-9))),
+                                                      band(F.col("n") * ((1 + 1e-9) / similarity)))))
+              .withColumn("places", F.least(places, F.size("o")).cast("int")).where("places > 0")
+              .select("node", "comp", "n", "band", "far", F.size("o").alias("shared"),
+                      F.posexplode(F.slice("o", F.lit(1), F.col("places"))).alias("at", "x"))
+              .select("node", "comp", "n", "band", "far", (F.col("shared") - F.col("at")).alias("rest"), F.col("x.s").alias("s"),
+                      F.least("band", "far").alias("lo"), F.greatest("band", "far").alias("hi")))
+    prefix = cut(prefix, "prefix")
+    group = (prefix.groupBy("s", "lo", "hi", "comp").agg(F.count(F.lit(1)).alias("c"))
+             .groupBy("s", "lo", "hi").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("classes"))
+             .where("classes > 1").select("s", "lo", "hi", F.col("top.comp").alias("most")))
+    grouped = prefix.join(group, ["s", "lo", "hi"])
+    one = grouped.where("comp <> most").select("s", "band", "far", "node", "comp", "n", "rest")
+    two = grouped.select("s", F.col("far").alias("band"), F.col("band").alias("far"), F.col("node").alias("centre"), F.col("comp").alias("comp2"),
+                         F.col("n").alias("m"), F.col("rest").alias("rest2"), (F.col("comp") == F.col("most")).alias("main"))
+    enough = F.least("rest", "rest2") >= share * (F.col("n") + F.col("m")) - 1e-6
+    return (one.join(two, ["s", "band", "far"])
+            .where((F.col("comp") != F.col("comp2")) & (F.col("main") | (F.col("node") < F.col("centre"))) & enough)
+            .select("node", "centre").distinct())
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -116,3 +116,42 @@ def test_keep_one_with_columns_of_any_name(spark):
                                "doc_id long, text string, one long, node string")
     got = sorted(map(tuple, P.keep_one(df).collect()), key=str)
     assert got == [(1, "a b c d e f", 2, "y"), (3, None, 3, "z")]
+
+
+def _near_copies(spark, n, seed=3):
+    """Sets of n near copies: half of them in the class of their source, half too far from it and each other."""
+    r = np.random.default_rng(seed)
+    base, rows = r.integers(0, 1 << 40, 150), []
+    for i in range(n):
+        w = base.copy()
+        w[r.choice(150, 6 if i % 2 else 30, False)] = r.integers(1 << 40, 1 << 41, 6 if i % 2 else 30)
+        rows.append((bytearray(i.to_bytes(4, "big")), [int(x) for x in w[:150 - i % 5]], bytearray(b"A" if i % 2 else i.to_bytes(4, "big"))))
+    return spark.createDataFrame(rows, "node binary, sh array<long>, comp binary")
+
+
+def test_pairs_of_a_group_of_near_copies_grow_with_the_group(spark):
+    count = {}
+    for n in (500, 2000):
+        df = _near_copies(spark, n)
+        count[n] = P.may_be_similar(df.select("node", "sh"), df.select("node", "comp"), 0.8).count()
+    assert count[2000] <= 5 * max(count[500], 20)
+
+
+def test_join_keeps_every_similar_pair_of_different_classes(spark):
+    """Sets of many sizes around the similarity, whatever the classes: no pair at 0.8 is missed."""
+    r = random.Random(9)
+    sets = []
+    for _ in range(12):
+        base = [r.randrange(1000) for _ in range(r.choice([1, 2, 5, 9, 40, 90]))]
+        for _ in range(14):
+            w = {r.randrange(2000) if r.random() < r.choice([0, .05, .1, .2]) else x for x in base}
+            w |= {r.randrange(2000) for _ in range(r.randrange(1 + len(base) // 4))}
+            sets.append(w)
+    comp = [r.randrange(60) for _ in sets]
+    df = spark.createDataFrame([(bytearray([i // 256, i % 256]), sorted(w), bytearray([c])) for i, (w, c) in enumerate(zip(sets, comp))],
+                               "node binary, sh array<long>, comp binary")
+    got = {frozenset(256 * x[0] + x[1] for x in (p.node, p.centre))
+           for p in P.may_be_similar(df.select("node", "sh"), df.select("node", "comp"), 0.8).collect()}
+    want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i)
+            if comp[i] != comp[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 50 and want <= got
