@@ -2,14 +2,16 @@
 
 The vocabulary of a trained BPE model gives the merges. Text becomes symbols (a blank is U+2581, one
 stands before the text); adjacent pairs whose union is a piece enter an agenda, the best piece first,
-the leftmost of equals. A candidate that the agenda yields is skipped if a keyed hash of (seed, variant,
-chunk, place) says so; skipped candidates leave the agenda. Characters outside the vocabulary become
-byte pieces, and so does U+2581 itself, so that decoding gives back the text. Without dropout the pieces
-are those of the model's own encoder.
+the leftmost of equals. A candidate that the agenda yields is skipped if a keyed hash of (seed, doc_id,
+place of the chunk in its text, borders of the candidate in the chunk) says so; skipped candidates leave
+the agenda. Characters outside the vocabulary become byte pieces, and so does U+2581 itself, so that
+decoding gives back the text. Without dropout the pieces are those of the model's own encoder.
 
 No piece spans the border between a word and the next blank, or a newline, so chunks (blanks and the
-word behind them) are encoded apart and kept in a bounded cache. Every document gets one of `variants`
-variants from a keyed hash of its text and place; equal chunks of one variant have equal pieces.
+word behind them) are encoded apart. Every occurrence of a chunk draws its own skips. What an agenda does
+depends on the rounds in which it skips only, so a worker keeps, for a chunk and a set of skipped rounds,
+the candidates that follow and the pieces if none of them is skipped. An occurrence first follows the path
+without skips; if it skips a candidate there it goes on with the path behind that skip, and so forth.
 """
 
 from __future__ import annotations
@@ -17,20 +19,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import struct
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchload.llm.textnp import slices, splitmix_int
+from pitchload.llm.textnp import slices, splitmix, splitmix_int
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"    # any BPE model of SentencePiece with byte pieces
-SEED, DROPOUT, VARIANTS = 7, 0.1, 8
-CACHE = 200_000          # chunks that a worker keeps
+SEED, DROPOUT = 7, 0.1
+CACHE = 200_000          # paths in a generation of the cache; two are kept
 SHORT = 64               # characters; a longer chunk has a heap as agenda
-SLICE = 1 << 19          # characters of texts that are encoded together
+ROUNDS = 62              # rounds of an agenda that fit in a set of skips; an occurrence with a later skip has a heap
+SLICE = 1 << 20          # characters of texts that are encoded together
 _BLANK = "▁"
 _chunks = re.compile(r" *[^ \n]+|\n| +")
 _U = np.uint64
@@ -43,7 +45,7 @@ _A, _B, _C, _D = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xB
 class Codec:
     """Encoder and decoder for one model, seed and rate. `proto` is the model file's bytes."""
 
-    def __init__(self, proto: bytes, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, proto: bytes, seed: int = SEED, dropout: float = DROPOUT):
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         size = sp.get_piece_size()
@@ -75,14 +77,17 @@ class Codec:
             self.bytes[i] = pieces[i].replace(_BLANK, " ").encode()
         for b, i in self.byte.items():
             self.bytes[i] = bytes([b])
-        self.seed, self.variants = seed, variants
-        self._salt = [struct.pack("<qq", seed, v) for v in range(variants)]
+        self.seed = seed
         self.limit = int(dropout * (1 << 32))
-        self.cache: dict[int, dict[str, bytes]] = {}
+        self.cache: dict = {}        # (chunk, skipped rounds as bits) -> (candidates behind the last skip, pieces)
+        self.older: dict = {}
 
-    def _key(self, chunk: str, variant: int) -> int:
-        h = hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=8, key=self._salt[variant])
-        return int.from_bytes(h.digest(), "little")
+    def keys(self, docs: list, counts: list[int]) -> np.ndarray:
+        """One key for each chunk of texts with so many chunks: a hash of seed, doc_id and place."""
+        doc = np.array([splitmix_int(self.seed ^ (splitmix_int(1) if d is None else int(d) & _M64)) for d in docs], _U)
+        n = np.array(counts, np.int64)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return splitmix(np.repeat(doc, n) ^ splitmix(place.astype(_U)))
 
     def _skip(self, key, a, b, c):
         """Whether the candidate that joins symbols [a, b) and [b, c) of a chunk is skipped; for ints or arrays."""
@@ -92,18 +97,56 @@ class Codec:
         x = key ^ (a.astype(_U) * _U(_A) + b.astype(_U) * _U(_B) + c.astype(_U) * _U(_C))
         return ((x ^ (x >> _U(29))) * _U(_D)) >> _U(32) < _U(self.limit)
 
-    def chunks(self, chunks: list[str], variant: int) -> list[bytes]:
-        """Piece ids of chunks, as little-endian 32-bit integers."""
+    def chunks(self, chunks: list[str], key: np.ndarray) -> list[bytes]:
+        """Piece ids of chunks with one key each, as little-endian 32-bit integers."""
         out: list = [b""] * len(chunks)
-        short = [k for k, c in enumerate(chunks) if len(c) <= SHORT]
-        if short:
-            for k, got in zip(short, self._by_array([chunks[k] for k in short], variant)):
-                out[k] = got
-        for k, c in enumerate(chunks):
-            if len(c) > SHORT:
-                out[k] = self._pack(self._by_heap(self._ids([c])[0].tolist(), self._key(c, variant)))
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        late = np.flatnonzero(size > SHORT).tolist()
+        at = np.flatnonzero(size <= SHORT)
+        known: dict = {}
+        own = np.fromiter((known.setdefault(chunks[k], len(known)) for k in at.tolist()), np.int64, len(at))
+        names = [(c, 0) for c in known]                  # own: the place of an occurrence's name
+        while len(at):
+            paths = self._paths(names)
+            n = np.fromiter((len(p[0]) for p in paths), np.int64, len(paths)) >> 2
+            step = np.frombuffer(b"".join([p[0] for p in paths]), "<i4").astype(np.int64)
+            m = n[own]
+            row = np.repeat(np.arange(len(own)), m)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+            x = step[np.repeat((np.cumsum(n) - n)[own], m) + place]
+            hit = np.flatnonzero(self._skip(key[at][row], x >> 14, x >> 7 & 127, x & 127))
+            hit = hit[np.append(True, row[hit][1:] != row[hit][:-1])] if len(hit) else hit     # the first of a row
+            ended = np.ones(len(own), bool)
+            ended[row[hit]] = False
+            for k, u in zip(at[ended].tolist(), own[ended].tolist()):
+                out[k] = paths[u][1]
+            at, (code, own) = at[row[hit]], np.unique(own[row[hit]] << 8 | place[hit], return_inverse=True)
+            turn = [(*names[x >> 8], names[x >> 8][1].bit_length() + (x & 255)) for x in code.tolist()]
+            fits = np.array([t < ROUNDS for _, _, t in turn], bool)
+            late += at[~fits[own]].tolist()
+            names = [(c, mask | 1 << t) for c, mask, t in turn if t < ROUNDS]
+            at, own = at[fits[own]], (np.cumsum(fits) - 1)[own[fits[own]]]
+        for k in late:
+            out[k] = self._pack(self._by_heap(self._ids([chunks[k]])[0].tolist(), int(key[k])))
         return out
 
+    def _paths(self, names: list) -> list:
+        """What is known of different (chunk, skipped rounds); new ones are worked out together."""
+        new = []
+        for name in names:
+            if name in self.cache:
+                continue
+            if name in self.older:
+                self.cache[name] = self.older[name]
+            else:
+                new.append(name)
+        if new:
+            self.cache.update(zip(new, self._by_array([c for c, _ in new], np.array([m for _, m in new], np.int64))))
+        got = [self.cache[name] for name in names]
+        if len(self.cache) > CACHE:
+            self.cache, self.older = {}, self.cache
+        return got
+
     def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the characters (-1 - code point outside the vocabulary) and the chunks' first positions."""
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
@@ -125,11 +168,13 @@ class Codec:
         got = self.pair_values[at]
         return np.where(ok, got >> 24, _NONE), got & 0xFFFFFF
 
-    def _by_array(self, chunks: list[str], variant: int) -> list[bytes]:
-        """The agendas of many chunks at once: in each round every chunk's agenda yields its best candidate.
+    def _by_array(self, chunks: list[str], skips: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """The agendas of many chunks at once: in each round every chunk's agenda yields its best candidate,
+        which is skipped in the rounds that are bits of `skips`.
 
         An agenda is a run of `rank`, priority and position in one integer, so that a run's minimum is
-        the best candidate and the leftmost of equals.
+        the best candidate and the leftmost of equals. Returns the candidates behind the last skip, in order
+        (start, middle, end in 7 bits each), and the pieces, both as 32-bit integers.
         """
         ids, first = self._ids(chunks)
         n, k = len(ids), len(chunks)
@@ -148,7 +193,8 @@ class Codec:
             at = np.flatnonzero(p < _NONE)
             rank[at] = (p[at] << 32) | at
             union[:n - 1] = u
-        key = np.array([self._key(c, variant) for c in chunks], _U) if self.limit else None
+        last = np.array([int(m).bit_length() for m in skips.tolist()])
+        rows_, steps, t = [], [], 0
 
         def renew(a):
             """New candidates of the symbols at a with those behind them."""
@@ -175,9 +221,14 @@ class Codec:
             if self.limit:
                 ch = chunk[i]
                 end = np.where((c < n) & (chunk[np.minimum(c, n - 1)] == ch), local[np.minimum(c, n - 1)], size[ch])
-                skip = self._skip(key[ch], local[i], local[b], end)
-                rank[i[skip]] = _FAR
-                i, b, c = i[~skip], b[~skip], c[~skip]
+                told = last[ch] <= t
+                rows_.append(ch[told])
+                steps.append((local[i] << 14 | local[b] << 7 | end)[told])
+                if t < ROUNDS:
+                    skip = (skips[ch] >> t & 1).astype(bool)
+                    rank[i[skip]] = _FAR
+                    i, b, c = i[~skip], b[~skip], c[~skip]
+            t += 1
             ids[i] = union[i]
             after[i] = c
             alive[b] = False
@@ -205,7 +256,10 @@ class Codec:
         out = [packed[4 * a:4 * b] for a, b in zip((ends - count).tolist(), ends.tolist())]
         for j in np.unique(chunk[left[kept < 0]]).tolist():
             out[j] = self._pack(kept[ends[j] - count[j]:ends[j]].tolist())
-        return out
+        of = np.concatenate(rows_) if rows_ else np.zeros(0, np.int64)
+        path = (np.concatenate(steps) if steps else of)[np.argsort(of, kind="stable")].astype("<i4").tobytes()
+        ends = np.cumsum(np.bincount(of, minlength=k)).tolist()
+        return [(path[4 * a:4 * b], pieces) for a, b, pieces in zip([0] + ends, ends, out)]
 
     def _by_heap(self, ids: list[int], key: int) -> list[int]:
         """The agenda as a heap of (priority, start, middle, end); stale candidates are passed over."""
@@ -246,29 +300,20 @@ class Codec:
             a = after[a]
         return out
 
-    def variant(self, text: str, doc) -> int:
-        h = splitmix_int(self.seed ^ (0 if doc is None else int(doc)) & _M64)
-        return splitmix_int(h ^ len(text)) % self.variants
-
-    def encode_many(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
-        """Piece ids of texts, each by its variant; an empty text has none."""
+    def encode_many(self, texts: list[str], docs: list) -> list[np.ndarray]:
+        """Piece ids of texts, each with its doc_id (or None); an empty text has none."""
         split = [_chunks.findall(" " + t) if t else [] for t in texts]
-        need: dict[int, set] = {}
-        for chunks, v in zip(split, variants):
-            need.setdefault(v, set()).update(set(chunks).difference(self.cache.get(v, ())))
-        for v, new in need.items():
-            have = self.cache.setdefault(v, {})
-            new = list(new)
-            have.update(zip(new, self.chunks(new, v)))
-        out = [np.frombuffer(b"".join(map(self.cache[v].__getitem__, c)), "<i4") if c else np.zeros(0, "<i4")
-               for c, v in zip(split, variants)]
-        if sum(map(len, self.cache.values())) > CACHE:
-            self.cache.clear()
+        counts = [len(c) for c in split]
+        got = self.chunks([c for part in split for c in part], self.keys(docs, counts))
+        out, a = [], 0
+        for n in counts:
+            out.append(np.frombuffer(b"".join(got[a:a + n]), "<i4"))
+            a += n
         return out
 
-    def encode(self, text: str, variant: int = 0) -> list[int]:
+    def encode(self, text: str, doc=0) -> list[int]:
         """Piece ids of one text."""
-        return self.encode_many([text], [variant])[0].tolist()
+        return self.encode_many([text], [doc])[0].tolist()
 
     def decode(self, ids) -> str:
         """The text of piece ids."""
@@ -278,46 +323,46 @@ class Codec:
 _codecs: dict = {}
 
 
-def _codec(proto: bytes, seed: int, dropout: float, variants: int) -> Codec:
+def _codec(proto: bytes, seed: int, dropout: float) -> Codec:
     """One codec per worker process, so that its cache lasts over tasks."""
-    at = (hashlib.md5(proto).digest(), seed, dropout, variants)
+    at = (hashlib.md5(proto).digest(), seed, dropout)
     if at not in _codecs:
         _codecs.clear()
-        _codecs[at] = Codec(proto, seed, dropout, variants)
+        _codecs[at] = Codec(proto, seed, dropout)
     return _codecs[at]
 
 
-def _batches(proto, seed, dropout, variants, keep_ids):
+def _batches(proto, seed, dropout, keep_ids):
     def run(batches):
-        codec = _codec(proto, seed, dropout, variants)
+        codec = _codec(proto, seed, dropout)
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             docs = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
             for a, b in slices(texts, SLICE):
                 rows, part = [], texts[a:b]
-                v = [codec.variant(t, d) for t, d in zip(part, docs[a:b])]
-                for t, k, ids in zip(part, v, codec.encode_many(part, v)):
-                    rows.append((k, len(ids), codec.decode(ids.tolist()) == t, hashlib.sha256(ids.tobytes()).hexdigest(), ids))
-                out = pd.DataFrame(rows, columns=["variant", "n_tokens", "lossless", "ids_sha256", "token_ids"])
+                for t, ids in zip(part, codec.encode_many(part, docs[a:b])):
+                    rows.append((len(ids), codec.decode(ids.tolist()) == t, hashlib.sha256(ids.tobytes()).hexdigest(), ids))
+                out = pd.DataFrame(rows, columns=["n_tokens", "lossless", "ids_sha256", "token_ids"])
                 out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].astype("Int64").array)
                 yield out if keep_ids else out.drop(columns="token_ids")
     return run
 
 
 def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT,
-           variants: int = VARIANTS, keep_ids: bool = True) -> DataFrame:
-    """(doc_id, variant, n_tokens, lossless, ids_sha256, token_ids) for every row of `docs`.
+           keep_ids: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, lossless, ids_sha256, token_ids) for every row of `docs`.
 
     `lossless` says that decoding gave back the text; the digest is of the ids as little-endian 32-bit
     integers. The model file (a path the driver can read) travels to the tasks with the code. A null or
     empty text has no tokens. Rows are judged one by one: repeated rows give equal results, an empty
-    table an empty one; columns other than doc_id and text are ignored.
+    table an empty one; a null doc_id draws like one more id; columns other than doc_id and text are
+    ignored. Of candidates with equal scores the leftmost comes first. A very long text is encoded alone.
     """
     with open(model, "rb") as f:
         proto = f.read()
-    schema = "doc_id long, variant int, n_tokens long, lossless boolean, ids_sha256 string" + ", token_ids array<int>" * keep_ids
+    schema = "doc_id long, n_tokens long, lossless boolean, ids_sha256 string" + ", token_ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        _batches(proto, seed, dropout, variants, keep_ids), schema)
+        _batches(proto, seed, dropout, keep_ids), schema)
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
@@ -327,7 +372,7 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        codec = _codec(proto, SEED, DROPOUT, VARIANTS)
+        codec = _codec(proto, SEED, DROPOUT)
         return ids.map(lambda x: None if x is None else codec.decode(x))
 
     return tokens.withColumn("text", text("token_ids"))

@@ -82,11 +82,51 @@ def test_tokens_round_trip_and_vary(spark, proto):
     assert len(set(ways)) > 1 and other.encode(some[0]) != list(ways[0]) and sp_dropout.Codec(proto).encode(some[0]) == list(ways[0])
 
 
-def test_array_and_heap_agendas_agree(spark, proto):
-    codec = sp_dropout.Codec(proto, dropout=0.3)
-    chunks = sorted({c for t in texts(spark)[:40] for c in sp_dropout._chunks.findall(" " + t) if len(c) <= 64}) + ["▁▁a", " ①②a", "a" * 64]
-    for got, c in zip(codec.chunks(chunks, 3), chunks):
-        assert got == codec._pack(codec._by_heap(codec._ids([c])[0].tolist(), codec._key(c, 3))), c
+def plain_merges(sp, score, codec, chunk, key):
+    """Merge loop over strings; only the keyed hash is the operator's. Returns piece ids."""
+    symbols = [("▁" if c == " " else c, i, i + 1) for i, c in enumerate(chunk)]
+    known = [x[0] in score and chunk[x[1]] != "▁" for x in symbols]
+    skipped = set()
+    while True:
+        can = [(-score[l[0] + r[0]], l[1], k) for k, (l, r) in enumerate(zip(symbols, symbols[1:]))
+               if known[l[1]] and known[r[1]] and l[0] + r[0] in score and (l[1], r[1], r[2]) not in skipped]
+        if not can:
+            break
+        k = min(can)[2]
+        l, r = symbols[k:k + 2]
+        if codec._skip(key, l[1], r[1], r[2]):
+            skipped.add((l[1], r[1], r[2]))
+        else:
+            symbols[k:k + 2] = [(l[0] + r[0], l[1], r[2])]
+    out = []
+    for text, at, _ in symbols:
+        out += [sp.piece_to_id(text)] if known[at] else [sp.piece_to_id(f"<0x{b:02X}>") for b in chunk[at].encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_tokens_against_a_plain_merge_loop(spark, proto, dropout, monkeypatch):
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size())
+             if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    monkeypatch.setattr(sp_dropout, "CACHE", 100)              # generations change all the time
+    codec = sp_dropout.Codec(proto, dropout=dropout)
+    some = [t[:2000] for t in texts(spark)[:25]] + ODD + ["▁▁a ①②a " + "a" * 64 + " " + "international" * 12]
+    got = codec.encode_many(some, list(range(len(some))))
+    for d, (t, ids) in enumerate(zip(some, got)):
+        chunks = sp_dropout._chunks.findall(" " + t) if t else []
+        keys = codec.keys([d], [len(chunks)]).tolist()
+        assert ids.tolist() == [i for c, k in zip(chunks, keys) for i in plain_merges(sp, score, codec, c, k)], t
+
+
+def test_occurrences_of_a_word_differ(proto):
+    codec = sp_dropout.Codec(proto)
+    text = "international " * 300
+    chunks = sp_dropout._chunks.findall(" " + text)
+    words = codec.chunks(chunks, codec.keys([4], [len(chunks)]))
+    assert len(set(words[:300])) > 5 and max(map(words.count, set(words))) > 30
+    assert codec.decode(codec.encode(text, 4)) == text and codec.encode(text, 4) != codec.encode(text, 5)
 
 
 def test_tokens_odd_rows(spark):
