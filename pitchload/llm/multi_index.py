@@ -81,7 +81,7 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """(vec_id, v) of the vectors that take part: not null, of the table's most frequent length (the
     longer of equals), no null or non-finite component, not all zero, with a vec_id."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    v = v.where("vec_id is not null and v is not null and size(v) > 1")
+    v = v.where("vec_id is not null and v is not null and size(v) > 0")
     v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     dim = v.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     return v.where(F.size("v") == (dim.d if dim else 0))
@@ -99,7 +99,10 @@ def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, may: np.ndarray, k:
     if len(rows) > k:
         rough = distances(x[rows], q[None])[:, 0]
         edge = np.partition(rough, k - 1)[k - 1]
-        near = rows[rough <= edge + 1e-9 * (1 + edge)]
+        # what rounding can change in the expanded squares, on both sides of the edge
+        longest = np.sqrt((x[rows] * x[rows]).sum(1).max()) + np.sqrt((q * q).sum())
+        slack = 8 * (len(q) + 8) * np.finfo(float).eps * longest * longest
+        near = rows[rough <= edge + slack + 1e-9 * (1 + edge)] if np.isfinite(slack) else rows
         if len(np.unique(ids[near])) < k:               # repeated vec_ids
             near = rows
     d = x[near] - q
@@ -117,7 +120,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
 
     Both tables are (vec_id, embedding); see `valid` for rows that take no part. A row is no candidate
     for a query of its own vec_id. A repeated vec_id counts once, at its smallest distance; other
-    columns are ignored; an empty table gives an empty table.
+    columns are ignored; an empty table gives an empty table. Of vectors with one component the first half is
+    empty. Candidates are chosen with room for rounding, so an offset common to all vectors loses none.
     """
     spark = vectors.sparkSession
     data = valid(vectors)
@@ -130,14 +134,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
     if not len(rows):
         rows = data.limit(1).select("v").toPandas()
     x = _matrix(rows["v"])
-    half = x.shape[1] // 2
+    half, mean = x.shape[1] // 2, x.mean(0)             # cells are of vectors less the sample's mean
+    x = x - mean
     each = int(min(centroids, max(1, round(PER_ROOT * n ** 0.5))))
-    left, right = kmeans(x[:, :half], each), kmeans(x[:, half:], each)
+    left, right = kmeans(x[:, :half], each if half else 1), kmeans(x[:, half:], each)
 
     def assign(batches):
         for pdf in batches:
             if len(pdf):
-                v = _matrix(pdf["v"])
+                v = _matrix(pdf["v"]) - mean
                 cell = distances(v[:, :half], left).argmin(1) * len(right) + distances(v[:, half:], right).argmin(1)
                 yield pd.DataFrame({"cell": cell, "vec_id": pdf["vec_id"], "v": pdf["v"]})
 
@@ -152,7 +157,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = S
             out = []
             size = lambda cell: sizes.value.get(cell, 0)
             if len(pdf):
-                v = _matrix(pdf["v"])
+                v = _matrix(pdf["v"]) - mean
                 for a, b in zip(distances(v[:, :half], left), distances(v[:, half:], right)):
                     met = np.zeros(cells, bool)
                     met[traverse(a, b, size, max(share * n, LEAST))] = True

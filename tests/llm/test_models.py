@@ -146,6 +146,22 @@ def test_vectors_odd_rows(spark):
     assert multi_index.search(df.limit(0), df).count() == 0 and multi_index.search(df, df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_component(spark):
+    df = spark.createDataFrame([(i, [float(i * i)]) for i in range(1, 8)] + [(100, [5.0])], "vec_id long, embedding array<double>")
+    got = multi_index.search(df, df.where("vec_id = 100"), 3).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(100, 1, 2, 1.0), (100, 2, 1, 4.0), (100, 3, 3, 4.0)]
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e7, 1e8, 1e200])
+def test_nearest_far_from_the_origin(offset):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 64)) + offset
+    q, ids = x[0], np.arange(500)
+    want = np.lexsort((ids, np.sqrt(((x - q) ** 2).sum(1))))[1:11]
+    got, score = multi_index._nearest(x, ids, q, ids != 0, 10)
+    assert got.tolist() == want.tolist() and (score == np.sqrt(((x[want] - q) ** 2).sum(1))).all()
+
+
 def test_cells_come_in_order():
     rng = np.random.default_rng(3)
     a, b = rng.random(9), rng.random(7)
