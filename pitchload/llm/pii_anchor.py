@@ -12,7 +12,12 @@ Base kinds are email, ip, card and phone, each the leftmost non-overlapping matc
 A match that fails its check is dropped and the search goes on behind it. The anchors add:
     address  scheme://user:password@host, from the scheme to the end of the host
     account  an IBAN (mod 97), or the identifier that follows a cue and a `:`, `=`, `#` or blank and
-             has at least six characters, a digit among them
+             has at least six characters, a digit among them. An identifier with a letter may hold
+             `_ . / + =` (keys, tokens in parts), one without holds digits and hyphens only, so that
+             amounts and dates don't count. Identifiers and schemes may have any length.
+
+Every parser reads a character a bounded number of times, so very long texts and very long runs take
+time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 KINDS = BASE + ("address", "account")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-# cue words (matched in any letter case, not inside a longer word)
+# cue words (in lower or upper case or capitalised, not inside a longer word)
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "token", "passport", "ssn")
 SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 
@@ -40,7 +45,10 @@ _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _user = re.compile(r"[^\s/?#@:]+:[^\s/?#@]*@[A-Za-z0-9.-]+(?::[0-9]+)?")
 _iban = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _lead = re.compile(r"(?:[\x20\t]*(?:number|no|nr|id)\b\.?)?[\x20\t]*[:=#]?[\x20\t]*[\"']?", re.I)
-_named = re.compile(_lead.pattern + r"([A-Za-z0-9-]{6,64})(?![A-Za-z0-9-])", re.I)
+_parts = re.compile(r"[A-Za-z0-9_-](?:[A-Za-z0-9_./+=-]*[A-Za-z0-9_=-])?")
+_number = re.compile(r"[0-9-]+(?![A-Za-z0-9_-])")
+_letter = re.compile(r"[A-Za-z]")
+LEAST = 6       # characters of an identifier
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -78,6 +86,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     out: dict[str, list] = {k: [] for k in KINDS}
     end = dict.fromkeys(("email", "ip", "card", "phone", "address"), 0)   # where each kind may match again
     digits_end = 0
+    searched = 0        # an identifier without a digit was read up to here
     for at, (kind, n) in _AUTOMATON.iter(text):
         if kind == "0":
             if at >= end["card"] and (m := _card.match(text, at)):
@@ -106,8 +115,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
                     out["phone"].append(("phone", at, m.end()))
         elif kind == ":":
             i = at - n + 1
-            low = max(end["address"], i - 16)       # schemes are short words
-            while i > low and text[i - 1] in SCHEME:
+            while i > end["address"] and text[i - 1] in SCHEME:
                 i -= 1
             if i < at - n + 1 and (m := _user.match(text, at + 1)):
                 out["address"].append(("address", i, m.end()))
@@ -116,19 +124,29 @@ def find(text: str) -> list[tuple[str, int, int]]:
             a, b = at - n + 1, at + 1
             if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
                 continue
-            if m := _account(text, b):
-                out["account"].append(("account", *m))
+            if b < searched:
+                continue
+            span, searched = _account(text, b)
+            if span:
+                out["account"].append(("account", *span))
     return [s for k in KINDS for s in out[k]]
 
 
-def _account(text: str, b: int) -> tuple[int, int] | None:
-    """The identifier behind a cue that ends at b."""
-    if whole := _iban.match(text, _lead.match(text, b).end()):
+def _account(text: str, b: int) -> tuple[tuple[int, int] | None, int]:
+    """The identifier behind a cue that ends at b, and the place up to which no later cue can have one."""
+    at = _lead.match(text, b).end()
+    if whole := _iban.match(text, at):
         for stop in range(whole.end(), whole.start() + 14, -1):
             if text[stop - 1] != " " and (stop == len(text) or not text[stop].isalnum()) and iban_ok(text[whole.start():stop]):
-                return whole.start(), stop
-    m = _named.match(text, b)
-    return m.span(1) if m and any(c.isdigit() for c in m[1]) else None
+                return (at, stop), stop
+    m = _parts.match(text, at)
+    if not m:
+        return None, b
+    if not _letter.search(m[0]):
+        m = _number.match(text, at)
+        return (m.span() if m and len(m[0]) >= LEAST and _digits.search(m[0]) else None), b
+    inner = at + len(m[0].rstrip("=_-"))
+    return (m.span() if len(m[0]) >= LEAST and _digits.search(m[0]) else None), inner
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -43,6 +43,72 @@ def test_pii_added_spans_and_redaction():
     assert pii_anchor.redact("mail x.y@z.org now", pii_anchor.find("mail x.y@z.org now")) == "mail [EMAIL] now"
 
 
+def plain_accounts(t):
+    """Identifiers behind cues (no IBAN in `t`), by loops over characters."""
+    out, word = [], set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    for a in range(len(t)):
+        for cue in pii_anchor.CUES:
+            b = a + len(cue)
+            if t[a:b] not in (cue, cue.upper(), cue.capitalize()) or t[a - 1:a].isalnum() or t[b:b + 1].isalnum():
+                continue
+            i = b
+            while t[i:i + 1] in (" ", "\t"):
+                i += 1
+            for name in ("number", "no", "nr", "id"):
+                after = t[i + len(name):i + len(name) + 1]
+                if t[i:i + len(name)].lower() == name and not (after.isalnum() or after == "_"):
+                    i += len(name) + (after == ".")
+                    break
+            else:
+                i = b
+            for some in (" \t", ":=#", " \t", "\"'"):
+                while i < len(t) and t[i] in some:
+                    i += 1
+                    if some[0] not in " ":
+                        break
+            j = i
+            while j < len(t) and (t[j] in word or t[j] in "_-" or (j > i and t[j] in "./+=")):
+                j += 1
+            while j > i and t[j - 1] in "./+":
+                j -= 1
+            if not any(c.isalpha() for c in t[i:j]):
+                j = i
+                while j < len(t) and t[j] in "0123456789-":
+                    j += 1
+                if t[j:j + 1] == "_":
+                    continue
+            if j - i >= 6 and any(c.isdigit() for c in t[i:j]):
+                out.append((i, j))
+    return out
+
+
+def outermost(spans):
+    """Spans that lie in no other one (a cue inside an identifier adds nothing)."""
+    return sorted({s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)})
+
+
+def test_pii_accounts_against_loops():
+    r = random.Random(4)
+    bits = ["token", "account", "Account", "SSN", "konto", " ", " ", "  ", ":", "=", "#", "_", "-", ".", "/", "+", '"', "no", "nr.", "id",
+            "a1", "x", "12345", "678901", "ghp", "é", ","]
+    for _ in range(20_000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(1, 14)))
+        got = [(a, b) for k, a, b in pii_anchor.find(t) if k == "account"]
+        assert outermost(got) == outermost(plain_accounts(t)), t
+
+
+def test_pii_identifiers_and_schemes_of_any_length():
+    def accounts(t):
+        return [t[a:b] for k, a, b in pii_anchor.find(t) if k in ("account", "address")]
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.dGVzdA=="
+    assert accounts(f"token = {'a1' * 40}, token = ghp_abc123def456; token: {jwt} end") == ["a1" * 40, "ghp_abc123def456", jwt]
+    assert accounts("account 12345.67 on account 12.10.2024, token abc123def.") == ["abc123def"]
+    assert accounts("token: account 12345678 token=account= 12345678") == ["12345678", "12345678"]
+    assert accounts(f"{'long' * 10}+x://u:pw@h.org") == ["long" * 10 + "+x://u:pw@h.org"]
+    for t in ("token=" * 200_000, "account" + " " * 200_000 + "é", "a" * 500_000 + "://", "token " * 100_000, "token." * 200_000 + "x"):
+        assert accounts(t) == []
+
+
 def test_pii_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "a", 5), (1, None, "a", 5), (None, "", "b", 0), (2, "x@y.zz", "c", 6)],
                                "doc_id long, text string, pii string, n_chars long")
