@@ -8,12 +8,15 @@ the rows of the labels table are one labeller among the others. The posteriors l
 of documents, and those train a hashed linear scorer (softmax over word, word-head and shape features),
 which judges every document from its text alone.
 
-Toxic cue words are counted in the labelled part of the sample, so words of any language can become
-cues. The pattern table is bounded by the product of the vote options, the scorer by its buckets.
+Toxic cue words are counted in all labelled documents, so words of any language can become cues. A cue
+must be in a share of the toxic ones, which bounds the number of cues (a thousand times the distinct words
+of a mean toxic document) without a cap. The pattern table is bounded by the product of the vote
+options, the scorer by its buckets.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -27,8 +30,9 @@ from pitchload.session import cut
 GOOD, JUNK, TOXIC, ABSTAIN = 0, 1, 2, 3
 CLASSES = ("good", "junk", "toxic")
 SAMPLE = (15_000, 10_000)        # labelled and other documents that train the scorer (expected numbers, by a hash of the row)
-CUES = 2_000             # most cue words
-CUE_DOCS = 4             # toxic documents that a cue must occur in at least
+CUE_SHARE = 0.001        # of the toxic documents that a cue must occur in ...
+CUE_DOCS = 4             # ... and toxic documents, at least
+CUE_RATE = 20            # toxic documents for each other one that a cue is in
 BUCKETS = 1 << 17        # of the scorer
 GROUPS = 4               # parts of the sample that are trained apart and averaged
 EPOCHS, RATE, BATCH, DECAY = 6, 0.5, 32, 1e-6
@@ -238,6 +242,18 @@ def _cue_counts(batches):
             yield pd.DataFrame({"cue": keys.view(np.int64), "bad": bad, "other": np.bincount(back, minlength=len(keys)) - bad})
 
 
+def toxic_cues(docs: DataFrame, people: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words and word heads that tell toxic documents, counted in all of `docs`
+    (doc_id, text) that `people` (doc_id, people) call good, junk or toxic."""
+    known = docs.join(people.where(F.col("people") != ABSTAIN), "doc_id")
+    toxic = people.where(F.col("people") == TOXIC).count()
+    least = max(CUE_DOCS, math.ceil(CUE_SHARE * toxic))
+    counts = (known.select("text", "people").mapInPandas(_cue_counts, "cue long, bad long, other long")
+              .groupBy("cue").agg(F.sum("bad").alias("bad"), F.sum("other").alias("other"))
+              .where((F.col("bad") >= least) & (F.col("other") * CUE_RATE <= F.col("bad"))).select("cue").toPandas())
+    return np.sort(counts["cue"].to_numpy(np.int64).view(np.uint64))
+
+
 def train(docs: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = SAMPLE, held_out: Column | None = None) -> Model:
     """Fit labeller tables on the votes on all of `docs` (doc_id, text) and the scorer on a sample.
 
@@ -267,11 +283,7 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: tuple[int, int] = S
     part = cut(part.where(F.col("place") < F.when(F.col("people").isNull(), below[1]).otherwise(below[0]))
                .select("doc_id", "text", said, "place"), "sample")
 
-    counts = (part.where(F.col("people") != ABSTAIN).mapInPandas(_cue_counts, "cue long, bad long, other long")
-              .groupBy("cue").agg(F.sum("bad").alias("bad"), F.sum("other").alias("other"))
-              .where((F.col("bad") >= CUE_DOCS) & (F.col("other") * 20 <= F.col("bad")))
-              .orderBy(F.desc("bad"), "cue").limit(CUES).collect())
-    cues = np.sort(np.array([r.cue for r in counts], np.int64).view(np.uint64))
+    cues = toxic_cues(docs, labels)
 
     votes = docs.select("doc_id", _votes_column(cues).alias("votes"))
     joined = votes.join(labels, "doc_id", "left").select((F.col("votes") + 4 ** (len(LABELLERS) - 1) * said).alias("votes"))
@@ -313,7 +325,9 @@ def judged(docs: DataFrame, labels: DataFrame | None, **how) -> DataFrame:
     """(doc_id, p_good, p_junk, p_toxic, keep) for every row of `docs`; keep if p_good >= KEEP.
 
     Only doc_id and text are read. A null text counts as empty and gets what a text without words gets;
-    repeated rows get equal results; an empty table gives an empty table.
+    repeated rows get equal results, and texts with equal probabilities equal decisions (exactly KEEP is kept).
+    Texts are judged whole, some at a time by their length, so a very long one only makes a slice of its own.
+    An empty table gives an empty table.
     """
     model = train(docs, labels, **how)
     q = score_column(model, F.col("text"), docs.sparkSession)

@@ -39,6 +39,24 @@ def test_quality_on_held_out_labels(spark):
     assert sum(clean) >= 0.97 * len(clean) and sum(bad) <= 0.25 * len(bad)
 
 
+def test_cues_are_counted_in_all_labelled_documents(spark):
+    """Against a plain count of words; the training sample's size doesn't matter."""
+    r = np.random.default_rng(3)
+    common, rare = [f"word{i:02}" for i in range(40)], ["zorpa", "qixel", "vunto"]
+    rows = []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        words = list(r.choice(common, 8)) + ([str(r.choice(rare))] if toxic and i % 50 == 0 else []) + (["zorpa"] if i == 7 else [])
+        rows.append((i, " ".join(words), weak_quality.TOXIC if toxic else weak_quality.ABSTAIN if i % 3 == 0 else weak_quality.GOOD))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = set(weak_quality.toxic_cues(docs, spark.createDataFrame([(i, p) for i, _, p in rows], "doc_id long, people int")).tolist())
+    for w in common + rare:
+        bad = sum(w in t.split() for _, t, p in rows if p == weak_quality.TOXIC)
+        other = sum(w in t.split() for _, t, p in rows if p == weak_quality.GOOD)
+        assert (int(weak_quality.heads([w])[0][0]) in got) == (bad >= 4 and other * 20 <= bad), w
+    assert got
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (None, "", "b"), (2, "a word or two", "c"), (2, "a word or two", "c"),
                                   (3, "$$$ %%% " * 300, "d")], "doc_id long, text string, keep string")

@@ -239,6 +239,59 @@ def test_template_of_a_section_of_a_large_host(spark):
     assert got == {i: f"Story number {i}" if i < 1000 else "The same page" for i, _, _ in rows}
 
 
+def test_repeated_answers_forms_classes_and_references_stay_or_go(spark):
+    text = html_template.main_text
+    assert text("<p>A<select><option>q<optgroup label=x><option>r</select> b") == "A b"
+    assert text('<article><section class="related-work">Kept</section><figure id="share-prices">Too</figure><p>x</p>'
+                '<div class="share-buttons">no</div><div class="site ad-728x90">no</div></article>') == "Kept\n\nToo\n\nx"
+    assert text('<div class="nav__item--active">no</div><div id="top">no</div><div class="top-secret">yes</div>') == "yes"
+    assert text("AT&am<b>p;</b>T &amp;lt;") == "AT&amp;T &lt;"
+    answer = "<div>Yes, it works.</div>"
+    rows = [(i, f"http://host.org/{i}", f"<body>{answer if i % 50 == 0 else ''}<div>Question {i}</div></body>") for i in range(600)]
+    # a section's notice on one in a hundred of the host's pages, and a page that has many urls in a section of its own
+    rows += [(1000 + i, f"http://host.org/shop/{i}", f"<body><div>Shop is closed</div><div>Thing {i}</div></body>") for i in range(6)]
+    rows += [(2000 + i, f"http://host.org/copy/{i}", "<body><div>The same</div></body>") for i in range(9)]
+    got = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: ("Yes, it works.\n\n" if i % 50 == 0 else "") + f"Question {i}" for i in range(600)}
+    assert got == want | {1000 + i: f"Thing {i}" for i in range(6)} | {2000 + i: "The same" for i in range(9)}
+
+
+def test_templates_against_counts_page_by_page(spark):
+    """Which subtrees go, counted in plain Python over random pages (menus and marked elements count too)."""
+    r = random.Random(6)
+    parts = ["<nav><a>Home</a></nav>", "<div>One</div>", "<div class=ad>Buy</div>", "<section><p>Two</p><p>Two b</p></section>", "<p>Three</p>", "<i>Four</i>"]
+    rows = []
+    for i in range(240):
+        h = r.choice(["a.org", "b.org", "b.org", "b.org"])
+        url = f"http://{h}/{r.choice(['x/', 'y/', ''])}{i}"
+        body = "".join(p for k, p in enumerate(parts) if r.random() < .015 * (k + 1) * (4 if "x/" in url else 1)) + (f"<p>own {i % 200}</p>" if i % 9 else "")
+        rows.append((i, url, body))
+    on, pages = {}, {}
+    for _, url, body in rows:
+        bits = url.split("/")
+        sub = html_template.subtrees(body)
+        for scope in {bits[2]} | ({"/".join(bits[2:4]) + "/"} if len(bits) > 4 else set()):
+            if len(sub) > 1:
+                pages.setdefault(scope, set()).add(sub[0])
+            for x in sub[1:]:
+                on.setdefault((scope, x), set()).add(sub[0])
+    template = {k for k, v in on.items() if len(v) >= 5 and (len(v) >= .2 * len(pages[k[0]]) or
+                ("/" not in k[0] and len(v) >= 10 and len(v) >= .05 * len(pages[k[0]])))}
+    want = {}
+    for i, url, body in rows:
+        bits = url.split("/")
+        scopes = {bits[2], "/".join(bits[2:4]) + "/" if len(bits) > 4 else ""}
+        want[i] = html_template.main_text(body, frozenset(x for s, x in template if s in scopes), lists=False)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_template.extract(df, lists=False).collect()} == want
+    assert len(template) > 5 and any("/" in s for s, _ in template) and any("Home" in t for t in want.values())
+    assert main_text_without(rows) != want
+
+
+def main_text_without(rows):
+    return {i: html_template.main_text(body, lists=False) for i, _, body in rows}
+
+
 def items(spark):
     return [(r.item_id, r.text) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
 
