@@ -21,6 +21,7 @@ import html
 import re
 
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -306,10 +307,18 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES, many: in
            .join(templates.hint("merge"), ["scope", "hash", "__salt"])
            .groupBy("__page").agg(F.collect_set("hash").alias("template")))
 
+    @F.pandas_udf("binary")
+    def packed(page: pd.Series) -> pd.Series:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return page.map(lambda p: pack(p.encode("utf-8", "surrogatepass")) if isinstance(p, str) else None)
+
     @F.pandas_udf("string")
     def text(page: pd.Series, template: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, frozenset(t) if t is not None else frozenset(), lists) if isinstance(p, str) else ""
-                          for p, t in zip(page, template)], dtype=object)
+        unpack = zstandard.ZstdDecompressor().decompress
+        return pd.Series([main_text(unpack(p).decode("utf-8", "surrogatepass"), frozenset(t) if t is not None else frozenset(), lists)
+                          if p is not None else "" for p, t in zip(page, template)], dtype=object)
 
-    out = rows.join(own.hint("merge"), "__page", "left").select("page_id", "url", text("html", "template").alias("text"))
+    # pages move to their templates once, packed
+    moved = rows.select("page_id", "url", "__page", packed("html").alias("__packed"))
+    out = moved.join(own.hint("merge"), "__page", "left").select("page_id", "url", text("__packed", "template").alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
