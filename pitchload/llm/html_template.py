@@ -287,7 +287,7 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES, many: in
     table gives an empty table.
     """
     rows = pages.select("page_id", "url", "html").withColumn("__host", host(F.col("url"))).withColumn(
-        "__page", F.unhex(F.md5(F.concat_ws("\0", F.to_json(F.struct("page_id", "url")), "html").cast("binary"))))
+        "__page", F.xxhash64(F.to_json(F.struct("page_id", "url")), "html"))     # pages of one number only share their sets of hashes
 
     @F.pandas_udf("array<long>")
     def hashes(page: pd.Series) -> pd.Series:
