@@ -91,3 +91,16 @@ def test_property_windows_equal_fold(spark):
     assert extract(spark, data, seg_rows=13) == want
     assert extract(spark, data) == want
     assert len(want) > 50
+
+
+def test_positive_duration_keeps_every_event_with_length(spark):
+    """All events are kept as they were extracted, whatever time they start at."""
+    import tempfile
+
+    from pitchload.plans import registry
+    d = tempfile.mkdtemp(dir="/tmp")
+    spark.range(2_000).selectExpr("id AS event_id", "timestamp_millis(id * 1000) AS ts", "id % 4 AS user_id").write.parquet(f"{d}/events.parquet")
+    every = [tuple(r) for r in registry.QUERIES["win_extract_events"](spark, d).collect()]
+    got = [tuple(r) for r in registry.QUERIES["flt_positive_duration"](spark, d).collect()]
+    at, length = registry.EV_COLS.index("ts_start"), registry.EV_COLS.index("duration")
+    assert sorted(got) == sorted(e for e in every if e[length] > 0) and any(e[at] % 3 == 0 for e in got)
