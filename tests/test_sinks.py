@@ -67,6 +67,24 @@ def test_live_cache_holds_the_last_slots_only(spark):
     assert W.cache_expire(spark, d) == [] and "batch_id=0" not in os.listdir(d)
 
 
+def test_cache_folders_do_not_grow_with_the_time_of_a_batch(spark):
+    """A batch of 40 hours of event time has as many folders as one of 400 s: the slots that reach into the last 120 s
+    and one for all that have expired, which holds every older row until it is deleted."""
+    import os
+    for rows in (800, 288_000):
+        d = tempfile.mkdtemp(dir="/tmp")
+        df = spark.range(0, rows * 500, 500).select((F.col("id") % 3).cast("int").alias("player_id"), F.col("id").alias("ts_ms"), F.lit(1.5).alias("speed"))
+        W.cache_write(df, 0, d, ["player_id"])
+        newest = (rows - 1) * 500
+        first = (newest - W.TTL_MS) // W.SLOT_MS
+        slots = sorted(int(s.removeprefix("slot=")) for s in os.listdir(f"{d}/batch_id=0") if s.startswith("slot="))
+        assert slots == list(range(first - 1, newest // W.SLOT_MS + 1))
+        assert FS.read_tracking_cache(spark, d, df.schema).distinct().count() == rows
+        assert W.cache_expire(spark, d) == [first - 1]
+        got = sorted(r.ts_ms for r in FS.read_tracking_cache(spark, d, df.schema).collect())
+        assert got == list(range(first * W.SLOT_MS, newest + 1, 500))
+
+
 def test_markers_and_unmarked_batches(spark):
     from pitchload.sinks import commits
     d = tempfile.mkdtemp(dir="/tmp")
