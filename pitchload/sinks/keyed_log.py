@@ -25,6 +25,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStre
                                     InputPartition, WriterCommitMessage)
 
 from pitchload.operators.sequence import BUCKET_MS, join_null_safe, number_rows
+from pitchload.session import cut
 
 SCHEMA = "lane int, offset long, key string, seq long, value string"
 LANES = 8
@@ -232,6 +233,7 @@ def keyed_send(batch: DataFrame, batch_id: int, path: str, keys: list[str], orde
     if before:
         totals = spark.read.parquet(f"{path}/_totals/batch={before[-1]}")
         numbered = join_null_safe(numbered, totals, keys, "left").withColumn("_seq", F.col("_seq") + F.coalesce("_total", F.lit(0))).drop("_total")
+    numbered = cut(numbered, "numbered")       # read by the totals, the range bounds and the write
     ends = numbered.groupBy(*keys).agg(F.max("_seq").alias("_total"))
     if before:
         ends = ends.unionByName(totals).groupBy(*keys).agg(F.max("_total").alias("_total"))

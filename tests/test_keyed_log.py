@@ -82,3 +82,16 @@ def test_stream_writer(spark):
     log = _log(spark, f"{work}/log")
     assert len(log) == 600 and sorted(os.listdir(f"{work}/log/_commits")) == ["0.json", "1.json"]
     assert sorted((k, s, v) for _, _, k, s, v in log) == sorted(2 * [(r.key, r.seq, r.value) for r in df.collect()])
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    """The totals, the range bounds and the write all read the numbered rows of one run of the batch's plan."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return v
+    df = spark.range(500).selectExpr("id % 3 AS k", "id * 40 AS ts_start", "id AS v")
+    df = df.select("k", "ts_start", F.udf(count, "long")("v").alias("w"))
+    L.keyed_send(df, 0, str(tmp_path / "log"), ["k"])
+    assert seen.value == 500 and L.read_log(spark, str(tmp_path / "log")).count() == 500
