@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ SAMPLE = (15_000, 10_000)        # labelled and other documents that train the s
 CUE_SHARE = 0.001        # of the toxic documents that a cue must occur in ...
 CUE_DOCS = 4             # ... and toxic documents, at least
 CUE_RATE = 20            # toxic documents for each other one that a cue is in
+ID_BITS = 1 << 26        # of the filter of labelled ids, at most
 BUCKETS = 1 << 17        # of the scorer
 GROUPS = 4               # parts of the sample that are trained apart and averaged
 EPOCHS, RATE, BATCH, DECAY = 6, 0.5, 32, 1e-6
@@ -242,11 +244,51 @@ def _cue_counts(batches):
             yield pd.DataFrame({"cue": keys.view(np.int64), "bad": bad, "other": np.bincount(back, minlength=len(keys)) - bad})
 
 
+def _marks(h: np.ndarray, bits: int) -> np.ndarray:
+    """The three bits of each hash in a filter of so many bits, a power of two."""
+    h = h.view(np.uint64)
+    return np.concatenate([T.splitmix(h ^ _U(k)) & _U(bits - 1) for k in range(1, 4)])
+
+
+def id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """Bloom filter of the `n` hashes `h`, as 64-bit words: ten bits or more a hash up to ID_BITS in all."""
+    bits = min(ID_BITS, 1 << max(6, (10 * n).bit_length()))
+
+    def words(batches):
+        for pdf in batches:
+            at = np.unique(_marks(pdf["h"].to_numpy(np.int64), bits))
+            if len(at):
+                word, first = np.unique(at >> _U(6), return_index=True)
+                yield pd.DataFrame({"word": word.view(np.int64), "set": np.bitwise_or.reduceat(_U(1) << (at & _U(63)), first).view(np.int64)})
+    got = ids.mapInPandas(words, "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toPandas()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[got["word"].to_numpy(np.int64)] = got["set"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def maybe_labelled(docs: DataFrame, people: DataFrame, n: int) -> DataFrame:
+    """The rows of `docs` whose doc_id is in `people` (`n` rows) and few others: a join with `people` moves the
+    texts of these only."""
+    if docs.schema["doc_id"].dataType != people.schema["doc_id"].dataType:
+        return docs                          # the hashes of equal ids would differ
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(people.select(F.xxhash64("doc_id").alias("h")), n))
+
+    def passing(batches):                    # Arrow batches, so that no task keeps texts while it waits for an answer
+        words = shared.value
+        for batch in batches:
+            at = _marks(batch.column("h").to_numpy(zero_copy_only=False), len(words) << 6)
+            hit = (words[at >> _U(6)] >> (at & _U(63)) & _U(1)).reshape(3, -1).all(0)
+            if hit.any():
+                yield batch.drop_columns(["h"]).filter(pa.array(hit))
+    return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(passing, docs.schema)
+
+
 def toxic_cues(docs: DataFrame, people: DataFrame) -> np.ndarray:
     """Sorted hashes of the words and word heads that tell toxic documents, counted in all of `docs`
     (doc_id, text) that `people` (doc_id, people) call good, junk or toxic."""
-    known = docs.join(people.where(F.col("people") != ABSTAIN), "doc_id")
-    toxic = people.where(F.col("people") == TOXIC).count()
+    people = people.where(F.col("people") != ABSTAIN)
+    n, toxic = people.agg(F.count(F.lit(1)), F.count_if(F.col("people") == TOXIC)).first()
+    known = maybe_labelled(docs, people, n).join(people.hint("merge"), "doc_id")      # labels don't go through the driver
     least = max(CUE_DOCS, math.ceil(CUE_SHARE * toxic))
     counts = (known.select("text", "people").mapInPandas(_cue_counts, "cue long, bad long, other long")
               .groupBy("cue").agg(F.sum("bad").alias("bad"), F.sum("other").alias("other"))
