@@ -46,4 +46,4 @@ def test_stages_keep_the_columns(spark):
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n[:2] == "op"} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n[:2] == "op"} and "pipeline" in names
