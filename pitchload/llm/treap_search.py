@@ -20,8 +20,9 @@ k in the final window, whose limit Spark applies in each task before the shuffle
 
 Every row of documents is a document and every row of the items an item, repeated ids too. Null and empty
 texts have no terms: such documents do not count and such items find nothing. Equal scores go by doc_id,
-null ids last. Empty tables give empty results; other columns are not read. A very long text closes its
-shard early; an item with many terms opens fewer ranges at a time and finds its cells again from the top.
+null ids last. Empty tables give empty results; other columns are not read. A Python worker gets shards one
+at a time, and so do Arrow and Parquet: a task's memory goes by the shard, not by how many it has. A very long
+text closes its shard early; an item with many terms opens fewer ranges at a time and finds its cells again from the top.
 """
 
 from __future__ import annotations
@@ -37,13 +38,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchload.session import cut
+from pitchload.session import arrow_bytes, cut
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SHARD_DOCS = 4_096
 SHARD_CELLS = 1 << 19      # a task holds some ten arrays of this length
 #: (item, term) pairs that one block holds, as expected
 BLOCK = 50_000
+#: bytes of documents or shards that go to a Python worker at once; a shard of full size goes alone
+BATCH_BYTES = 2 << 20
+#: a page of a shard table holds one shard's value, a row group as much as this or one shard; both sides hold whole pages
+SHARD_FILES = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: items of more terms keep no cells for waiting ranges
 LONG = 2_048
 _POP = np.array([bin(i).count("1") for i in range(16)], np.int32)
@@ -121,7 +126,8 @@ def quadtrees(row: np.ndarray, col: np.ndarray, value: np.ndarray, bits: int):
 
 def build(docs: DataFrame) -> tuple[DataFrame, int]:
     """The index over (doc_id, text), written to the shared folder: (a row a shard, N)."""
-    posts = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_postings, _POSTINGS), "postings")
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        posts = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_postings, _POSTINGS), "postings", **SHARD_FILES)
     totals = posts.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n_all, l_all = totals[0] or 0, totals[1] or 1
 
@@ -144,7 +150,8 @@ def build(docs: DataFrame) -> tuple[DataFrame, int]:
                     [bands.astype(np.int32).tobytes()], [widths], [masks.tobytes()], [gaps.astype(np.int32).tobytes()]
                 yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
 
-    return cut(posts.drop("n_docs", "n_terms").mapInArrow(trees, _INDEX), "k2_index"), n_all
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        return cut(posts.drop("n_docs", "n_terms").mapInArrow(trees, _INDEX), "k2_index", **SHARD_FILES), n_all
 
 
 class Treap:
@@ -256,7 +263,8 @@ def search(index: DataFrame, n_docs: int, items: DataFrame, k: int = 10) -> Data
     if found is None:
         found = pairs.select("item", F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score"))
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    with arrow_bytes(index.sparkSession, BATCH_BYTES):
+        top = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "top")
     return top.join(items.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score")
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from pitchload.llm import treap_search
@@ -84,6 +85,30 @@ def test_small_shards_by_hand(monkeypatch):
             assert tree.search(rows, weights, s.doc_ids, [], 3) == want
 
 
+def test_shards_go_one_at_a_time(spark, monkeypatch):
+    """Several full shards in one task: each is an Arrow batch of its own, and no more than two share a row group."""
+    searcher, read, key = treap_search._searcher, spark.sparkContext.accumulator(0), "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def watched(k):
+        run = searcher(k)
+
+        def one(batches):
+            for batch in batches:
+                assert batch.num_rows == 1
+                read.add(1)
+                yield batch
+        return lambda batches: run(one(batches))
+
+    monkeypatch.setattr(treap_search, "_searcher", watched)
+    docs = spark.range(0, 9_000, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 250), x -> concat('w', pmod(xxhash64(id, x), 60000)))) AS text")
+    before = spark.conf.get(key, None)
+    index, n_docs = treap_search.build(docs)
+    shards, groups = index.count(), [m.row_group(g).num_rows for m in (pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()) for g in range(m.num_row_groups)]
+    assert n_docs == 9_000 and shards >= 4 and max(groups) <= 2
+    assert treap_search.search(index, n_docs, spark.createDataFrame([(1, "w1 w2 w3", "x")], ITEMS)).count() == 10
+    assert read.value == shards and spark.conf.get(key, None) == before
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b", "x")], ITEMS)
     assert treap_search.ranked(docs, items).count() == 0
