@@ -47,8 +47,10 @@ SHARD_CELLS = 1 << 19      # a task holds some ten arrays of this length
 BLOCK = 50_000
 #: bytes of documents or shards that go to a Python worker at once; a shard of full size goes alone
 BATCH_BYTES = 2 << 20
-#: a page of a shard table holds one shard's value, a row group as much as this or one shard; both sides hold whole pages
-SHARD_FILES = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+#: a page of a shard table holds one shard's value, a row group as much as this or one shard; both sides hold whole pages.
+#: Statistics would keep the least and greatest whole value of every row group until the file ends
+SHARD_FILES = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1,
+               "parquet.column.statistics.enabled": False}
 #: items of more terms keep no cells for waiting ranges
 LONG = 2_048
 _POP = np.array([bin(i).count("1") for i in range(16)], np.int32)

@@ -103,8 +103,10 @@ def test_shards_go_one_at_a_time(spark, monkeypatch):
     docs = spark.range(0, 9_000, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 250), x -> concat('w', pmod(xxhash64(id, x), 60000)))) AS text")
     before = spark.conf.get(key, None)
     index, n_docs = treap_search.build(docs)
-    shards, groups = index.count(), [m.row_group(g).num_rows for m in (pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()) for g in range(m.num_row_groups)]
-    assert n_docs == 9_000 and shards >= 4 and max(groups) <= 2
+    shards, files = index.count(), [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    assert n_docs == 9_000 and shards >= 4 and max(g.num_rows for g in groups) <= 2
+    assert not any(g.column(c).is_stats_set for g in groups for c in range(g.num_columns))     # whole values, kept until a file ends
     assert treap_search.search(index, n_docs, spark.createDataFrame([(1, "w1 w2 w3", "x")], ITEMS)).count() == 10
     assert read.value == shards and spark.conf.get(key, None) == before
 
